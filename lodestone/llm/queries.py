@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, url_filters
+from . import quality_rules, sharding, simhash_dedup, url_filters
 from ._shared import table
 
 
@@ -22,6 +22,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op6_url_filters, op8_quality_rules)}
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op6_url_filters, op8_quality_rules, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_url_filters": url_filters.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
