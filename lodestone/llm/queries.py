@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, simhash_dedup, url_filters
+from . import quality_rules, sharding, simhash_dedup, suffix_dedup, url_filters
 from ._shared import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op6_url_filters, op8_quality_rules, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op6_url_filters, op8_quality_rules, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_url_filters": url_filters.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
