@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding, simhash_dedup, suffix_dedup, url_filters
+from . import lm_scoring, quality_rules, sharding, simhash_dedup, suffix_dedup, url_filters
 from ._shared import table
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -30,6 +34,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op6_url_filters, op8_quality_rules, op10_simhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_sharding, op4_lm_scoring, op6_url_filters, op8_quality_rules, op10_simhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_sharding": sharding.ORACLE, "op6_url_filters": url_filters.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
