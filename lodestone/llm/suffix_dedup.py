@@ -30,10 +30,11 @@ from .suffix_sorting import suffix_array
 LENGTH = 200
 GRAM = 16
 HOT = 50_000
-BLOCK = 4 << 20  # bytes sorted at once, unless one gram's segments are more
+BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
 CHUNK = 16
-#: Rows of two longs each that may be broadcast; above, the planner shuffles.
-GRAM_ROWS = 2_000_000
+SPANS = "array<struct<start:int,end:int>>"
+#: Keys of one or two longs are broadcast up to this many (32 MB); above, the planner shuffles.
+KEY_ROWS = 2_000_000
 
 _POS = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -294,7 +295,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     found = materialize(_all_segments(rows, length), "repeat-segments")
     grams = found.groupBy("__g").agg(F.count("*").alias("n"), F.max("__self").alias("s")).filter("n > 1 OR s").select("__g")
     grams = materialize(grams, "repeat-grams")
-    several = found.join(F.broadcast(grams) if grams.count() <= GRAM_ROWS else grams, "__g")
+    several = found.join(F.broadcast(grams) if grams.count() <= KEY_ROWS else grams, "__g")
     several = materialize(several, "repeat-several")
     discard(found)
     distinct = several.groupBy("__g", "__c").agg(F.count("*").alias("__w"), F.max("__self").alias("__self"), F.min(F.struct("__a", "__b", "__p", "__n")).alias("__at"))
@@ -304,6 +305,10 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     whole = distinct.join(kinds, "__g", "left_anti").filter("__w > 1").select("__g", "__c", F.lit(0).alias("__shift"), F.array(F.lit(0), F.col("__at.__n")).alias("__r"))
     unsure = distinct.join(kinds, "__g").select("__at.__a", "__at.__b", F.struct("__at.__p", "__at.__n", "__g", "__c", "__w", "__k").alias("x"))
     wanted = unsure.groupBy("__a", "__b").agg(F.collect_list("x").alias("__want"))
+    wanted = materialize(wanted, "repeat-wanted")
+    keys = wanted.select("__a", "__b")
+    if keys.count() <= KEY_ROWS:  # texts that aren't wanted stay where they are
+        rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
     once = rows.join(wanted, ["__a", "__b"]).select("__t", "__want")
     bodies = once.mapInArrow(_cut(length, hot), "__q long, __g long, __c long, __shift int, __w long, __bytes binary")
     dealt = bodies.repartition("__q").sortWithinPartitions("__q")
@@ -333,6 +338,52 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """docs with the texts' repeats taken out, all columns kept; rows of which nothing but blanks is left go.
+
+    The stretches are those of find_repeats(), narrowed to whole characters. Texts that lose nothing stay as they are,
+    null and empty ones included.
+    """
+    spans = repeated_spans(docs, key, text, length, hot)
+    keys = spans.select("__a", "__b")
+    rows = _with_place(docs, key, text).drop("__t")
+    whole = None
+    if keys.count() <= KEY_ROWS:
+        whole = rows.join(F.broadcast(keys), ["__a", "__b"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
+    joined = rows.join(spans, ["__a", "__b"], "left").drop("__a", "__b")
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans_of = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            stay: list[int] = []
+            left: list[str | None] = []
+            for i, (t, r) in enumerate(zip(texts, spans_of)):
+                if r and t is not None:
+                    b = t.encode("utf-8", "surrogatepass")
+                    t = kept_bytes(b, [_whole_characters(b, x) for x in removed(r, length)]).decode("utf-8", "surrogatepass")
+                    if not t.strip():
+                        continue
+                stay.append(i)
+                left.append(t)
+            kept = batch.take(pa.array(stay, pa.int32()))
+            columns = [pa.array(left, kept.column(at).type) if i == at else kept.column(i) for i in range(kept.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names[:-1])
+
+    made = joined.mapInArrow(run, docs.schema)
+    return made if whole is None else made.unionByName(whole)
+
+
+def _whole_characters(text: bytes, span: tuple[int, int]) -> tuple[int, int]:
+    start, end = span
+    while start < end and start < len(text) and text[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of docs.
 
@@ -343,6 +394,13 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     spans = repeated_spans(docs, key, text, length, hot)
     rows = _with_place(docs.select(F.col(key), F.col(text)), key, text).select(F.col(key).alias("__id"), "__a", "__b", "__t")
+    keys = spans.select("__a", "__b")
+    whole = None
+    if keys.count() <= KEY_ROWS:  # only texts that lose something are moved
+        whole = rows.join(F.broadcast(keys), ["__a", "__b"], "left_anti").select(
+            "__id", F.octet_length("__t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("__t", 256).alias("kept_sha256"), F.array().cast(SPANS).alias("spans")
+        )
+        rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
     joined = rows.join(spans, ["__a", "__b"], "left").select("__id", "__t", "__spans")
     kind = joined.schema["__id"].dataType.simpleString()
 
@@ -361,5 +419,5 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), shape)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=names)
 
-    made = joined.mapInArrow(run, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
-    return made.withColumnRenamed("__id", key)
+    made = joined.mapInArrow(run, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}")
+    return (made if whole is None else made.unionByName(whole)).withColumnRenamed("__id", key)
