@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, shuffle_partitions
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
 #: A pair seen once says little; pairs enter the model from this count on, at every corpus size.
 MIN_PAIRS = 2
@@ -187,15 +187,15 @@ def _kind(grams: np.ndarray, pairs: bool) -> np.ndarray:
 
 
 def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """The PROBES places (bits is a power of two) of a key at a level."""
+    """The PROBES places of a key at a level."""
     x = _mix(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     y = _mix(x) | np.uint64(1)
-    return [(x + np.uint64(i) * y) & np.uint64(bits - 1) for i in range(PROBES)]
+    return [(x + np.uint64(i) * y) % np.uint64(bits) for i in range(PROBES)]
 
 
 def filter_bits(entries: int) -> int:
-    want = max(1 << 13, entries * BITS_PER_ENTRY)
-    return min(1 << (want - 1).bit_length(), MAX_FILTER_BYTES * 8)
+    slice_bits = 1 << (23 if entries > 1 << 16 else 16)
+    return min(-(-max(1, entries * BITS_PER_ENTRY) // slice_bits) * slice_bits, MAX_FILTER_BYTES * 8)
 
 
 def _insert(bits: int, slices: int):
@@ -306,13 +306,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     entries = totals.select("a", "b", F.lit(False).alias("pair")).unionByName(paired.select("a", "b", F.lit(True).alias("pair")))
     number = entries.mapInArrow(_entry_counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = filter_bits(number)
-    slices = max(1, bits >> 23)  # of 1 MB
+    slices = -(-bits // (1 << 23))  # of 1 MB
     placed = entries.mapInArrow(_insert(bits, slices), "slice int, p binary")
     parts = placed.groupBy("slice").applyInArrow(_slice(bits, slices), "slice int, bits binary").collect()  # MAX_FILTER_BYTES at most
     whole = bytearray(bits // 8)
     for part in parts:
         whole[part["slice"] * (bits // slices // 8) : (part["slice"] + 1) * (bits // slices // 8)] = part["bits"]
-    filter_ = spark.sparkContext.broadcast(bytes(whole))
+    del parts
+    filter_ = spark.sparkContext.broadcast(whole)
     discard(paired)
 
     texts = made.filter(F.col("kind") == _DOCS).select("chunk", "a", "b", "keys", "held")
