@@ -4,6 +4,7 @@ A text's spaces become U+2581 and one is put before it, then it is cut before ea
 character: no piece of the model goes over such a place, so words are independent. The distinct words of a batch are
 grouped by length and those of one length advance together, one character at a time: hashes of their substrings probe
 the sorted hashes of the pieces, and the best way to each place is a vectorised maximum that keeps where it came from.
+Hashes have 64 bits; encode_documents() decodes what it has encoded and compares, so two that met would be seen.
 
 Scores are the model's own; the result is the segmentation with the greatest sum. A character that no piece covers
 costs more than any pieces do and becomes the pieces of its UTF-8 bytes. A model whose scores are merge ranks is read the
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -27,7 +29,7 @@ SPACE = "▁"
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Words kept with their ids in a worker before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Longer words (runs without a space) are coded one by one.
 LONG = 512
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +91,7 @@ class PieceCoder:
         if len(self.bytes) != 256:
             raise ValueError("the model has no pieces for bytes")
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
         usable = [(p, i, s) for i, (p, s, k) in enumerate(pieces) if k in (_NORMAL, _USER) and p]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in usable):
             raise ValueError("a piece goes over the start of a word")
@@ -182,10 +185,7 @@ class PieceCoder:
         for length, group in by_length.items():
             step = max(1, (1 << 21) // (length * 4)) if length <= LONG else 1
             for i in range(0, len(group), step):
-                for w, ids in zip(group[i : i + step], self._equal_length(group[i : i + step], length)):
-                    if "".join(self.names[p] for p in ids if p not in self.byte_of) != w and not any(p in self.byte_of for p in ids):
-                        raise RuntimeError("two substrings share a hash")
-                    self.cache[w] = ids
+                self.cache.update(zip(group[i : i + step], self._equal_length(group[i : i + step], length)))
 
     def split(self, text: str) -> list[str]:
         """The words of a text; U+2581 itself, which can't be told from a space, is kept apart as bytes by encode()."""
@@ -197,44 +197,31 @@ class PieceCoder:
             self.cache = {}
         literal = [self.bytes[x] for x in SPACE.encode()]
         parts: list[list[list[str]]] = []
-        new: dict[str, None] = {}
+        seen: set[str] = set()
         for text in texts:
             mine = []
             for k, part in enumerate((text or "").split(SPACE)):
                 # after a U+2581 the text goes on without a space of its own
-                words = self.split(part) if k == 0 else _CUT.findall(part.replace(" ", SPACE))
-                mine.append(words)
-                for w in words:
-                    if w not in self.cache:
-                        new[w] = None
+                mine.append(self.split(part) if k == 0 else _CUT.findall(part.replace(" ", SPACE)))
             if text and text.startswith(SPACE):
                 mine[0] = [SPACE]
-                if SPACE not in self.cache:
-                    new[SPACE] = None
+            for words in mine:
+                seen.update(words)
             parts.append(mine)
-        self.encode_words(list(new))
-        cache, out = self.cache, []
+        self.encode_words(list(seen.difference(self.cache)))
+        of, out = self.cache.__getitem__, []
         for mine in parts:
             ids: list[int] = []
             for k, words in enumerate(mine):
                 if k:
                     ids += literal
-                for w in words:
-                    ids += cache[w]
+                ids += chain.from_iterable(map(of, words))
             out.append(ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding put in front goes."""
-        out = bytearray()
-        names, byte_of = self.names, self.byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is None:
-                out += names[i].replace(SPACE, " ").encode("utf-8", "surrogatepass")
-            else:
-                out.append(b)
-        text = out.decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
     def decode_all(self, batch: list[list[int]]) -> list[str]:
