@@ -46,8 +46,11 @@ def measure(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
     """keep, then __words and the measures of each row's whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split("__t", "\n"), lambda x: F.call_function("btrim", x, F.lit(WORD_GAPS)) != "")
+    # a projection that isn't deterministic stays one: else a filter on the measures is pushed below it, and the words are
+    # split again for each of them
+    words = F.when(F.monotonically_increasing_id() >= 0, word_array(t))
     return (
-        docs.select(*keep, t.alias("__t"), word_array(t).alias("__w"))
+        docs.select(*keep, t.alias("__t"), words.alias("__w"))
         .select(
             *[F.col(c) for c in docs.select(*keep).columns],
             F.size("__w").cast("long").alias("__n_words"),
