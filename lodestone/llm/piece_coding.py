@@ -15,8 +15,8 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -112,7 +112,7 @@ class PieceCoder:
         # ranks of unused merges can be as low as -1e9; a piece is still better than bytes
         self.scores = np.maximum(np.array([s for _, _, s in usable]), -1e6)[order]
         self.fallback = -1e7
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # the ids of a word as little-endian 32-bit numbers
 
     @staticmethod
     def _codes(words: list[str], length: int) -> np.ndarray:
@@ -129,7 +129,7 @@ class PieceCoder:
             out[:, i] = h
         return out
 
-    def _equal_length(self, words: list[str], length: int) -> list[tuple[int, ...]]:
+    def _equal_length(self, words: list[str], length: int) -> list[bytes]:
         """Words of one length, all a character further at each step."""
         n = len(words)
         codes = self._codes(words, length)
@@ -171,7 +171,7 @@ class PieceCoder:
                     taken[r].extend(self.bytes[x] for x in reversed(self._plain(words[r][a:b])))
             where[rows] = back[at, rows]
             rows = rows[where[rows] > 0]
-        return [tuple(reversed(x)) for x in taken]
+        return [array("i", x[::-1]).tobytes() for x in taken]
 
     @staticmethod
     def _plain(character: str) -> bytes:
@@ -191,11 +191,11 @@ class PieceCoder:
         """The words of a text; U+2581 itself, which can't be told from a space, is kept apart as bytes by encode()."""
         return _CUT.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null and empty ones."""
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        literal = [self.bytes[x] for x in SPACE.encode()]
+        literal = array("i", [self.bytes[x] for x in SPACE.encode()]).tobytes()
         parts: list[list[list[str]]] = []
         seen: set[str] = set()
         for text in texts:
@@ -211,12 +211,8 @@ class PieceCoder:
         self.encode_words(list(seen.difference(self.cache)))
         of, out = self.cache.__getitem__, []
         for mine in parts:
-            ids: list[int] = []
-            for k, words in enumerate(mine):
-                if k:
-                    ids += literal
-                ids += chain.from_iterable(map(of, words))
-            out.append(ids)
+            ids = literal.join(b"".join(map(of, words)) for words in mine)
+            out.append(np.frombuffer(ids, np.int32))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -224,8 +220,8 @@ class PieceCoder:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text.startswith(" ") else text
 
-    def decode_all(self, batch: list[list[int]]) -> list[str]:
-        return [self.decode(ids) for ids in batch]
+    def decode_all(self, batch: list[np.ndarray]) -> list[str]:
+        return [self.decode(ids.tolist()) for ids in batch]
 
 
 _coders: dict[int, PieceCoder] = {}
@@ -248,7 +244,7 @@ def _send(spark, path: str):
     return spark.sparkContext.broadcast(data), crc32(data)
 
 
-def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, step: int = 2000) -> DataFrame:
+def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, step: int = 1000) -> DataFrame:
     """(key, n_tokens, ids, n_chars, round_trip) of every row of docs.
 
     ids: the pieces of the whole text; none for null and empty ones. round_trip: whether decoding the ids gives the text
@@ -268,10 +264,11 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 ids = coder.encode(texts)
                 same = [a == (b or "") for a, b in zip(coder.decode_all(ids), texts)]
                 lengths = np.array([len(x) for x in ids], np.int64)
-                flat = np.concatenate([np.array(x, np.int32) for x in ids] or [np.empty(0, np.int32)])
+                flat = np.concatenate(ids or [np.empty(0, np.int32)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat, pa.int32()))
                 columns = [part.column(0), pa.array(lengths), lists, pa.array([len(t or "") for t in texts], pa.int64()), pa.array(same)]
                 yield pa.RecordBatch.from_arrays(columns, names=["__id", "n_tokens", "ids", "n_chars", "round_trip"])
+        coder.cache = {}  # the worker lives on for other tasks
 
     return source.mapInArrow(run, f"__id {kind}, n_tokens long, ids array<int>, n_chars long, round_trip boolean").withColumnRenamed("__id", key)
 
