@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD_GAPS, hint_small, materialize, word_array
+from ._shared import WORD_GAPS, hint_small, materialize, whole_row, word_array
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -98,8 +98,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_hos
     """The rows of docs that judge_documents() keeps, with all their columns (measured twice, so that texts aren't moved)."""
     home = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host")
     bad = materialize(host_verdicts(measure(docs, text, [home]), max_host_failure).filter("__rejected").select("__host"), "quality-hosts")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    good = measure(docs, text, [row, home]).filter(~F.col("__base_failed"))
+    good = measure(docs, text, [whole_row(docs), home]).filter(~F.col("__base_failed"))
     return good.join(hint_small(bad, bad.count()), "__host", "left_anti").select("__row.*")
 
 

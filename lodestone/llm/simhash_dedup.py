@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, whole_row
 from .components import components
 
 TILE = 4096
@@ -252,8 +252,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     marked = materialize(fingerprints(docs, key, text, width, len(words), unique_shingles=True), "simhash")
     joined = _labelled(marked, words, lambda groups: link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far))
     stay = materialize(joined.filter("__id <=> __c").select("__id").distinct(), "simhash-stay")
-    rows = docs.withColumn("__id", F.col(key).cast("long"))
-    first = rows.join(stay.filter("__id IS NOT NULL"), "__id", "left_semi").drop("__id")
+    rows = docs.select(F.col(key).cast("long").alias("__id"), whole_row(docs))
+    first = rows.join(stay.filter("__id IS NOT NULL"), "__id", "left_semi").select("__row.*")
     blank = stay.filter("__id IS NULL")
     if not blank.isEmpty():
         first = first.unionByName(docs.filter(F.col(key).isNull()))

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize
+from ._shared import discard, materialize, whole_row
 from .suffix_sorting import suffix_array
 
 LENGTH = 200
@@ -346,12 +346,12 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """
     spans = repeated_spans(docs, key, text, length, hot)
     keys = spans.select("__a", "__b")
-    rows = _with_place(docs, key, text).drop("__t")
+    rows = _with_place(docs.select(F.col(key).alias("__k"), F.col(text).alias("__x"), whole_row(docs)), "__k", "__x").select("__a", "__b", "__row")
     whole = None
     if keys.count() <= KEY_ROWS:
-        whole = rows.join(F.broadcast(keys), ["__a", "__b"], "left_anti").select(*[f"`{c}`" for c in docs.columns])
+        whole = rows.join(F.broadcast(keys), ["__a", "__b"], "left_anti").select("__row.*")
         rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
-    joined = rows.join(spans, ["__a", "__b"], "left").drop("__a", "__b")
+    joined = rows.join(spans, ["__a", "__b"], "left").select("__row.*", F.col("__spans").alias("__spans_of_" + "_".join(docs.columns)))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
