@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import graphs, matrices, partitioning, reports, sorting
+from ..operators import graphs, matrices, partitioning, reports, sorting, tasks
 from ..session import table
 from ..sources import generators
 from ..streaming import counters, requests
@@ -467,3 +467,24 @@ def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     """A running count inside each class."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("running"))
+
+
+@query("SELECT count(*) AS n_tasks, CAST(sum(n + 1) AS DOUBLE) AS total FROM (SELECT unnest(range(0, 1000)) AS n)")
+def task_pool(spark: SparkSession, d: str) -> DataFrame:
+    """A thousand tasks that each add one."""
+    return tasks.completed(tasks.run_tasks(spark, 1000, lambda i: i + 1))
+
+
+@query("SELECT count(*) AS n, sum(v) AS total, count(DISTINCT v) AS n_distinct FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS v)")
+def shuffled_permutation(spark: SparkSession, d: str) -> DataFrame:
+    """A seeded shuffle keeps every number once."""
+    p = generators.permutation(spark, table(spark, d, "customer").count())
+    return p.agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.count_distinct("v").alias("n_distinct"))
+
+
+@query("SELECT p_size, count(*) AS n_brands, min(p_brand) AS first_brand FROM (SELECT DISTINCT p_size, p_brand FROM part) GROUP BY 1")
+def union_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Local results concatenated, then made distinct."""
+    p = table(spark, d, "part").select("p_size", "p_brand")
+    merged = p.filter("p_size % 2 = 0").unionByName(p.filter("p_size % 2 = 1")).unionByName(p.filter("p_size = 7")).distinct()
+    return merged.groupBy("p_size").agg(F.count("*").alias("n_brands"), F.min("p_brand").alias("first_brand"))

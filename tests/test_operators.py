@@ -185,6 +185,10 @@ def test_result_files(spark, tmp_path):
     result_files.append_rows(rows, folder)
     result_files.append_rows(rows, folder)
     assert result_files.read_rows(spark, folder, result_files.MEASUREMENT).count() == 2
+    pivot = spark.createDataFrame([(20, "", "1.5"), (3, "2.0", "")], "size int, a string, b string")
+    result_files.write_pivot(pivot, f"file://{tmp_path}/p", "size")
+    lines = [r.value for r in spark.read.text(f"file://{tmp_path}/p").collect()]
+    assert lines == ["size\ta\tb", "3\t2.0\t", "20\t\t1.5"]
     result_files.write_texts(spark.createDataFrame([(1, "x"), (2, "y")], "n int, value string"), f"file://{tmp_path}/t", "n")
     assert spark.read.text(f"file://{tmp_path}/t").count() == 2
 
@@ -209,6 +213,18 @@ def test_running_counts(spark, tmp_path):
     assert {r.k: r.n for r in counters.drain_counts(spark, f"{tmp_path}/in", "k").collect()} == {"a": 2, "b": 1}
 
 
+def test_tasks(spark):
+    from lodestone.operators import tasks
+
+    assert tuple(tasks.completed(tasks.run_tasks(spark, 10, lambda i: 1, 3)).first()) == (10, 10.0)
+    assert tuple(tasks.completed(tasks.run_tasks(spark, 0, lambda i: 1)).first()) == (0, None)
+
+
+def test_clocks(spark):
+    row = spark.createDataFrame([(1, 999_999_999, 3, 1)], "a long, b long, c long, d long").select(fn.elapsed_ns("a", "b", "c", "d").alias("ns")).first()
+    assert row.ns == 1_000_000_002
+
+
 def test_lists(spark):
     edges = spark.createDataFrame([(0, 2), (0, 1), (0, 1), (1, 0)], "src long, dst long")
     lists = graphs.adjacency(edges)
