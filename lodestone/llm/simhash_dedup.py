@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     Texts are alike if their sets of `width`-word shingles have the given similarity (Jaccard) or more, as told by 256
     fingerprint bits: the angle of that similarity is the radius. Pairs
-    compared agree in one of 40 keys of 14 bits each (99 % of pairs just at a similarity of 0.8, more above). Texts
+    compared agree in one of 40 keys of 14 bits each (by calculation 98.5 % of pairs just at a similarity of 0.8, more above). Texts
     without a word are alike. Rows equal in key and text are one row; a group without any key keeps a row for each
     fingerprint. An empty table gives no rows.
     """
