@@ -253,8 +253,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     joined = _labelled(marked, words, lambda groups: link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far))
     stay = materialize(joined.filter("__id <=> __c").select("__id").distinct(), "simhash-stay")
     rows = docs.select(F.col(key).cast("long").alias("__id"), whole_row(docs))
-    first = rows.join(stay.filter("__id IS NOT NULL"), "__id", "left_semi").select("__row.*")
-    blank = stay.filter("__id IS NULL")
-    if not blank.isEmpty():
-        first = first.unionByName(docs.filter(F.col(key).isNull()))
-    return first.dropDuplicates([key])
+    # made distinct by the join's own key, before the columns are taken apart: texts are shuffled once
+    first = rows.join(stay.filter("__id IS NOT NULL"), "__id", "left_semi").dropDuplicates(["__id"]).select("__row.*")
+    if not stay.filter("__id IS NULL").isEmpty():
+        first = first.unionByName(docs.filter(F.col(key).isNull()).dropDuplicates([key]))
+    return first
