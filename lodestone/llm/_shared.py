@@ -89,6 +89,13 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
 
 
+def row_hashes(key: str, text: str) -> tuple[Column, Column]:
+    """128 bits, as two longs, that tell a row by its key and text; rows equal in both are one, null texts are empty ones."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    k = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    return F.xxhash64(k, t), F.xxhash64(t, F.lit(1), k)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

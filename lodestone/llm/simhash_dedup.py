@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, whole_row
+from ._shared import materialize, row_hashes, whole_row
 from .components import components
 
 TILE = 4096
@@ -211,15 +211,13 @@ def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: i
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _labelled(marked: DataFrame, words: list[str], links: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """marked with __c, the least __id of each row's component."""
-    groups = marked.groupBy(*words).agg(F.min("__id").alias("__least"))
+def _grouped(marked: DataFrame, words: list[str], least: Column, links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(words, __root) of every distinct fingerprint, and (__root, __c) with the least value of `least`, an aggregate's argument, in each component."""
+    groups = marked.groupBy(*words).agg(F.min(least).alias("__least"))
     groups = materialize(groups.withColumn("__h", F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)), "simhash-groups")
     roots = materialize(components(links(groups)), "simhash-roots")
     placed = groups.join(roots.withColumnRenamed("node", "__h"), "__h", "left").withColumn("__root", F.coalesce("root", "__h"))
-    named = placed.groupBy("__root").agg(F.min("__least").alias("__c"))
-    labels = placed.select(*words, "__root").join(named, "__root").select(*words, "__c")
-    return marked.join(labels, words)
+    return placed.select(*words, "__root"), placed.groupBy("__root").agg(F.min("__least").alias("__c"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -231,7 +229,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     once each; an empty table gives no rows; other columns are ignored.
     """
     marked = materialize(fingerprints(docs, key, text, width), "simhash")
-    joined = _labelled(marked, ["__f0"], lambda groups: link_fingerprints(groups.select("__h", "__f0"), block_masks(radius), radius))
+    placed, named = _grouped(marked, ["__f0"], F.col("__id"), lambda groups: link_fingerprints(groups.select("__h", "__f0"), block_masks(radius), radius))
+    joined = marked.join(placed.join(named, "__root").select("__f0", "__c"), "__f0")
     return joined.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("__f0"), 16, "0")).alias("fingerprint"), F.col("__c").alias("component_id"))
 
 
@@ -241,20 +240,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     Texts are alike if their sets of `width`-word shingles have the given similarity (Jaccard) or more, as told by 256
     fingerprint bits: the angle of that similarity is the radius. Pairs
     compared agree in one of 40 keys of 14 bits each (by calculation 98.5 % of pairs just at a similarity of 0.8, more above). Texts
-    without a word are alike. Rows equal in key and text are one row; a group without any key keeps a row for each
-    fingerprint. An empty table gives no rows.
+    without a word are alike. Every group keeps just one row: rows without a key come after all others, rows of one key
+    are told apart by a hash of their texts, and of rows equal in key and text any one stands for all. An empty table
+    gives no rows.
     """
     words = [f"__f{i}" for i in range(4)]
     bits = 64 * len(words)
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
     far = round(bits * part)
     near = round(64 * part + 4 * math.sqrt(64 * part * (1 - part)))
-    marked = materialize(fingerprints(docs, key, text, width, len(words), unique_shingles=True), "simhash")
-    joined = _labelled(marked, words, lambda groups: link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far))
-    stay = materialize(joined.filter("__id <=> __c").select("__id").distinct(), "simhash-stay")
-    rows = docs.select(F.col(key).cast("long").alias("__id"), whole_row(docs))
-    # made distinct by the join's own key, before the columns are taken apart: texts are shuffled once
-    first = rows.join(stay.filter("__id IS NOT NULL"), "__id", "left_semi").dropDuplicates(["__id"]).select("__row.*")
-    if not stay.filter("__id IS NULL").isEmpty():
-        first = first.unionByName(docs.filter(F.col(key).isNull()).dropDuplicates([key]))
-    return first
+    a, b = row_hashes(key, text)
+    marked = materialize(fingerprints(docs, key, text, width, len(words), unique_shingles=True, carry=[a.alias("__a"), b.alias("__b")]), "simhash")
+    first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
+    _, named = _grouped(marked, words, first, lambda groups: link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far))
+    stay = materialize(named.select("__c.__a", "__c.__b"), "simhash-stay")
+    rows = docs.select(a.alias("__a"), b.alias("__b"), whole_row(docs))
+    # made distinct by the join's own keys, before the columns are taken apart: texts are shuffled once
+    return rows.join(stay, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select("__row.*")

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize, whole_row
+from ._shared import discard, materialize, row_hashes, whole_row
 from .suffix_sorting import suffix_array
 
 LENGTH = 200
@@ -81,10 +81,9 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _with_place(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """__a and __b tell a row by its key and text: 128 bits; rows equal in both are one."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    k = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
-    return docs.select("*", F.xxhash64(k, t).alias("__a"), F.xxhash64(t, F.lit(1), k).alias("__b"), t.alias("__t"))
+    """docs with __a and __b, which tell a row by its key and text, and __t, the text."""
+    a, b = row_hashes(key, text)
+    return docs.select("*", a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
 
 
 def _all_segments(rows: DataFrame, length: int) -> DataFrame:

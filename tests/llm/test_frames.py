@@ -95,6 +95,15 @@ def test_simhash(docs, empty):
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows of one key, or of none, are kept apart by their texts."""
+    other, third = (" ".join(f"{w}{i * i % 89}" for i in range(120)) for w in ("other", "third"))
+    rows = [(1, PROSE), (1, other), (1, other), (2, PROSE), (None, third), (None, third), (None, PROSE), (None, other + " more"), (None, "blue " + third[:200]), (3, None), (3, ""), (None, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash_dedup.keep_one(frame).collect()), key=str)
+    assert kept == sorted([(1, PROSE), (1, other), (None, third), (None, "blue " + third[:200]), (3, "")], key=str)
+
+
 def test_large_blocks_are_dealt(spark):
     import numpy as np
 
