@@ -69,11 +69,11 @@ def host_verdicts(measured: DataFrame, max_failure: float = MAX_HOST_FAILURE) ->
     The prior is a beta distribution with the mean and variance of the hosts' rates; where they don't vary, its
     weight is 1e6 documents, so that all hosts have the common rate.
     """
-    hosts = measured.groupBy("__host").agg(F.count("*").alias("__n"), F.sum(F.col("__base_failed").cast("long")).alias("__f"))
-    spread = hosts.agg(F.avg(F.expr("__f / __n")).alias("__m"), F.coalesce(F.var_pop(F.expr("__f / __n")), F.lit(0.0)).alias("__v"))
-    weight = F.when(F.col("__v") > 1e-12, F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("__m") * (1 - F.col("__m")) / F.col("__v") - 1))).otherwise(F.lit(1e6))
-    rate = (F.col("__f") + F.col("__m") * weight) / (F.col("__n") + weight)
-    return hosts.crossJoin(F.broadcast(spread)).select("__host", (rate > max_failure).alias("__rejected"))  # spread is one row
+    hosts = materialize(measured.groupBy("__host").agg(F.count("*").alias("__n"), F.sum(F.col("__base_failed").cast("long")).alias("__f")), "quality-rates")
+    mean, spread = (x or 0.0 for x in hosts.agg(F.avg(F.expr("__f / __n")), F.var_pop(F.expr("__f / __n"))).first())
+    weight = max(1.0, min(1e6, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1e6
+    rate = (F.col("__f") + F.lit(mean * weight)) / (F.col("__n") + F.lit(weight))
+    return hosts.select("__host", (rate > max_failure).alias("__rejected"))
 
 
 def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
