@@ -29,7 +29,7 @@ from .suffix_sorting import suffix_array
 
 LENGTH = 200
 GRAM = 16
-HOT = 50_000
+HOT = 5_000  # distinct segments sorted together: 180 MB or so, as much as BLOCK takes (50,000: 1.8 GB)
 BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
 CHUNK = 16
 SPANS = "array<struct<start:int,end:int>>"
