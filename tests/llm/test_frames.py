@@ -260,17 +260,3 @@ def test_sql(spark, name):
     columns = sorted(frame.columns)
     got = sorted(map(str, (tuple(r) for r in frame.select(*columns).collect())))
     assert got == sorted(map(str, con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()))
-
-
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        docs = corpus_pipeline.materialize(stage(spark, docs, DATA), "test")
-        assert docs.columns == columns and 0 < docs.count() <= before, name
-    coded = corpus_pipeline.encode(spark, docs, DATA)
-    assert coded.filter("NOT round_trip").count() == 0 and coded.count() == docs.count()
