@@ -23,10 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, row_hashes, whole_row
+from ._shared import KEY_ROWS, hint_small, materialize, row_hashes, whole_row
 from .components import components
 
 TILE = 4096
+#: What one task confirms together: members, and bytes of their shingle sets.
+CONFIRM_ROWS, CONFIRM_BYTES = 2048, 16 << 20
 SEED = 42
 
 
@@ -101,7 +103,26 @@ def _join_pairs(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> None
             parent[max(a, b)] = min(a, b)
 
 
-def compare_tiles(values: np.ndarray, radius: int, far: np.ndarray | None = None, far_radius: int = 0, sides: np.ndarray | None = None, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def _join_confirmed(parent: np.ndarray, left: np.ndarray, right: np.ndarray, confirm: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """As _join_pairs, but only pairs that confirm() accepts are joined; pairs already connected aren't asked about. Returns those joined."""
+    made = []
+    while len(left):
+        while np.any(parent[parent] != parent):
+            parent[:] = parent[parent]
+        apart = parent[left] != parent[right]
+        left, right = left[apart], right[apart]
+        for x, y in zip(left[:256].tolist(), right[:256].tolist()):
+            a, b = _find(parent, x), _find(parent, y)
+            if a != b and confirm(x, y):
+                parent[max(a, b)] = min(a, b)
+                made.append((x, y))
+        left, right = left[256:], right[256:]
+    return made
+
+
+def compare_tiles(
+    values: np.ndarray, radius: int, far: np.ndarray | None = None, far_radius: int = 0, sides: np.ndarray | None = None, tile: int = 512, confirm: Callable[[int, int], bool] | None = None, labels: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (indices u, v) of the links among values, uint64 of shape (n,).
 
     far: more words of each fingerprint, shape (n, k); a link then also needs at most far_radius differing bits over
@@ -113,6 +134,10 @@ def compare_tiles(values: np.ndarray, radius: int, far: np.ndarray | None = None
     counts, v = counts[order], values[order]
     s = None if sides is None else sides[order]
     parent = np.arange(len(v))
+    if labels is not None:
+        _, first, label = np.unique(labels[order], return_index=True, return_inverse=True)
+        parent = first[label]
+    made: list[tuple[int, int]] = []
     for a in range(0, len(v), tile):
         rows, last = v[a : a + tile], counts[min(a + tile, len(v)) - 1]
         for b in range(a, len(v), tile):
@@ -129,9 +154,15 @@ def compare_tiles(values: np.ndarray, radius: int, far: np.ndarray | None = None
                 total = np.bitwise_count(v[x] ^ v[y]).astype(np.int64)
                 for k in range(far.shape[1]):
                     total += np.bitwise_count(far[order[x], k] ^ far[order[y], k])
-                x, y = x[total <= far_radius], y[total <= far_radius]
-            if len(x):
+                x, y, total = (c[total <= far_radius] for c in (x, y, total))
+            if len(x) and confirm is not None:
+                nearest = np.argsort(total, kind="stable")
+                made += _join_confirmed(parent, x[nearest], y[nearest], lambda i, j: confirm(int(order[i]), int(order[j])))
+            elif len(x):
                 _join_pairs(parent, x, y)
+    if confirm is not None:
+        pairs = order[np.array(made, np.int64).reshape(-1, 2)]
+        return pairs[:, 0], pairs[:, 1]
     roots = np.array([_find(parent, i) for i in range(len(v))], np.int64)
     child = np.flatnonzero(roots != np.arange(len(v)))
     return order[roots[child]], order[child]
@@ -211,6 +242,120 @@ def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: i
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the given Jaccard similarity or more; empty ones are equal."""
+    small, big = (a, b) if len(a) < len(b) else (b, a)
+    if not len(big):
+        return True
+    if len(small) / len(big) < similarity:
+        return False
+    same = int(np.count_nonzero(big[np.minimum(np.searchsorted(big, small), len(big) - 1)] == small))
+    return same / (len(a) + len(b) - same) >= similarity
+
+
+def _confirm(words: list[str], near: int, far: int, similarity: float):
+    """Members in the order of (root, p, q), those of a tile pair together -> the links confirmed by their shingle sets."""
+
+    def links(held: dict[int, tuple], several: bool) -> pa.RecordBatch:
+        names, rows = list(held), list(held.values())
+        sets = [np.frombuffer(r[-1], np.uint64) for r in rows]
+        f = np.array([r[2:-1] for r in rows], np.int64).view(np.uint64)
+        sides, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
+        u, v = compare_tiles(np.ascontiguousarray(f[:, 0]), near, f[:, 1:], far, sides if several else None, confirm=lambda i, j: alike(sets[i], sets[j], similarity), labels=labels)
+        h = np.array(names, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h[u]), pa.array(h[v])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        last: tuple | None = None
+        for batch in batches:
+            cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for root, p, q, h, *row in zip(*cols):
+                if (root, p, q) != last:
+                    if len(held) > 1:
+                        yield links(held, last[1] != last[2])
+                    held, last = {}, (root, p, q)
+                held[h] = tuple(row)
+        if len(held) > 1:
+            yield links(held, last[1] != last[2])
+
+    return run
+
+
+def _sets(width: int):
+    """Rows that end with a text -> the same with the number of its distinct shingles, and their sorted hashes, in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, size, made = 0, 0, []
+            texts = batch.column(batch.num_columns - 1)
+            for i in range(batch.num_rows):
+                made.append(np.unique(shingle_hashes(texts[i].as_py().encode("utf-8", "surrogatepass"), width)))
+                size += made[-1].nbytes
+                if size > CONFIRM_BYTES or i == batch.num_rows - 1:
+                    kept = batch.slice(start, len(made)).columns[:-1]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array([len(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=[*batch.schema.names[:-1], "__n", "__s"])
+                    start, size, made = i + 1, 0, []
+
+    return run
+
+
+def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: int, near: int, far: int, similarity: float, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
+    """Of loose links (u, v) among groups (__h, __f columns, __least with __a and __b), those that hold for the texts of rows (__a, __b, __t).
+
+    Only members of a loose component meet. Each brings its shingle set once to a task, in which pairs within the radii
+    are taken nearest first, those not yet connected are compared by their sets, and so a component of copies is
+    confirmed by as many comparisons as it has members. A component of over tile_rows members (or CONFIRM_BYTES) is
+    dealt into tiles, each with the same few more members, so that what is alike is connected over them; then only
+    members outside its largest confirmed part meet the rest, tile by tile. No pair of members within the radii is left out.
+    """
+    words = sorted(c for c in groups.columns if c.startswith("__f"))
+    loose = components(links).withColumnRenamed("node", "__h")
+    linked = materialize(groups.join(loose, "__h").select("root", "__h", *words, "__least.__a", "__least.__b"), "simhash-linked")
+    if linked.count() <= KEY_ROWS:  # texts that aren't wanted stay where they are
+        rows = rows.join(F.broadcast(linked.select("__a", "__b")), ["__a", "__b"], "left_semi")
+    texts = linked.join(rows.dropDuplicates(["__a", "__b"]), ["__a", "__b"]).select("root", "__h", *words, "__t")
+    members = materialize(texts.mapInArrow(_sets(width), ", ".join(f"`{c}` long" for c in texts.columns[:-1]) + ", __n long, __s binary"), "simhash-members")
+
+    def tiles(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / tile_rows), F.ceil(size * 8 / CONFIRM_BYTES)).cast("long")
+
+    def meet(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("root", "p", "q", "__h", "side", "label", *words, "__s")
+        return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_confirm(words, near, far, similarity), "u long, v long")
+
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("__n").alias("size"))
+    large = materialize(sizes.select("root", tiles(F.col("n"), F.col("size")).alias("g"), F.ceil(F.col("n") / 32).alias("few")).filter("g > 1"), "simhash-large")
+    zero = F.lit(0).cast("long")
+    first = members.select("*", F.lit(0).alias("side"), F.col("__h").alias("label"))
+    number = large.count()
+    if not number:
+        return meet(first.select("*", zero.alias("p"), zero.alias("q")))
+
+    own = F.pmod(F.xxhash64("__h"), F.coalesce("g", F.lit(1)))
+    everywhere = F.expr("g is not null and pmod(xxhash64(__h, 1), few) = 0")
+    placed = first.join(hint_small(large, number), "root", "left").withColumn("p", F.explode(F.when(everywhere, F.expr("sequence(0L, g - 1)")).otherwise(F.array(own))))
+    found = materialize(meet(placed.withColumn("q", F.col("p"))), "simhash-confirmed")
+
+    parts = components(found).select(F.col("node").alias("__h"), F.col("root").alias("part"))
+    few = hint_small(large.select("root"), number)
+    labelled = members.select("root", "__h", "__n").join(few, "root").join(parts, "__h", "left").select("root", "__h", "__n", F.coalesce("part", "__h").alias("label"))
+    labelled = materialize(labelled, "simhash-parts")
+    by_part = labelled.groupBy("root", "label").agg(F.count("*").alias("n"), F.sum("__n").alias("size"))
+    most = F.max(F.struct("n", "size", "label"))
+    plan = by_part.groupBy("root").agg(most.alias("most"), (F.sum("n") - F.max("n")).alias("n"), F.sum("size").alias("size"))
+    plan = plan.filter("n > 0").select("root", F.col("most.label").alias("main"), tiles(F.col("most.n"), F.col("most.size")).alias("gm"), tiles(F.col("n"), F.col("size") - F.col("most.size")).alias("go"))
+    plan = materialize(plan, "simhash-rest")
+    rest = members.join(hint_small(plan, number), "root").join(labelled.select("__h", "label"), "__h")
+    # tiles of the others are 0 .. go - 1, those of the main part follow; others meet all tiles, the main part those of the others
+    other = F.col("label") != F.col("main")
+    t = F.when(other, F.pmod(F.xxhash64("__h"), "go")).otherwise(F.col("go") + F.pmod(F.xxhash64("__h"), "gm"))
+    u = F.explode(F.expr("sequence(0L, if(label <> main, go + gm, go) - 1)"))
+    rest = rest.withColumn("t", t).withColumn("u", u)
+    rest = rest.select("*", F.least("t", "u").alias("p"), F.greatest("t", "u").alias("q"), F.when(F.col("t") <= F.col("u"), 0).otherwise(1).alias("side"))
+    return found.unionByName(meet(rest))
+
+
 def _grouped(marked: DataFrame, words: list[str], least: Column, links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(words, __root) of every distinct fingerprint, and (__root, __c) with the least value of `least`, an aggregate's argument, in each component."""
     groups = marked.groupBy(*words).agg(F.min(least).alias("__least"))
@@ -234,12 +379,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return joined.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("__f0"), 16, "0")).alias("fingerprint"), F.col("__c").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest key stays, whole.
 
-    Texts are alike if their sets of `width`-word shingles have the given similarity (Jaccard) or more, as told by 256
-    fingerprint bits: the angle of that similarity is the radius. Pairs
-    compared agree in one of 40 keys of 14 bits each (by calculation 98.5 % of pairs just at a similarity of 0.8, more above). Texts
+    Texts are linked if their sets of `width`-word shingles have the given similarity (Jaccard) or more, and groups are
+    what links connect. Links are looked for by 256 fingerprint bits, within the angle of that similarity and three
+    standard deviations more, among fingerprints that agree in one of 40 keys of 14 bits each (by calculation 98.5 % of
+    pairs just at a similarity of 0.8, more above); each is then confirmed by the sets themselves, so no text goes for
+    an estimate. Equal fingerprints are taken for one text. Texts
     without a word are alike. Every group keeps just one row: rows without a key come after all others, rows of one key
     are told apart by a hash of their texts, and of rows equal in key and text any one stands for all. An empty table
     gives no rows.
@@ -247,12 +394,18 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     words = [f"__f{i}" for i in range(4)]
     bits = 64 * len(words)
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    far = round(bits * part)
+    far = round(bits * part + 3 * math.sqrt(bits * part * (1 - part)))
     near = round(64 * part + 4 * math.sqrt(64 * part * (1 - part)))
     a, b = row_hashes(key, text)
     marked = materialize(fingerprints(docs, key, text, width, len(words), unique_shingles=True, carry=[a.alias("__a"), b.alias("__b")]), "simhash")
     first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
-    _, named = _grouped(marked, words, first, lambda groups: link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far))
+    texts = docs.select(a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+
+    def links(groups: DataFrame) -> DataFrame:
+        loose = link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far)
+        return confirm_links(loose, groups, texts, width, near, far, similarity, tile_rows)
+
+    _, named = _grouped(marked, words, first, links)
     stay = materialize(named.select("__c.__a", "__c.__b"), "simhash-stay")
     rows = docs.select(a.alias("__a"), b.alias("__b"), whole_row(docs))
     # made distinct by the join's own keys, before the columns are taken apart: texts are shuffled once

@@ -24,7 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize, row_hashes, whole_row
+from ._shared import KEY_ROWS, discard, materialize, row_hashes, whole_row
 from .suffix_sorting import suffix_array
 
 LENGTH = 200
@@ -33,8 +33,6 @@ HOT = 5_000  # distinct segments sorted together: 180 MB or so, as much as BLOCK
 BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
 CHUNK = 16
 SPANS = "array<struct<start:int,end:int>>"
-#: Keys of one or two longs are broadcast up to this many (32 MB); above, the planner shuffles.
-KEY_ROWS = 2_000_000
 
 _POS = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -8,6 +8,7 @@ from collections import Counter
 from zlib import crc32
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,3 +261,28 @@ def test_sql(spark, name):
     columns = sorted(frame.columns)
     got = sorted(map(str, (tuple(r) for r in frame.select(*columns).collect())))
     assert got == sorted(map(str, con.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()))
+
+
+@pytest.mark.parametrize("tile_rows", [8, 2048])
+def test_keep_one_is_exact_in_large_groups(spark, tile_rows):
+    """Two texts and variants of each, some alike to the one, some to neither; both ways of confirming, with and without dealing."""
+    rng = np.random.default_rng(5)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 400)] for _ in range(2)]
+    texts = []
+    for k in range(120):
+        words = list(base[k % 2])
+        for at in rng.choice(400, int(rng.integers(1, 24)), replace=False):
+            words[at] = f"v{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts + texts[:5] + ["", None, "one", "a b c d e"])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sets[i] | sets[j]
+            if root[i] != root[j] and (not both or len(sets[i] & sets[j]) / len(both) >= 0.8):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows).collect())
+    assert len(set(root)) > 5 and kept == sorted(set(root))

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import simhash_dedup
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
@@ -53,30 +52,20 @@ def test_quality(stages):
 
 
 def test_near_duplicates(stages):
-    """Every two fingerprints compared: the same survivors. They are an estimate, so exact similarities only bound them."""
+    """Components of exact similarities of five-word shingle sets, every two documents compared."""
     before, after = stages["near duplicates"]
-    sets, prints = {}, {}
+    sets = {}
     for i, (text, _) in before.items():
         w = split(text)
         sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-        h = np.unique(simhash_dedup.shingle_hashes((text or "").encode(), 5))
-        prints[i] = [simhash_dedup.majority(h if k == 0 or not len(h) else simhash_dedup._second(h, k)) for k in range(4)]
-
-    def alike(i, j):
-        return len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
-
     ids = sorted(sets)
     root = {i: i for i in ids}
     for i in ids:
         for j in ids:
-            apart = [(x ^ y).bit_count() for x, y in zip(prints[i], prints[j])]
-            if i < j and root[i] != root[j] and apart[0] <= 21 and sum(apart) <= 39:  # 256 bits at the angle of 0.8
+            if i < j and root[i] != root[j] and (not sets[i] | sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
-    assert set(after) == set(root.values())
-    assert all(after[i] == before[i] for i in after)
-    assert not [(i, j) for i in after for j in after if i < j and alike(i, j) >= 0.9]
-    assert all(any(alike(i, j) >= 0.7 for j in ids if j != i) for i in ids if i not in after)
+    assert after == {i: before[i] for i in set(root.values())}
 
 
 def test_repeats(stages):
