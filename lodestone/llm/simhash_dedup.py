@@ -29,6 +29,8 @@ from .components import components
 TILE = 4096
 #: What one task confirms together: members, and bytes of their shingle sets.
 CONFIRM_ROWS, CONFIRM_BYTES = 2048, 16 << 20
+#: Bits of a shingle set's sketch, and the rows of one key up to which all of its pairs are taken at once with other keys'.
+SKETCH_BITS, FEW = 1024, 32
 SEED = 42
 
 
@@ -58,35 +60,17 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def _second(hashes: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of the same shingles, for fingerprints of more than 64 bits."""
-    h = hashes + np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, key: str, text: str, width: int, words64: int = 1, unique_shingles: bool = False, carry: list | None = None) -> DataFrame:
-    """(__id, carried columns, __f0 .. __f{words64-1}): signed longs holding each text's fingerprint."""
-    names = [f"__f{i}" for i in range(words64)]
-    source = docs.select(F.col(key).cast("long").alias("__id"), *(carry or []), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    kept = source.columns[:-1]
+def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(__id, __f0): signed longs holding each text's fingerprint."""
+    source = docs.select(F.col(key).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list[int]] = [[] for _ in names]
-            column = batch.column(len(kept))
-            for i in range(len(column)):
-                h = shingle_hashes(column[i].as_py().encode("utf-8", "surrogatepass"), width)
-                if unique_shingles and len(h):
-                    h = np.unique(h)
-                for k in range(words64):
-                    made[k].append(majority(h if k == 0 or not len(h) else _second(h, k)))
-            arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(np.array(m, np.uint64).view(np.int64)) for m in made]
-            yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
+            column = batch.column(1)
+            made = [majority(shingle_hashes(column[i].as_py().encode("utf-8", "surrogatepass"), width)) for i in range(len(column))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], names=["__id", "__f0"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + "".join(f", {n} long" for n in names)
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, "__id long, __f0 long")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -120,24 +104,17 @@ def _join_confirmed(parent: np.ndarray, left: np.ndarray, right: np.ndarray, con
     return made
 
 
-def compare_tiles(
-    values: np.ndarray, radius: int, far: np.ndarray | None = None, far_radius: int = 0, sides: np.ndarray | None = None, tile: int = 512, confirm: Callable[[int, int], bool] | None = None, labels: np.ndarray | None = None
-) -> tuple[np.ndarray, np.ndarray]:
+def compare_tiles(values: np.ndarray, radius: int, sides: np.ndarray | None = None, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (indices u, v) of the links among values, uint64 of shape (n,).
 
-    far: more words of each fingerprint, shape (n, k); a link then also needs at most far_radius differing bits over
-    all words. sides: 0 or 1 for each value; only links between the two sides count. Tiles are cut in the order of the
-    population counts, and tile pairs further apart than the radius are skipped.
+    sides: 0 or 1 for each value; only links between the two sides count. Tiles are cut in the order of the population
+    counts, and tile pairs further apart than the radius are skipped.
     """
     counts = np.bitwise_count(values).astype(np.int64)
     order = np.argsort(counts, kind="stable")
     counts, v = counts[order], values[order]
     s = None if sides is None else sides[order]
     parent = np.arange(len(v))
-    if labels is not None:
-        _, first, label = np.unique(labels[order], return_index=True, return_inverse=True)
-        parent = first[label]
-    made: list[tuple[int, int]] = []
     for a in range(0, len(v), tile):
         rows, last = v[a : a + tile], counts[min(a + tile, len(v)) - 1]
         for b in range(a, len(v), tile):
@@ -149,25 +126,54 @@ def compare_tiles(
             x, y = np.nonzero(near)
             x, y = x + a, y + b
             ahead = x < y
-            x, y = x[ahead], y[ahead]
-            if far is not None and len(x):
-                total = np.bitwise_count(v[x] ^ v[y]).astype(np.int64)
-                for k in range(far.shape[1]):
-                    total += np.bitwise_count(far[order[x], k] ^ far[order[y], k])
-                x, y, total = (c[total <= far_radius] for c in (x, y, total))
-            if len(x) and confirm is not None:
-                nearest = np.argsort(total, kind="stable")
-                made += _join_confirmed(parent, x[nearest], y[nearest], lambda i, j: confirm(int(order[i]), int(order[j])))
-            elif len(x):
-                _join_pairs(parent, x, y)
-    if confirm is not None:
-        pairs = order[np.array(made, np.int64).reshape(-1, 2)]
-        return pairs[:, 0], pairs[:, 1]
+            _join_pairs(parent, x[ahead], y[ahead])
     roots = np.array([_find(parent, i) for i in range(len(v))], np.int64)
     child = np.flatnonzero(roots != np.arange(len(v)))
     return order[roots[child]], order[child]
 
 
+def differ_most(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many elements two sets of these sizes together, alike as asked, have that aren't in both, at most."""
+    return np.floor(sizes * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def compare_sets(
+    sketches: np.ndarray, sizes: np.ndarray, similarity: float, confirm: Callable[[int, int], bool], sides: np.ndarray | None = None, labels: np.ndarray | None = None, tile: int = 512
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (indices u, v) of the links that confirm() accepts among sets, told by sketch() and number of elements.
+
+    Only pairs that sizes and sketches prove to be less alike aren't asked about, and those already connected. labels:
+    sets of one label are connected from the start. Tiles are cut in the order of the sizes.
+    """
+    order = np.argsort(sizes, kind="stable")
+    n, k = sizes[order], sketches[order]
+    s = None if sides is None else sides[order]
+    parent = np.arange(len(n))
+    if labels is not None:
+        _, first, label = np.unique(labels[order], return_index=True, return_inverse=True)
+        parent = first[label]
+    made: list[tuple[int, int]] = []
+    for a in range(0, len(n), tile):
+        rows, last = k[a : a + tile], n[min(a + tile, len(n)) - 1]
+        for b in range(a, len(n), tile):
+            if n[b] * similarity > last + 1e-6:
+                break
+            total = np.zeros((len(rows), len(k[b : b + tile])), np.int64)
+            for w in range(k.shape[1]):
+                total += np.bitwise_count(rows[:, None, w] ^ k[None, b : b + tile, w])
+            small, big = n[a : a + tile, None], n[None, b : b + tile]  # of pairs in the order of the sizes
+            near = (total <= differ_most(small + big, similarity)) & (big * similarity <= small + 1e-6)
+            if s is not None:
+                near &= s[a : a + tile, None] != s[None, b : b + tile]
+            x, y = np.nonzero(near)
+            ahead = x + a < y + b
+            x, y = x[ahead], y[ahead]
+            nearest = np.argsort(total[x, y], kind="stable")
+            made += _join_confirmed(parent, x[nearest] + a, y[nearest] + b, lambda i, j: confirm(int(order[i]), int(order[j])))
+    pairs = order[np.array(made, np.int64).reshape(-1, 2)]
+    return pairs[:, 0], pairs[:, 1]
+
+
 def block_masks(radius: int, bits: int = 64) -> list[tuple[int]]:
     """radius + 1 blocks of __f0: fingerprints within the radius agree in one at least."""
     blocks = radius + 1
@@ -175,17 +181,11 @@ def block_masks(radius: int, bits: int = 64) -> list[tuple[int]]:
     return [((1 << cuts[i + 1]) - (1 << cuts[i]),) for i in range(blocks)]
 
 
-def band_masks(words64: int, bands: int, width: int) -> list[tuple[int, ...]]:
-    """bands masks of `width` bits each, drawn evenly from fingerprints of words64 words."""
-    places = np.random.default_rng(SEED).permuted(np.tile(np.arange(64 * words64), (bands, 1)), axis=1)[:, :width]
-    return [tuple(sum(1 << (p % 64) for p in band if p // 64 == k) for k in range(words64)) for band in places.tolist()]
-
-
-def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: int, far_radius: int | None = None, tile_rows: int = TILE) -> DataFrame:
+def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: int, tile_rows: int = TILE) -> DataFrame:
     """Distinct fingerprints (__f0 and any more __f columns, long) -> links (u, v), named by the columns' 64-bit hash __h.
 
-    Pairs that agree in all bits of one of the masks are compared: __f0 may differ in at most `radius` bits and, with
-    far_radius, all words together in at most that. Links are spanning forests of what each comparison finds.
+    Pairs that agree in all bits of one of the masks are compared: __f0 may differ in at most `radius` bits. Links are
+    spanning forests of what each comparison finds.
     """
     words = sorted(c for c in values.columns if c.startswith("__f"))
     signed = [[m - (1 << 64) if m >> 63 else m for m in mask] for mask in masks]
@@ -214,7 +214,7 @@ def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: i
     def links(parts: list[np.ndarray], several_tiles: bool) -> pa.RecordBatch:
         rows = np.concatenate(parts)
         f = rows[:, 2:].view(np.uint64)
-        u, v = compare_tiles(np.ascontiguousarray(f[:, 0]), radius, far=f[:, 1:] if far_radius is not None else None, far_radius=far_radius or 0, sides=rows[:, 0] if several_tiles else None)
+        u, v = compare_tiles(np.ascontiguousarray(f[:, 0]), radius, sides=rows[:, 0] if several_tiles else None)
         return pa.RecordBatch.from_arrays([pa.array(rows[u, 1]), pa.array(rows[v, 1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +242,110 @@ def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: i
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of how many of a set's hashes fall into each of SKETCH_BITS cells: no two sets differ in fewer elements than their sketches in bits."""
+    cells = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits(cells & 1).tobytes()
+
+
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of a set's sorted hashes, so many that sets alike as asked have one of them in common: the least of all they share."""
+    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
+
+
+def _described(width: int, similarity: float):
+    """Rows that end with a text -> the same with, in its place, 128 bits that tell its shingle set, the set's size, class, prefix and sketch.
+
+    Sets alike as asked are of the same class of sizes, or of neighbouring ones.
+    """
+    step = -math.log(similarity) * (1 + 1e-6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, made = batch.column(batch.num_columns - 1), []
+            for i in range(batch.num_rows):
+                h = np.unique(shingle_hashes(texts[i].as_py().encode("utf-8", "surrogatepass"), width))
+                whole = h.tobytes()
+                made.append((xxhash.xxh64_intdigest(whole, 0), xxhash.xxh64_intdigest(whole, 1), len(h), int(math.log(max(1, len(h))) / step), prefix(h, similarity).view(np.int64), sketch(h)))
+            f0, f1, n, c, p, k = zip(*made) if made else [()] * 6
+            arrays = [*batch.columns[:-1], *[pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.list_(pa.int64())), pa.array(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "__f0", "__f1", "__n", "__pc", "__p", "__k"])
+
+    return run
+
+
+def _sketches(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
+def link_sets(groups: DataFrame, similarity: float, tile_rows: int = TILE) -> DataFrame:
+    """Sets (__h, __n, __pc, __p, __k of _described()) -> loose links (u, v), whose components hold all pairs that are alike.
+
+    Sets alike as asked have an element of their prefixes in common, so sets meet by those; of the pairs that meet, those
+    which sizes and sketches don't rule out are linked, or connected by a spanning forest. An element that over tile_rows
+    sets meet by is dealt into (class of sizes, salt) tiles, and pairs of such tiles are keys of their own.
+    """
+    placed = groups.select("__h", F.explode("__p").alias("x"))
+    shared = materialize(placed.groupBy("x").agg(F.count("*").alias("m")).filter("m > 1"), "simhash-shared")
+    met = placed.join(shared, "x").join(groups.select("__h", "__n", "__pc", "__k"), "__h")
+    zero = F.lit(0).cast("long")
+    columns = ["x", "p", "q", "side", "__h", "__n", "__k"]
+    single = met.filter(F.col("m") <= tile_rows).withColumns({"p": zero, "q": zero, "side": F.lit(0)}).select(*columns)
+    if not shared.filter(F.col("m") > tile_rows).isEmpty():
+        large = materialize(met.filter(F.col("m") > tile_rows).select("x", "__h", "__n", "__pc", "__k"), "simhash-large")
+        tiles = large.groupBy("x", "__pc").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("g"))
+        mine = large.join(tiles, ["x", "__pc"]).withColumn("t", F.col("__pc") * (1 << 32) + F.pmod(F.xxhash64("__h"), F.col("g"))).drop("g")
+        others = tiles.select("x", F.explode(F.array(F.col("__pc") - 1, "__pc", F.col("__pc") + 1)).alias("__pc"), F.col("__pc").alias("oc"), "g")
+        dealt = mine.join(others, ["x", "__pc"]).withColumn("u", F.explode(F.expr("transform(sequence(0L, g - 1), i -> oc * 4294967296 + i)")))
+        dealt = dealt.withColumns({"p": F.least("t", "u"), "q": F.greatest("t", "u"), "side": F.when(F.col("t") <= F.col("u"), 0).otherwise(1)})
+        single = single.unionByName(dealt.select(*columns))
+
+    def links(key: np.ndarray, side: np.ndarray, h: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
+        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(key)]])
+        found = [(np.empty(0, np.int64),) * 2]
+        few = ends - starts <= FEW
+        left = np.repeat(np.where(few, ends, 0), ends - starts)  # where the rows of a key end, if there are few
+        sided = key[:, 1] != key[:, 2]
+        for d in range(1, FEW):  # all pairs of few rows, of many keys at once
+            u = np.flatnonzero(np.arange(len(key)) + d < left)
+            if not len(u):
+                break
+            v = u + d
+            near = np.minimum(n[u], n[v]) + 1e-6 >= similarity * np.maximum(n[u], n[v])
+            near &= ~sided[u] | (side[u] != side[v])
+            u, v = u[near], v[near]
+            near = np.bitwise_count(k[u] ^ k[v]).sum(axis=1, dtype=np.int64) <= differ_most(n[u] + n[v], similarity)
+            found.append((u[near], v[near]))
+        for a, b in zip(starts[~few].tolist(), ends[~few].tolist()):
+            u, v = compare_sets(k[a:b], n[a:b], similarity, lambda i, j: True, side[a:b] if sided[a] else None)
+            found.append((u + a, v + a))
+        u, v = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(np.stack([h[u], h[v]], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (x, p, q): those of one key are consecutive, and the last key's wait for the next batch."""
+        waiting: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]
+            rows = (np.stack(cols[:3], axis=1), *cols[3:], _sketches(batch.column(6).to_pylist()))
+            if waiting and (rows[0][-1] == waiting[0][0][-1]).all():
+                waiting.append(rows)
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*waiting, rows))
+            cut = int(np.flatnonzero(np.any(rows[0] != rows[0][-1], axis=1))[-1]) + 1 if np.any(rows[0][0] != rows[0][-1]) else 0
+            if cut:
+                yield from links(*(x[:cut] for x in rows))
+            waiting = [tuple(x[cut:] for x in rows)]
+        if waiting:
+            yield from links(*(np.concatenate(x) for x in zip(*waiting)))
+
+    return single.repartition("x", "p", "q").sortWithinPartitions("x", "p", "q").mapInArrow(run, "u long, v long")
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have the given Jaccard similarity or more; empty ones are equal."""
     small, big = (a, b) if len(a) < len(b) else (b, a)
@@ -253,15 +357,14 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return same / (len(a) + len(b) - same) >= similarity
 
 
-def _confirm(words: list[str], near: int, far: int, similarity: float):
+def _confirm(similarity: float):
     """Members in the order of (root, p, q), those of a tile pair together -> the links confirmed by their shingle sets."""
 
     def links(held: dict[int, tuple], several: bool) -> pa.RecordBatch:
         names, rows = list(held), list(held.values())
         sets = [np.frombuffer(r[-1], np.uint64) for r in rows]
-        f = np.array([r[2:-1] for r in rows], np.int64).view(np.uint64)
         sides, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-        u, v = compare_tiles(np.ascontiguousarray(f[:, 0]), near, f[:, 1:], far, sides if several else None, confirm=lambda i, j: alike(sets[i], sets[j], similarity), labels=labels)
+        u, v = compare_sets(_sketches([r[2] for r in rows]), np.array([len(x) for x in sets]), similarity, lambda i, j: alike(sets[i], sets[j], similarity), sides if several else None, labels)
         h = np.array(names, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h[u]), pa.array(h[v])], names=["u", "v"])
 
@@ -300,29 +403,28 @@ def _sets(width: int):
     return run
 
 
-def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: int, near: int, far: int, similarity: float, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
-    """Of loose links (u, v) among groups (__h, __f columns, __least with __a and __b), those that hold for the texts of rows (__a, __b, __t).
+def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: int, similarity: float, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
+    """Of loose links (u, v) among groups (__h, __k, __least with __a and __b), those that hold for the texts of rows (__a, __b, __t).
 
-    Only members of a loose component meet. Each brings its shingle set once to a task, in which pairs within the radii
-    are taken nearest first, those not yet connected are compared by their sets, and so a component of copies is
+    Only members of a loose component meet. Each brings its shingle set once to a task, in which pairs that sizes and sketches
+    don't rule out are taken nearest first, those not yet connected are compared by their sets, and so a component of copies is
     confirmed by as many comparisons as it has members. A component of over tile_rows members (or CONFIRM_BYTES) is
     dealt into tiles, each with the same few more members, so that what is alike is connected over them; then only
-    members outside its largest confirmed part meet the rest, tile by tile. No pair of members within the radii is left out.
+    members outside its largest confirmed part meet the rest, tile by tile. No pair of members that may be alike is left out.
     """
-    words = sorted(c for c in groups.columns if c.startswith("__f"))
     loose = components(links).withColumnRenamed("node", "__h")
-    linked = materialize(groups.join(loose, "__h").select("root", "__h", *words, "__least.__a", "__least.__b"), "simhash-linked")
+    linked = materialize(groups.join(loose, "__h").select("root", "__h", "__k", "__least.__a", "__least.__b"), "simhash-linked")
     if linked.count() <= KEY_ROWS:  # texts that aren't wanted stay where they are
         rows = rows.join(F.broadcast(linked.select("__a", "__b")), ["__a", "__b"], "left_semi")
-    texts = linked.join(rows.dropDuplicates(["__a", "__b"]), ["__a", "__b"]).select("root", "__h", *words, "__t")
-    members = materialize(texts.mapInArrow(_sets(width), ", ".join(f"`{c}` long" for c in texts.columns[:-1]) + ", __n long, __s binary"), "simhash-members")
+    texts = linked.join(rows.dropDuplicates(["__a", "__b"]), ["__a", "__b"]).select("root", "__h", "__k", "__t")
+    members = materialize(texts.mapInArrow(_sets(width), "root long, __h long, __k binary, __n long, __s binary"), "simhash-members")
 
     def tiles(n: Column, size: Column) -> Column:
         return F.greatest(F.ceil(n / tile_rows), F.ceil(size * 8 / CONFIRM_BYTES)).cast("long")
 
     def meet(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("root", "p", "q", "__h", "side", "label", *words, "__s")
-        return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_confirm(words, near, far, similarity), "u long, v long")
+        dealt = dealt.select("root", "p", "q", "__h", "side", "label", "__k", "__s")
+        return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_confirm(similarity), "u long, v long")
 
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("__n").alias("size"))
     large = materialize(sizes.select("root", tiles(F.col("n"), F.col("size")).alias("g"), F.ceil(F.col("n") / 32).alias("few")).filter("g > 1"), "simhash-large")
@@ -356,9 +458,12 @@ def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: i
     return found.unionByName(meet(rest))
 
 
-def _grouped(marked: DataFrame, words: list[str], least: Column, links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(words, __root) of every distinct fingerprint, and (__root, __c) with the least value of `least`, an aggregate's argument, in each component."""
-    groups = marked.groupBy(*words).agg(F.min(least).alias("__least"))
+def _grouped(marked: DataFrame, words: list[str], least: Column, links: Callable[[DataFrame], DataFrame], carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(words, __root) of every distinct fingerprint, and (__root, __c) with the least value of `least`, an aggregate's argument, in each component.
+
+    carry: columns that are the same for equal fingerprints, for links().
+    """
+    groups = marked.groupBy(*words).agg(F.min(least).alias("__least"), *[F.first(c).alias(c) for c in carry])
     groups = materialize(groups.withColumn("__h", F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)), "simhash-groups")
     roots = materialize(components(links(groups)), "simhash-roots")
     placed = groups.join(roots.withColumnRenamed("node", "__h"), "__h", "left").withColumn("__root", F.coalesce("root", "__h"))
@@ -383,29 +488,24 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """The rows of docs without near copies: of each group the row with the smallest key stays, whole.
 
     Texts are linked if their sets of `width`-word shingles have the given similarity (Jaccard) or more, and groups are
-    what links connect. Links are looked for by 256 fingerprint bits, within the angle of that similarity and three
-    standard deviations more, among fingerprints that agree in one of 40 keys of 14 bits each (by calculation 98.5 % of
-    pairs just at a similarity of 0.8, more above); each is then confirmed by the sets themselves, so no text goes for
-    an estimate. Equal fingerprints are taken for one text. Texts
-    without a word are alike. Every group keeps just one row: rows without a key come after all others, rows of one key
-    are told apart by a hash of their texts, and of rows equal in key and text any one stands for all. An empty table
-    gives no rows.
+    what links connect. No pair is left out: candidates have one of the first (1 - similarity) of their sorted shingle
+    hashes in common, as all sets so alike do, and each is then confirmed by the sets themselves. Sets equal in 128 bits
+    of hash are taken for one, shingles are told by 64. Texts without a word are alike. Every group keeps just one row:
+    rows without a key come after all others, rows of one key are told apart by a hash of their texts, and of rows equal
+    in key and text any one stands for all. An empty table gives no rows.
     """
-    words = [f"__f{i}" for i in range(4)]
-    bits = 64 * len(words)
-    part = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    far = round(bits * part + 3 * math.sqrt(bits * part * (1 - part)))
-    near = round(64 * part + 4 * math.sqrt(64 * part * (1 - part)))
     a, b = row_hashes(key, text)
-    marked = materialize(fingerprints(docs, key, text, width, len(words), unique_shingles=True, carry=[a.alias("__a"), b.alias("__b")]), "simhash")
-    first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
     texts = docs.select(a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    source = docs.select(F.col(key).cast("long").alias("__id"), a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    described = source.mapInArrow(_described(width, similarity), "__id long, __a long, __b long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary")
+    marked = materialize(described, "simhash")
+    first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
 
     def links(groups: DataFrame) -> DataFrame:
-        loose = link_fingerprints(groups.select("__h", *words), band_masks(len(words), 40, 14), near, far)
-        return confirm_links(loose, groups, texts, width, near, far, similarity, tile_rows)
+        loose = link_sets(groups, similarity, 2 * tile_rows)
+        return confirm_links(loose, groups, texts, width, similarity, tile_rows)
 
-    _, named = _grouped(marked, words, first, links)
+    _, named = _grouped(marked, ["__f0", "__f1"], first, links, carry=("__n", "__pc", "__p", "__k"))
     stay = materialize(named.select("__c.__a", "__c.__b"), "simhash-stay")
     rows = docs.select(a.alias("__a"), b.alias("__b"), whole_row(docs))
     # made distinct by the join's own keys, before the columns are taken apart: texts are shuffled once

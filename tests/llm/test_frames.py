@@ -286,3 +286,32 @@ def test_keep_one_is_exact_in_large_groups(spark, tile_rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows).collect())
     assert len(set(root)) > 5 and kept == sorted(set(root))
+
+
+def test_keep_one_finds_every_pair_at_the_limit(spark):
+    """Pairs of a similarity of exactly 0.8: 400 shingles in common, 50 more on each side; and as many just below it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(240):
+        common, one, two = ([f"w{x}" for x in rng.integers(0, 10**9, n)] for n in (404, 50, 50 + k % 2))
+        rows += [(2 * k, " ".join(common + one)), (2 * k + 1, " ".join(common + two))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash_dedup.keep_one(docs).collect()}
+    assert kept == {i for i, _ in rows if i % 4 != 1}
+
+
+def test_set_links_leave_out_no_pair(spark):
+    """Every pair that is alike is connected by loose links, dealt into tiles or not."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(40, 61)), replace=False), rng.integers(0, 2**63, int(rng.integers(0, 12)), dtype=np.uint64)])) for _ in range(150)]
+    step = -math.log(0.8) * (1 + 1e-6)
+    rows = [(i, len(s), int(math.log(len(s)) / step), simhash_dedup.prefix(s, 0.8).astype(np.int64).tolist(), simhash_dedup.sketch(s)) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "__h long, __n long, __pc long, __p array<long>, __k binary")
+    from lodestone.llm.components import components
+
+    alike = [(i, j) for i in range(150) for j in range(i) if simhash_dedup.alike(sets[i], sets[j], 0.8)]
+    assert len(alike) > 100
+    for size in (4096, 8):
+        root = {r.node: r.root for r in components(simhash_dedup.link_sets(frame, 0.8, size)).collect()}
+        assert all(i in root and root[i] == root[j] for i, j in alike)
