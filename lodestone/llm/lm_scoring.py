@@ -9,6 +9,9 @@ its distinct token hashes and its texts as indices into that list; what is shuff
 range, packed arrays of hashes and counts, so a token costs bytes, not a row, and a frequent word is no larger a key
 than a rare one. Ranges are merged with numpy; exact counts go back to the chunks the same way.
 
+The filter grows with the corpus, at BITS_PER_ENTRY bits an entry. It is never in one place: each hash range has a
+slice of its own, made and probed by the task that counts the range, and the levels found go back to the chunks.
+
 Tokens are told by 64 bits of hash and pairs by 48: among a billion distinct tokens some pair of tokens shares a hash
 with a probability of 3 %, and would be counted together.
 """
@@ -25,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, materialize, shuffle_partitions
+from ._shared import materialize, shuffle_partitions
 
 CHUNK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
@@ -34,8 +37,6 @@ MIN_PAIRS = 2
 PAIR_WEIGHT = 0.4
 BITS_PER_ENTRY = 12
 PROBES = 4
-#: Proven bound of what is broadcast. Above, entries get fewer bits each (more false positives); none is left out.
-MAX_FILTER_BYTES = 128 << 20
 LEVELS = 48
 _END = 0x5BD1E9955BD1E995  # the hash of the token that ends a text
 _PAIR_BITS = 48
@@ -71,6 +72,13 @@ def _merge(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return v[heads], np.add.reduceat(c, heads) if len(heads) else c
 
 
+def _seconds(lengths: np.ndarray) -> np.ndarray:
+    """The places of all tokens but the first of each text."""
+    later = np.ones(int(lengths.sum()), bool)
+    later[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
+    return np.flatnonzero(later)
+
+
 class _Chunk:
     """Texts gathered until CHUNK_BYTES, then turned into packed rows."""
 
@@ -101,12 +109,9 @@ class _Chunk:
         flat = place[flat].astype(np.int32)
         trained = np.repeat(~np.array(self.held, bool), lengths)
         counts = np.bincount(flat[trained], minlength=len(hashes)).astype(np.int64)
-        starts = np.zeros(len(flat), bool)
-        starts[np.cumsum(lengths)[:-1]] = True
-        second = trained & ~starts
-        second[0] = False
-        at = np.flatnonzero(second)
-        pairs, pair_counts = np.unique(_pair(hashes[flat[at - 1]], hashes[flat[at]]), return_counts=True)
+        at = _seconds(lengths)
+        pairs, which = np.unique(_pair(hashes[flat[at - 1]], hashes[flat[at]]), return_inverse=True)
+        pair_counts = np.bincount(which[trained[at]], minlength=len(pairs))  # 0 for those of held-out texts only
 
         out: list[list] = [[] for _ in range(7)]
 
@@ -146,34 +151,36 @@ def _tokenize(ranges: int):
     return run
 
 
-def _count_words(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All chunks' hashes of one range -> each chunk's hashes with their counts in the whole corpus; a row with the totals; the range's entries."""
-    chunks, values, counts, part = [], [], [], 0
-    for batch in group:
-        for row in batch.to_pylist():
-            part = row["part"]
-            chunks.append(row["chunk"])
-            values.append(unpack(row["a"]))
-            counts.append(np.frombuffer(row["b"], "<i4").astype(np.int64))
-    v, c = _merge(values, counts)
-    known = int((c > 0).sum())
-    rows = [{"chunk": -1, "part": part, "a": pack(v[c > 0]), "b": _levels(c[c > 0]).tobytes(), "n": int(c.sum()), "v": known}]
-    for chunk, x in zip(chunks, values):
-        rows.append({"chunk": chunk, "part": part, "a": pack(x), "b": c[np.searchsorted(v, x)].astype("<i8").tobytes(), "n": 0, "v": 0})
-    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64()), ("v", pa.int64())]))
-
-
-def _count_pairs(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values, counts, part = [], [], 0
-    for batch in group:
-        for row in batch.to_pylist():
-            part = row["part"]
-            values.append(unpack(row["a"]))
-            counts.append(np.frombuffer(row["b"], "<i4").astype(np.int64))
-    v, c = _merge(values, counts)
-    often = c >= MIN_PAIRS
-    rows = [{"part": part, "a": pack(v[often]), "b": _levels(c[often]).tobytes()}]
-    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]))
+_COUNTED = "kind int, chunk long, part int, a binary, b binary, c binary, n long, v long"
+
+
+def _count(kind: int):
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All chunks' hashes of one range -> each chunk's, in their order, with the levels that the range's slice of the filter has for them.
+
+        Words also get their counts in the whole corpus, and a row with the totals.
+        """
+        chunks, values, counts, part = [], [], [], 0
+        for batch in group:
+            for row in batch.to_pylist():
+                part = row["part"]
+                chunks.append(row["chunk"])
+                values.append(unpack(row["a"]))
+                counts.append(np.frombuffer(row["b"], "<i4").astype(np.int64))
+        v, c = _merge(values, counts)
+        seen = c >= (1 if kind == _WORDS else MIN_PAIRS)
+        found = probe_levels(make_filter(v[seen], _levels(c[seen]), kind == _PAIRS), v, kind == _PAIRS).astype(np.uint8)
+        rows = []
+        if kind == _WORDS:
+            rows.append({"kind": kind, "chunk": -1, "part": part, "n": int(c.sum()), "v": int(seen.sum())})
+        for chunk, x in zip(chunks, values):
+            at = np.searchsorted(v, x)
+            row = {"kind": kind, "chunk": chunk, "part": part, "c": found[at].tobytes(), "n": 0, "v": 0}
+            rows.append(row | {"a": pack(x), "b": c[at].astype("<i8").tobytes()} if kind == _WORDS else row)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(zip(("kind", "chunk", "part", "a", "b", "c", "n", "v"), kinds))))
+
+    return run
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -194,46 +201,22 @@ def _places(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
 
 
 def filter_bits(entries: int) -> int:
-    slice_bits = 1 << (23 if entries > 1 << 16 else 16)
-    return min(-(-max(1, entries * BITS_PER_ENTRY) // slice_bits) * slice_bits, MAX_FILTER_BYTES * 8)
-
-
-def _insert(bits: int, slices: int):
-    """Hashes and levels -> the filter's bits, dealt to its slices as sorted places."""
+    """BITS_PER_ENTRY for each, whatever their number, in whole words of 64."""
+    return -(-max(1, entries * BITS_PER_ENTRY) // 64) * 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, levels = _kind(unpack(row["a"]), row["pair"]), np.frombuffer(row["b"], np.uint8)
-                found = [p for k in range(1, int(levels.max(initial=0)) + 1) for p in _places(keys[levels >= k], k, bits)]
-                if not found:
-                    continue
-                places = np.unique(np.concatenate(found))
-                cuts = np.searchsorted(places, np.array([bits // slices * k for k in range(1, slices)], np.uint64))
-                rows = [{"slice": k, "p": pack(x)} for k, x in enumerate(np.split(places, cuts)) if len(x)]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("slice", pa.int32()), ("p", pa.binary())]))
 
-    return run
+def make_filter(grams: np.ndarray, levels: np.ndarray, pairs: bool) -> np.ndarray:
+    """A slice of the filter: every gram at its levels from 1 on."""
+    bits = filter_bits(int(levels.sum(dtype=np.int64)))
+    flags, keys = np.zeros(bits, bool), _kind(grams, pairs)
+    for k in range(1, int(levels.max(initial=0)) + 1):
+        for p in _places(keys[levels >= k], k, bits):
+            flags[p] = True
+    return np.packbits(flags, bitorder="little")
 
 
-def _slice(bits: int, slices: int):
-    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = bits // slices
-        held, number = np.zeros(each // 8, np.uint8), 0
-        for batch in group:
-            for row in batch.to_pylist():
-                number = row["slice"]
-                places = unpack(row["p"]) - np.uint64(number * each)
-                flags = np.zeros(each, bool)
-                flags[places] = True
-                held |= np.packbits(flags, bitorder="little")
-        yield pa.RecordBatch.from_pylist([{"slice": number, "bits": held.tobytes()}], schema=pa.schema([("slice", pa.int32()), ("bits", pa.binary())]))
-
-    return run
-
-
-def probe(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndarray:
-    """Counts by membership: the level before the first that is missing, as the mean of what it may stand for; 0 if the first is."""
+def probe_levels(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndarray:
+    """Levels by membership: the one before the first that is missing; 0 if the first is."""
     keys = _kind(grams, pairs)
     level = np.zeros(len(keys), np.int64)
     live = np.arange(len(keys))
@@ -245,9 +228,19 @@ def probe(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndarray:
         live = live[there]
         level[live] = k
         k += 1
+    return level
+
+
+def level_counts(level: np.ndarray) -> np.ndarray:
+    """Levels as the mean of the counts they may stand for."""
     return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0) - 0.5))
 
 
+def probe(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndarray:
+    """Counts by membership."""
+    return level_counts(probe_levels(filter_, grams, pairs))
+
+
 def model_probability(word: np.ndarray, context: np.ndarray, pair: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
     """Interpolation of the pair's relative frequency (none where the context is unknown) and the word's, which is add-one smoothed."""
     single = (word + 1) / (tokens + distinct + 1)
@@ -255,29 +248,30 @@ def model_probability(word: np.ndarray, context: np.ndarray, pair: np.ndarray, t
     return PAIR_WEIGHT * both + (1 - PAIR_WEIGHT) * single
 
 
-def _score(tokens: int, distinct: int, filter_):
+def _score(tokens: int, distinct: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         """One chunk: bounded by CHUNK_BYTES of text."""
         names, made = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], []
-        ranges = sorted((r["part"], r["a"], r["b"]) for r in counts.to_pylist())
-        hashes = np.concatenate([unpack(a) for _, a, _ in ranges] or [np.empty(0, np.uint64)])
-        exact = np.concatenate([np.frombuffer(b, "<i8") for _, _, b in ranges] or [np.empty(0, np.int64)])
-        bits = np.frombuffer(filter_.value, np.uint8)
+        ranges = sorted(((r["kind"], r["part"], r["a"], r["b"], r["c"]) for r in counts.to_pylist()), key=lambda r: r[:2])
+        words = [r[2:] for r in ranges if r[0] == _WORDS]
+        hashes = np.concatenate([unpack(a) for a, _, _ in words] or [np.empty(0, np.uint64)])
+        exact = np.concatenate([np.frombuffer(b, "<i8") for _, b, _ in words] or [np.empty(0, np.int64)])
         base = np.log10((exact + 1) / (tokens + distinct + 1))
-        word = probe(bits, hashes, False)
-        for batch in docs.to_batches(max_chunksize=1):
-            for row in batch.to_pylist():
-                flat, lengths = np.frombuffer(row["a"], "<i4"), np.frombuffer(row["b"], "<i8")
-                heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                pair, context = np.zeros(len(flat)), np.zeros(len(flat))
-                grams, back = np.unique(_pair(hashes[flat[:-1]], hashes[flat[1:]]), return_inverse=True)
-                pair[1:], context[1:] = probe(bits, grams, True)[back], word[flat[:-1]]
-                context[heads] = 0  # a text's first token has no context
-                logs = np.log10(model_probability(word[flat], context, pair, tokens, distinct))
-                out = [pa.array(row["keys"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths)]
-                out += [pa.array(np.add.reduceat((exact > 0).astype(np.int64)[flat], heads)), pa.array(np.full(len(lengths), tokens, np.int64))]
-                out += [pa.array(np.add.reduceat(x, heads)) for x in (base[flat], logs)]
-                made.append(pa.Table.from_arrays(out, names=names))
+        word, paired = (level_counts(np.concatenate([np.frombuffer(r[4], np.uint8) for r in ranges if r[0] == kind] or [np.empty(0, np.uint8)]).astype(np.int64)) for kind in (_WORDS, _PAIRS))
+        rows = [row for batch in docs.to_batches() for row in batch.to_pylist()]
+        texts = [(np.frombuffer(row["a"], "<i4"), np.frombuffer(row["b"], "<i8")) for row in rows]
+        later = [_seconds(lengths) for _, lengths in texts]
+        grams = [_pair(hashes[flat[at - 1]], hashes[flat[at]]) for (flat, _), at in zip(texts, later)]
+        known = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)  # as counted: the levels come in this order
+        for row, (flat, lengths), at, gram in zip(rows, texts, later, grams):
+            heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            pair, context = np.zeros(len(flat)), np.zeros(len(flat))  # a text's first token has no context
+            pair[at], context[at] = paired[np.searchsorted(known, gram)], word[flat[at - 1]]
+            logs = np.log10(model_probability(word[flat], context, pair, tokens, distinct))
+            out = [pa.array(row["keys"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths)]
+            out += [pa.array(np.add.reduceat((exact > 0).astype(np.int64)[flat], heads)), pa.array(np.full(len(lengths), tokens, np.int64))]
+            out += [pa.array(np.add.reduceat(x, heads)) for x in (base[flat], logs)]
+            made.append(pa.Table.from_arrays(out, names=names))
         return pa.concat_tables(made)
 
     return run
@@ -296,35 +290,14 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ranges = shuffle_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     made = materialize(rows.mapInArrow(_tokenize(ranges), "kind int, chunk long, part int, a binary, b binary, keys array<long>, held array<boolean>"), "lm-chunks", partition_by="kind")
-    words = made.filter(F.col("kind") == _WORDS).select("chunk", "part", "a", "b")
-    counted = materialize(words.groupBy("part").applyInArrow(_count_words, "chunk long, part int, a binary, b binary, n long, v long"), "lm-words")
-    pairs = made.filter(F.col("kind") == _PAIRS).select("part", "a", "b")
-    paired = materialize(pairs.groupBy("part").applyInArrow(_count_pairs, "part int, a binary, b binary"), "lm-pairs")
-    totals = counted.filter("chunk = -1")
-    tokens, distinct = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-
-    entries = totals.select("a", "b", F.lit(False).alias("pair")).unionByName(paired.select("a", "b", F.lit(True).alias("pair")))
-    number = entries.mapInArrow(_entry_counts, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = filter_bits(number)
-    slices = -(-bits // (1 << 23))  # of 1 MB
-    placed = entries.mapInArrow(_insert(bits, slices), "slice int, p binary")
-    parts = placed.groupBy("slice").applyInArrow(_slice(bits, slices), "slice int, bits binary").collect()  # MAX_FILTER_BYTES at most
-    whole = bytearray(bits // 8)
-    for part in parts:
-        whole[part["slice"] * (bits // slices // 8) : (part["slice"] + 1) * (bits // slices // 8)] = part["bits"]
-    del parts
-    filter_ = spark.sparkContext.broadcast(whole)
-    discard(paired)
+    parts = {kind: made.filter(F.col("kind") == kind).select("chunk", "part", "a", "b").groupBy("part") for kind in (_WORDS, _PAIRS)}
+    counted = materialize(parts[_WORDS].applyInArrow(_count(_WORDS), _COUNTED), "lm-words")
+    tokens, distinct = counted.filter("chunk = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    paired = materialize(parts[_PAIRS].applyInArrow(_count(_PAIRS), _COUNTED), "lm-pairs")
 
     texts = made.filter(F.col("kind") == _DOCS).select("chunk", "a", "b", "keys", "held")
-    known = counted.filter("chunk >= 0").select("chunk", "part", "a", "b")
+    known = counted.filter("chunk >= 0").unionByName(paired).select("kind", "chunk", "part", "a", "b", "c")
     scored = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _score(tokens, distinct, filter_), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(tokens, distinct), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumnRenamed("key", key)
-
-
-def _entry_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = sum(int(np.frombuffer(b, np.uint8).sum(dtype=np.int64)) for b in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])

@@ -169,3 +169,14 @@ def test_pieces_have_the_greatest_score(coder):
         loose = bytes(coder.byte_of[i] for i in ids if i in coder.byte_of).decode()
         score = sum(pieces[coder.names[i]] for i in ids if i not in coder.byte_of) + coder.fallback * len(loose)
         assert math.isclose(score, best[-1])
+
+
+def test_filter_grows_with_its_entries():
+    """No cap: 12 bits an entry at any number, and so few false positives in a large slice as in a small one."""
+    assert all(lm_scoring.filter_bits(n) >= 12 * n for n in (1, 10**6, 10**9, 10**12))
+    rng = np.random.default_rng(3)
+    for n in (1000, 300_000):
+        grams = rng.integers(0, 2**48, n, dtype=np.uint64)
+        slice_ = lm_scoring.make_filter(grams, np.ones(n, np.uint8), True)
+        assert lm_scoring.probe(slice_, grams, True).min() >= 1
+        assert np.mean(lm_scoring.probe(slice_, rng.integers(0, 2**48, 50_000, dtype=np.uint64), True) > 0) < 0.02
