@@ -32,8 +32,6 @@ from ._shared import materialize, shuffle_partitions
 
 CHUNK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
-#: A pair seen once says little; pairs enter the model from this count on, at every corpus size.
-MIN_PAIRS = 2
 PAIR_WEIGHT = 0.4
 BITS_PER_ENTRY = 12
 PROBES = 4
@@ -168,7 +166,7 @@ def _count(kind: int):
                 values.append(unpack(row["a"]))
                 counts.append(np.frombuffer(row["b"], "<i4").astype(np.int64))
         v, c = _merge(values, counts)
-        seen = c >= (1 if kind == _WORDS else MIN_PAIRS)
+        seen = c > 0
         found = probe_levels(make_filter(v[seen], _levels(c[seen]), kind == _PAIRS), v, kind == _PAIRS).astype(np.uint8)
         rows = []
         if kind == _WORDS:
