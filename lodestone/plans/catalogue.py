@@ -221,9 +221,9 @@ def pagerank_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pagerank_threshold(spark: SparkSession, d: str) -> DataFrame:
-    """Until two steps are at most a hundredth apart. Rows only: the number of steps depends on the graph."""
+    """Until two steps are at most a millionth apart. Rows only: the number of steps depends on the graph."""
     edges, nodes = three_out(spark, d)
-    return graphs.rank(edges, nodes, threshold=1e-2).select("v", F.round("rank", 6).alias("rank"))
+    return graphs.rank(edges, nodes, threshold=1e-6).select("v", F.round("rank", 6).alias("rank"))
 
 
 # ---- vectors and matrices ----

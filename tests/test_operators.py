@@ -230,3 +230,22 @@ def test_lists(spark):
     lists = graphs.adjacency(edges)
     assert {r.v: r.neighbors for r in lists.collect()} == {0: [1, 1, 2], 1: [0]}
     assert sorted(map(tuple, graphs.edges_of(lists).collect())) == sorted(map(tuple, edges.collect()))
+
+
+def test_pagerank_threshold_runs_to_its_fixpoint(spark, tmp_path):
+    """The registered query over a table of five parts, against the same loop in numpy."""
+    from lodestone.plans import catalogue
+
+    n = 5
+    spark.range(n).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    m = np.zeros((n, n))
+    for a, b in {(i, (i * i + j * i) % n) for i in range(n) for j in range(3)}:
+        m[a, b] = 1
+    m = m / np.maximum(m.sum(axis=0), 1)
+    old, x, acc = np.full(n, np.inf), np.ones(n), np.zeros(n)
+    while np.linalg.norm(x - old) > 1e-6:
+        s = acc + m @ x
+        old, x = x, s / np.linalg.norm(s)
+        acc = x
+    got = {r.v: r["rank"] for r in catalogue.pagerank_threshold(spark, str(tmp_path)).collect()}
+    assert len(got) == n and all(abs(got[i] - x[i] / x.sum()) < 1e-5 for i in range(n))
