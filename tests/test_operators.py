@@ -249,3 +249,13 @@ def test_pagerank_threshold_runs_to_its_fixpoint(spark, tmp_path):
         acc = x
     got = {r.v: r["rank"] for r in catalogue.pagerank_threshold(spark, str(tmp_path)).collect()}
     assert len(got) == n and all(abs(got[i] - x[i] / x.sum()) < 1e-5 for i in range(n))
+
+
+def test_bit_histogram_has_all_bits_of_the_keys(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    keys = [0, 5, 2**18, 2**40 + 1]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r.k, r.bit): r.n for r in catalogue.bit_histogram(spark, str(tmp_path)).collect()}
+    wanted = {(k, b): sum(x >> k & 1 == b for x in keys) for k in range(41) for b in (0, 1)}
+    assert got == {k: n for k, n in wanted.items() if n}
