@@ -155,20 +155,90 @@ def test_pieces_round_trip(coder):
     assert [len(x) for x in ids[:2]] == [0, 0]
 
 
-def test_pieces_have_the_greatest_score(coder):
-    with open(piece_coding.MODEL, "rb") as file:
-        pieces = {p: max(s, -1e6) for p, s, k in piece_coding.read_pieces(file.read()) if k == 1}
+def merged(word, scores):
+    """Merging by hand: the neighbours whose piece has the greatest score become one, the leftmost of equal ones, until none is left."""
+    x = list(word)
+    while True:
+        ways = [(scores[a + b], -i) for i, (a, b) in enumerate(zip(x, x[1:])) if a + b in scores]
+        if not ways:
+            return x
+        i = -max(ways)[1]
+        x[i : i + 2] = [x[i] + x[i + 1]]
+
+
+def spelt(coder, ids):
+    return [coder.byte_of[i] if i in coder.byte_of else coder.names[i] for i in ids]
+
+
+def test_pieces_are_what_merging_gives(coder):
     draw = random.Random(4)
-    words = {"▁" + "".join(draw.choice("etaoinshr漢é") for _ in range(draw.randint(1, 14))) for _ in range(300)}
+    words = {"▁" + "".join(draw.choice("etaoinshr漢é\U0001f9ff") for _ in range(draw.randint(1, 14))) for _ in range(1000)}
+    words |= {"▁" + x * n for x in ("a", "ab", "-", "=") for n in (5, 16, 17, 40)}
     coder.encode_words(sorted(words))
     for w in words:
-        best = [0.0] + [-math.inf] * len(w)
-        for e in range(1, len(w) + 1):
-            best[e] = max([best[s] + pieces[w[s:e]] for s in range(max(0, e - 16), e) if w[s:e] in pieces] + [best[e - 1] + coder.fallback])
-        ids = np.frombuffer(coder.cache[w], np.int32).tolist()
-        loose = bytes(coder.byte_of[i] for i in ids if i in coder.byte_of).decode()
-        score = sum(pieces[coder.names[i]] for i in ids if i not in coder.byte_of) + coder.fallback * len(loose)
-        assert math.isclose(score, best[-1])
+        wanted = [y for x in merged(w, coder.merges) for y in ([x] if x in coder.merges else x.encode())]
+        assert spelt(coder, np.frombuffer(coder.cache[w], np.int32).tolist()) == wanted
+        assert coder._one_long(w) == coder.cache[w]
+
+
+def test_pieces_are_those_of_the_library(coder):
+    """All words of all documents of the smallest tables, and runs without a space that go over a block."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    parquet = pytest.importorskip("pyarrow.parquet")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=piece_coding.MODEL)
+    texts = ["x" * 70_000, "漢字かな" * 20_000, "ab" * 600 + " c", "a  b   c", "\t\n"]
+    try:
+        texts += [t or "" for t in parquet.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()]
+    except FileNotFoundError:
+        pass
+    assert not any("▁" in t for t in texts)
+    assert [x.tolist() for x in coder.encode(texts)] == theirs.encode(texts)
+
+
+def _message(*fields):
+    """A protocol buffer of (number, bytes, float or whole number)."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += varint(number << 3 | 5) + np.float32(value).tobytes()
+        elif isinstance(value, int):
+            out += varint(number << 3) + varint(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(value)) + value
+    return out
+
+
+def _model(pieces, kind, *normaliser):
+    rows = [(1, _message((1, p), (2, s))) for p, s in pieces.items()] + [(1, _message((1, f"<0x{i:02X}>"), (2, 0.0), (3, 6))) for i in range(256)]
+    return _message(*rows, (2, _message((3, kind))), (3, _message(*normaliser)))
+
+
+def test_unigram_models_and_normalisers():
+    draw = random.Random(5)
+    pieces = {"▁": -3.5, "▁a": -2.25}
+    while len(pieces) < 60:
+        pieces["".join(draw.choice("abcd") for _ in range(draw.randint(1, 4)))] = -draw.randint(4, 64) / 4
+    coder = piece_coding.PieceCoder(_model(pieces, 1, (4, 0)))
+    for length in (1, 3, 9):
+        words = ["▁" * (k % 2) + "".join(draw.choice("abcde") for _ in range(length)) for k in range(80)]
+        coder.encode_words(words)
+        for w in words:
+            best = [0.0] + [-math.inf] * len(w)
+            for e in range(1, len(w) + 1):
+                best[e] = max([best[s] + pieces[w[s:e]] for s in range(max(0, e - 4), e) if w[s:e] in pieces] + [best[e - 1] + coder.fallback])
+            for ids in (coder.cache[w], coder._one_long(w)):
+                found = spelt(coder, np.frombuffer(ids, np.int32).tolist())
+                assert math.isclose(sum(pieces.get(x, coder.fallback) for x in found), best[-1])
+    bare = piece_coding.PieceCoder(_model(pieces, 1, (3, 0), (4, 0)))
+    assert bare.decode_all(bare.encode([" ab", "ab", ""])) == [" ab", "ab", ""] and spelt(bare, bare.encode(["a"])[0].tolist())[0] != "▁a"
+    for changed in [(4, 1)], [(4, 0), (2, b"map")], [(4, 0), (5, 0)]:
+        with pytest.raises(ValueError):
+            piece_coding.PieceCoder(_model(pieces, 1, *changed))
 
 
 def test_filter_grows_with_its_entries():
