@@ -2,15 +2,19 @@
 
 Counts of words and of word pairs are quantised to 1, 2, 4, 8 ...: an n-gram of quantised level k is put into a Bloom
 filter k times, once with each of the numbers 1 to k, so a lookup probes with 1, 2, 3 ... until one is missing and
-gets the count back without its ever being stored. Probabilities interpolate the pair's estimate with the word's.
+gets the level back without a count's ever being stored. A level stands for the mean of the counts that have it, so that
+estimates add up to what was counted. Probabilities interpolate the pair's estimate with the word's.
 
 Texts are tokenised once. Every chunk of texts (CHUNK_BYTES at most, unless one text is longer) keeps a sorted list of
 its distinct token hashes and its texts as indices into that list; what is shuffled are, for each chunk and hash
 range, packed arrays of hashes and counts, so a token costs bytes, not a row, and a frequent word is no larger a key
 than a rare one. Ranges are merged with numpy; exact counts go back to the chunks the same way.
 
-The filter grows with the corpus, at BITS_PER_ENTRY bits an entry. It is never in one place: each hash range has a
-slice of its own, made and probed by the task that counts the range, and the levels found go back to the chunks.
+The filter grows with the corpus, at BITS_PER_ENTRY bits an entry, so it isn't broadcast whole: it is never in one place.
+Each hash range has a slice of its own, made and probed by the task that counts the range, and the levels found go back
+to the chunks. There is a range for every RANGE_BYTES of text, MIN_RANGES at least, whatever the session's settings: a
+task holds one range's hashes, which don't grow with the corpus. Chunks times ranges are the most rows that are shuffled;
+beyond some 10 TB, where that is a row for each pair of tokens, both sizes should be raised with the executors' memory.
 
 Tokens are told by 64 bits of hash and pairs by 48: among a billion distinct tokens some pair of tokens shares a hash
 with a probability of 3 %, and would be counted together.
@@ -28,9 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, shuffle_partitions
+from ._shared import materialize
 
 CHUNK_BYTES = 16 << 20
+RANGE_BYTES, MIN_RANGES = 32 << 20, 16
 FOLDS, HELD = 7, 2
 PAIR_WEIGHT = 0.4
 BITS_PER_ENTRY = 12
@@ -80,14 +85,15 @@ def _seconds(lengths: np.ndarray) -> np.ndarray:
 class _Chunk:
     """Texts gathered until CHUNK_BYTES, then turned into packed rows."""
 
-    def __init__(self) -> None:
+    def __init__(self, kind: pa.DataType) -> None:
+        self.kind = kind
         self.ids: dict[bytes, int] = {}
-        self.keys: list[int | None] = []
+        self.keys: list = []
         self.held: list[bool] = []
         self.tokens: list[np.ndarray] = []
         self.bytes = 0
 
-    def add(self, key: int | None, text: bytes) -> None:
+    def add(self, key: object, text: bytes) -> None:
         words = text.lower().split()  # of bytes: A-Z only, and just 0x20 and 0x09-0x0D separate
         ids = self.ids
         for w in words:
@@ -128,22 +134,23 @@ class _Chunk:
             for part, (v, c) in enumerate(zip(np.split(values, cuts), np.split(number, cuts))):
                 if len(v):
                     row(kind, part, pack(v), c.astype("<i4").tobytes())
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(self.kind), pa.list_(pa.bool_()))
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["kind", "chunk", "part", "a", "b", "keys", "held"])
 
 
 def _tokenize(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, chunk = TaskContext.get().partitionId(), 0, _Chunk()
+        task, number, chunk = TaskContext.get().partitionId(), 0, None
         for batch in batches:
+            chunk = chunk or _Chunk(batch.schema.field(0).type)
             keys = batch.column(0).to_pylist()
             texts = batch.column(1)
             for i, key in enumerate(keys):
                 chunk.add(key, texts[i].as_py().encode("utf-8", "surrogatepass"))
                 if chunk.bytes >= CHUNK_BYTES:
                     yield chunk.rows((task << 24) + number, ranges)
-                    number, chunk = number + 1, _Chunk()
-        if chunk.keys:
+                    number, chunk = number + 1, _Chunk(chunk.kind)
+        if chunk and chunk.keys:
             yield chunk.rows((task << 24) + number, ranges)
 
     return run
@@ -156,7 +163,8 @@ def _count(kind: int):
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All chunks' hashes of one range -> each chunk's, in their order, with the levels that the range's slice of the filter has for them.
 
-        Words also get their counts in the whole corpus, and a row with the totals.
+        Words also get their counts in the whole corpus. A row for each level, with chunk = -level, has the sum of the counts
+        and the number of the range's n-grams at that level.
         """
         chunks, values, counts, part = [], [], [], 0
         for batch in group:
@@ -167,10 +175,9 @@ def _count(kind: int):
                 counts.append(np.frombuffer(row["b"], "<i4").astype(np.int64))
         v, c = _merge(values, counts)
         seen = c > 0
-        found = probe_levels(make_filter(v[seen], _levels(c[seen]), kind == _PAIRS), v, kind == _PAIRS).astype(np.uint8)
-        rows = []
-        if kind == _WORDS:
-            rows.append({"kind": kind, "chunk": -1, "part": part, "n": int(c.sum()), "v": int(seen.sum())})
+        levels = _levels(c[seen])
+        found = probe_levels(make_filter(v[seen], levels, kind == _PAIRS), v, kind == _PAIRS).astype(np.uint8)
+        rows: list[dict] = [{"kind": kind, "chunk": -int(k), "part": part, "n": int(c[seen][levels == k].sum()), "v": int((levels == k).sum())} for k in np.unique(levels)]
         for chunk, x in zip(chunks, values):
             at = np.searchsorted(v, x)
             row = {"kind": kind, "chunk": chunk, "part": part, "c": found[at].tobytes(), "n": 0, "v": 0}
@@ -229,24 +236,26 @@ def probe_levels(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndar
     return level
 
 
-def level_counts(level: np.ndarray) -> np.ndarray:
-    """Levels as the mean of the counts they may stand for."""
-    return np.where(level == 0, 0.0, np.where(level == 1, 1.0, 1.5 * np.exp2(level - 1.0) - 0.5))
+def level_means(sums: dict[int, tuple[int, int]]) -> np.ndarray:
+    """What each level from 0 on stands for: the mean of the counts that have it, from {level: (sum of counts, n-grams)}.
 
-
-def probe(filter_: np.ndarray, grams: np.ndarray, pairs: bool) -> np.ndarray:
-    """Counts by membership."""
-    return level_counts(probe_levels(filter_, grams, pairs))
+    A level that only a false positive can give stands for the middle of its counts.
+    """
+    level = np.arange(LEVELS + 1)
+    out = np.where(level == 0, 0.0, 1.5 * np.exp2(level - 1.0) - 0.5)
+    for k, (total, number) in sums.items():
+        out[k] = total / number
+    return out
 
 
 def model_probability(word: np.ndarray, context: np.ndarray, pair: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
-    """Interpolation of the pair's relative frequency (none where the context is unknown) and the word's, which is add-one smoothed."""
-    single = (word + 1) / (tokens + distinct + 1)
-    both = np.where(context > 0, np.minimum(pair, context) / np.maximum(context, 1), 0.0)
-    return PAIR_WEIGHT * both + (1 - PAIR_WEIGHT) * single
+    """Interpolation of the pair's relative frequency and the word's, which is add-one smoothed; the word's alone where the context is unknown."""
+    single = np.minimum(word + 1, tokens + 1) / (tokens + distinct + 1)
+    both = np.minimum(pair, context) / np.maximum(context, 1)
+    return np.where(context > 0, PAIR_WEIGHT * both + (1 - PAIR_WEIGHT) * single, single)
 
 
-def _score(tokens: int, distinct: int):
+def _score(tokens: int, distinct: int, means: dict[int, np.ndarray]):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         """One chunk: bounded by CHUNK_BYTES of text."""
         names, made = ["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], []
@@ -255,7 +264,7 @@ def _score(tokens: int, distinct: int):
         hashes = np.concatenate([unpack(a) for a, _, _ in words] or [np.empty(0, np.uint64)])
         exact = np.concatenate([np.frombuffer(b, "<i8") for _, b, _ in words] or [np.empty(0, np.int64)])
         base = np.log10((exact + 1) / (tokens + distinct + 1))
-        word, paired = (level_counts(np.concatenate([np.frombuffer(r[4], np.uint8) for r in ranges if r[0] == kind] or [np.empty(0, np.uint8)]).astype(np.int64)) for kind in (_WORDS, _PAIRS))
+        word, paired = (means[kind][np.concatenate([np.frombuffer(r[4], np.uint8) for r in ranges if r[0] == kind] or [np.empty(0, np.uint8)])] for kind in (_WORDS, _PAIRS))
         rows = [row for batch in docs.to_batches() for row in batch.to_pylist()]
         texts = [(np.frombuffer(row["a"], "<i4"), np.frombuffer(row["b"], "<i8")) for row in rows]
         later = [_seconds(lengths) for _, lengths in texts]
@@ -266,7 +275,7 @@ def _score(tokens: int, distinct: int):
             pair, context = np.zeros(len(flat)), np.zeros(len(flat))  # a text's first token has no context
             pair[at], context[at] = paired[np.searchsorted(known, gram)], word[flat[at - 1]]
             logs = np.log10(model_probability(word[flat], context, pair, tokens, distinct))
-            out = [pa.array(row["keys"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths)]
+            out = [pa.array(row["keys"], docs.schema.field("keys").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(lengths)]
             out += [pa.array(np.add.reduceat((exact > 0).astype(np.int64)[flat], heads)), pa.array(np.full(len(lengths), tokens, np.int64))]
             out += [pa.array(np.add.reduceat(x, heads)) for x in (base[flat], logs)]
             made.append(pa.Table.from_arrays(out, names=names))
@@ -275,27 +284,33 @@ def _score(tokens: int, distinct: int):
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
     Words are runs of other bytes than 0x20 and 0x09-0x0D, with A-Z lower-cased; every text ends with one more token.
     Rows whose key's crc32 mod 7 is 2 are held out, all others train the model. base_score is exact: the sum of log10
-    of (c + 1) / (N + V + 1). score is the model's log10 probability. Null and blank texts are one end token; null keys
-    hash as the empty string. Repeated rows count and return once each; an empty table gives no rows; without training
-    rows N and V are 0 and every probability is (1 - PAIR_WEIGHT), or 1 for the base. Other columns are ignored.
+    of (c + 1) / (N + V + 1). score is the model's log10 probability. Null and blank texts are one end token; keys are
+    whole numbers or texts, null ones hash as the empty string. Repeated rows count and return once each; an empty table
+    gives no rows; without training rows N and V are 0 and every probability is 1, the base's too. Other columns are
+    ignored.
     """
-    spark = docs.sparkSession
-    ranges = shuffle_partitions(spark)
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    made = materialize(rows.mapInArrow(_tokenize(ranges), "kind int, chunk long, part int, a binary, b binary, keys array<long>, held array<boolean>"), "lm-chunks", partition_by="kind")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    kind_of_key = rows.schema["key"].dataType.simpleString()
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ranges = max(MIN_RANGES, -(-size // range_bytes))
+    shape = f"kind int, chunk long, part int, a binary, b binary, keys array<{kind_of_key}>, held array<boolean>"
+    made = materialize(rows.mapInArrow(_tokenize(ranges), shape), "lm-chunks", partition_by="kind")
     parts = {kind: made.filter(F.col("kind") == kind).select("chunk", "part", "a", "b").groupBy("part") for kind in (_WORDS, _PAIRS)}
     counted = materialize(parts[_WORDS].applyInArrow(_count(_WORDS), _COUNTED), "lm-words")
-    tokens, distinct = counted.filter("chunk = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     paired = materialize(parts[_PAIRS].applyInArrow(_count(_PAIRS), _COUNTED), "lm-pairs")
+    sums: dict[int, dict[int, tuple[int, int]]] = {}
+    for kind, frame in ((_WORDS, counted), (_PAIRS, paired)):  # a row for each level
+        sums[kind] = {-r.chunk: (r.n, r.v) for r in frame.filter("chunk < 0").groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
+    tokens, distinct = (sum(x[i] for x in sums[_WORDS].values()) for i in (0, 1))
 
     texts = made.filter(F.col("kind") == _DOCS).select("chunk", "a", "b", "keys", "held")
-    known = counted.filter("chunk >= 0").unionByName(paired).select("kind", "chunk", "part", "a", "b", "c")
+    known = counted.unionByName(paired).filter("chunk >= 0").select("kind", "chunk", "part", "a", "b", "c")
     scored = texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
-        _score(tokens, distinct), "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(tokens, distinct, {kind: level_means(x) for kind, x in sums.items()}), f"key {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.withColumnRenamed("key", key)

@@ -328,18 +328,28 @@ def test_score_counts_every_pair(spark):
     n, v = sum(single.values()), len(single)
     assert sum(c == 1 for c in double.values()) > 1000
 
-    def level(c):
-        return 0.0 if c == 0 else 1.0 if c == 1 else 1.5 * 2 ** (c.bit_length() - 1) - 0.5
+    def levels(counts):
+        """What the counts of each level are on average."""
+        by = {}
+        for c in counts.values():
+            by.setdefault(c.bit_length(), []).append(c)
+        return {0: 0.0} | {k: sum(x) / len(x) for k, x in by.items()}
+
+    words_at, pairs_at = levels(single), levels(double)
 
     def score(x):
         out = 0.0
         for k, t in enumerate(x):
-            context = level(single[x[k - 1]]) if k else 0.0
-            both = min(level(double[x[k - 1], t]), context) / context if context else 0.0
-            out += math.log10(0.4 * both + 0.6 * (level(single[t]) + 1) / (n + v + 1))
+            context = words_at[single[x[k - 1]].bit_length()] if k else 0.0
+            alone = (words_at[single[t].bit_length()] + 1) / (n + v + 1)
+            out += math.log10(0.4 * min(pairs_at[double[x[k - 1], t].bit_length()], context) / context + 0.6 * alone if context else alone)
         return out
 
-    got = {r.doc_id: r.score for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    off = [abs(got[i] / score(x) - 1) for (i, _), x in zip(rows, tokens)]
-    trained = [o for o, h in zip(off, held) if not h]
-    assert np.median(trained) < 1e-9 and max(trained) < 0.02 and np.mean(off) < 0.005 and max(off) < 0.1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (lm_scoring.RANGE_BYTES, 500):  # 16 slices, and some 100
+        got = {r.doc_id: r.score for r in lm_scoring.score_documents(frame, range_bytes=size).collect()}
+        off = [abs(got[i] / score(x) - 1) for (i, _), x in zip(rows, tokens)]
+        trained = [o for o, h in zip(off, held) if not h]
+        assert np.median(trained) < 1e-9 and max(trained) < 0.02 and np.mean(off) < 0.005 and max(off) < 0.1
+    named = frame.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert {(r.doc_id, r.held_out, r.n_known) for r in lm_scoring.score_documents(named).collect()} == {(str(i), h, sum(single[t] > 0 for t in x)) for (i, _), x, h in zip(rows, tokens, held)}

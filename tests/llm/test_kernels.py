@@ -81,13 +81,37 @@ def test_bloom_probes_never_undercount():
     for k in range(1, int(levels.max()) + 1):
         for places in lm_scoring._places(keys[levels >= k], k, bits):
             flags[places] = True
-    got = lm_scoring.probe(np.packbits(flags, bitorder="little"), grams, True)
-    wanted = np.where(levels == 1, 1.0, 1.5 * np.exp2(levels - 1.0) - 0.5)
-    assert (got >= wanted).all() and (got == wanted).mean() > 0.95
-    other = lm_scoring.probe(np.packbits(flags, bitorder="little"), grams + np.uint64(1), True)
+    got = lm_scoring.probe_levels(np.packbits(flags, bitorder="little"), grams, True)
+    assert (got >= levels).all() and (got == levels).mean() > 0.95
+    other = lm_scoring.probe_levels(np.packbits(flags, bitorder="little"), grams + np.uint64(1), True)
     assert (other > 0).mean() < 0.1
 
 
+def test_probabilities_are_at_most_one_and_sum_to_about_one():
+    """Over all words of a small vocabulary and the unknown one, after each known context and after none."""
+    draw = np.random.default_rng(6)
+    text = draw.zipf(1.5, 4000) % 50
+    single, double = np.bincount(text, minlength=50), np.zeros((50, 50), np.int64)
+    np.add.at(double, (text[:-1], text[1:]), 1)
+
+    def quantised(counts):
+        levels = np.where(counts > 0, lm_scoring._levels(counts), 0)
+        return lm_scoring.level_means({k: (int(counts[levels == k].sum()), int((levels == k).sum())) for k in range(1, 49) if (levels == k).any()})[levels]
+
+    q, qq = quantised(single), quantised(double)
+    assert math.isclose(q.sum(), 4000) and math.isclose(qq.sum(), 3999)
+    n, v = 4000, int((single > 0).sum())
+    word = np.append(q, 0.0)  # the last one is unknown
+    sums = []
+    for context in np.flatnonzero(single):
+        p = lm_scoring.model_probability(word[np.append(single > 0, True)], np.full(v + 1, q[context]), np.append(qq[context], 0.0)[np.append(single > 0, True)], n, v)
+        assert (p > 0).all() and (p <= 1).all()
+        sums.append(p.sum())
+    none = lm_scoring.model_probability(word[np.append(single > 0, True)], np.zeros(v + 1), np.zeros(v + 1), n, v)
+    assert math.isclose(none.sum(), 1) and abs(np.average(sums, weights=single[single > 0]) - 1) < 0.05 and 0.7 < min(sums) and max(sums) < 1.3
+    assert (lm_scoring.model_probability(np.array([0.0, 1e12]), np.zeros(2), np.zeros(2), 0, 0) <= 1).all()
+
+
 def test_pack():
     x = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     assert (lm_scoring.unpack(lm_scoring.pack(x)) == x).all()
@@ -245,8 +269,10 @@ def test_filter_grows_with_its_entries():
     """No cap: 12 bits an entry at any number, and so few false positives in a large slice as in a small one."""
     assert all(lm_scoring.filter_bits(n) >= 12 * n for n in (1, 10**6, 10**9, 10**12))
     rng = np.random.default_rng(3)
-    for n in (1000, 300_000):
+    wrong = []
+    for n in (20_000, 1_000_000):
         grams = rng.integers(0, 2**48, n, dtype=np.uint64)
         slice_ = lm_scoring.make_filter(grams, np.ones(n, np.uint8), True)
-        assert lm_scoring.probe(slice_, grams, True).min() >= 1
-        assert np.mean(lm_scoring.probe(slice_, rng.integers(0, 2**48, 50_000, dtype=np.uint64), True) > 0) < 0.02
+        assert lm_scoring.probe_levels(slice_, grams, True).min() >= 1
+        wrong.append(np.mean(lm_scoring.probe_levels(slice_, rng.integers(0, 2**48, 200_000, dtype=np.uint64), True) > 0))
+    assert max(wrong) < 0.01 and abs(wrong[0] - wrong[1]) < 0.002
