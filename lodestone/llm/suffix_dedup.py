@@ -3,18 +3,25 @@
 A string of `length` bytes that starts at two places or more is removed wherever it stands. Which places can match is
 found first, and cheaply: every window of `length` bytes has a least 16-byte gram (by hash), equal windows have equal
 least grams, so windows are gathered into segments that share one, and a gram that the corpus has once rules its
-segment out. Segments of equal bytes are merged with their number before anything is sorted, so copies cost nothing.
-The rest, distinct segments around one gram, are sorted: their suffixes at word starts go into a suffix array by Lyndon
-groups (suffix_sorting), and bytes in common with the neighbours give, for each window, the interval of suffixes that
-agree with it from its first word start on; windows of one interval with equal bytes before that are the repeats.
-Every match is confirmed byte by byte.
+segment out. All other segments are sorted, copies included: tasks merge segments of equal bytes, with their number,
+before they send them and again where a gram's segments meet, so copies cost a row for each task and are sorted once.
+
+The suffixes of a gram's segments that begin where the next 8 bytes hash to a sixteenth of all values go into a suffix
+array by Lyndon groups (suffix_sorting). Bytes in common with the neighbours give, for each window, the interval of
+suffixes that agree with it from its first such start on; windows of one interval with equal bytes before that are the
+repeats. Starts depend on bytes alone, so texts without white space have them too; only a window without any (one of a
+short period, as a rule) is told by a hash of its bytes. Every match is confirmed byte by byte.
+
+Segments are told by 64 bits of hash when answers go back to their texts. Where two segments of one gram share them, the
+answer brings the bytes it is for, and the text is compared with them.
 
 A gram with more than `hot` distinct segments isn't one task's: its windows are dealt by their distance to the gram, 16
-distances at a time, and by all bytes such windows must share.
+distances at a time, and by all bytes such windows must share. Their answers always bring their bytes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +31,23 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import KEY_ROWS, discard, materialize, row_hashes, whole_row
+from ._shared import KEY_ROWS, discard, hint_small, materialize, row_hashes, whole_row
 from .suffix_sorting import suffix_array
 
 LENGTH = 200
 GRAM = 16
 HOT = 5_000  # distinct segments sorted together: 180 MB or so, as much as BLOCK takes (50,000: 1.8 GB)
 BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
+COMBINE = 32 << 20  # bytes of different segments among which a task merges equal ones before it sends them
 CHUNK = 16
 SPANS = "array<struct<start:int,end:int>>"
 
 _POS = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Word starts taken: after one of the separating bytes, where the next byte is divisible by three (a third or so of all).
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
-_START = np.arange(256) % 3 == 0
+#: One place in so many is a start of a suffix.
+EVERY = 16
+#: Windows whose least grams are found at once: places in such a part have 20 bits.
+_PART = 1 << 19
 
 
 def _eights(a: np.ndarray) -> np.ndarray:
@@ -49,32 +57,36 @@ def _eights(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(sliding_window_view(b, 8)[: len(a)]).view("<u8").ravel()
 
 
-def _least_grams(a: np.ndarray, length: int) -> np.ndarray:
-    """For every window of `length` bytes, the hash (upper 44 bits) and place (lower 20) of its least gram, the leftmost of equal ones."""
-    v = _eights(a)
-    n = len(a) - GRAM + 1
-    h = (v[:n] * _ODD) ^ (v[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h = (h & ~_POS) | (np.arange(n, dtype=np.uint64) & _POS)
+def _least_grams(a: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of `length` bytes, the hash (44 bits) and place of its least gram, the leftmost of equal ones."""
     w = length - GRAM + 1
-    padded = np.concatenate([h, np.full(-n % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(padded, 1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
-    m = n - w + 1
-    return np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
-
-
-def segments(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    grams, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for start in range(0, len(a) - length + 1, _PART):
+        v = _eights(a[start : start + _PART + length - 1])
+        n = len(v) - GRAM + 1
+        h = (v[:n] * _ODD) ^ (v[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h = (h & ~_POS) | np.arange(n, dtype=np.uint64)
+        padded = np.concatenate([h, np.full(-n % w, 2**64 - 1, np.uint64)]).reshape(-1, w)
+        ahead = np.minimum.accumulate(padded, 1).ravel()
+        behind = np.minimum.accumulate(padded[:, ::-1], 1)[:, ::-1].ravel()
+        m = n - w + 1
+        least = np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
+        grams.append(least >> np.uint64(20))
+        places.append((least & _POS).astype(np.int64) + start)
+    return np.concatenate(grams), np.concatenate(places)
+
+
+def segments(text: bytes, length: int, hash_bits: int = 64) -> tuple[np.ndarray, ...]:
     """first window, number of windows, gram, hash of the bytes, whether the gram is least at several places of the segment."""
-    least = _least_grams(np.frombuffer(text, np.uint8), length)
-    gram = least >> np.uint64(20)
+    gram, place = _least_grams(np.frombuffer(text, np.uint8), length)
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     ends = np.append(first[1:], len(gram))
-    moved = np.concatenate([[0], np.cumsum(least[1:] != least[:-1])])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(text[p : q + length - 1]) for p, q in zip(first.tolist(), ends.tolist())], np.uint64)
+    moved = np.concatenate([[0], np.cumsum(place[1:] != place[:-1])])
+    digest, most = xxhash.xxh64_intdigest, (1 << hash_bits) - 1
+    hashes = np.array([digest(text[p : q + length - 1]) & most for p, q in zip(first.tolist(), ends.tolist())], np.uint64)
     return first, ends - first, gram[first], hashes, moved[ends - 1] != moved[first]
 
 
@@ -84,7 +96,7 @@ def _with_place(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("*", a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
 
 
-def _all_segments(rows: DataFrame, length: int) -> DataFrame:
+def _all_segments(rows: DataFrame, length: int, hash_bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["__a", "__b", "__p", "__n", "__g", "__c", "__self"]
         for batch in batches:
@@ -93,7 +105,7 @@ def _all_segments(rows: DataFrame, length: int) -> DataFrame:
             owners: list[int] = []
             size = 0
             for i in range(batch.num_rows):
-                parts.append(segments(batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"), length))
+                parts.append(segments(batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"), length, hash_bits))
                 owners.append(i)
                 size += len(parts[-1][0])
                 if size > 200_000 or i == batch.num_rows - 1:
@@ -105,35 +117,45 @@ def _all_segments(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("__a", "__b", "__t").mapInArrow(run, "__a long, __b long, __p int, __n int, __g long, __c long, __self boolean")
 
 
-def _cut(length: int, hot: int):
-    """Texts with the list of segments wanted of them -> the segments' bytes, each with the group it is sorted in."""
+def _cut(length: int):
+    """Texts with the list of segments wanted of them -> the segments' bytes, each with the group it is sorted in and how often it stood in what was merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__q", "__g", "__c", "__shift", "__w", "__bytes"]
+        held: dict[tuple[int, int, int, int, bytes], int] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            columns = [list(x) for x in zip(*held)] or [[] for _ in range(5)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            whole = pa.RecordBatch.from_arrays([*[pa.array(x, k) for x, k in zip(columns, kinds)], pa.array(list(held.values()), pa.int64())], names=["__q", "__g", "__c", "__shift", "__bytes", "__w"])
+            for at in range(0, whole.num_rows, 10_000):
+                yield whole.slice(at, 10_000)
+
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            size = 0
+            times = batch.column(2).to_pylist()
             for i in range(batch.num_rows):
                 text = batch.column(0)[i].as_py().encode("utf-8", "surrogatepass")
                 for want in batch.column(1)[i].as_py():
                     body = text[want["__p"] : want["__p"] + want["__n"] + length - 1]
-                    pieces = [(want["__g"], 0, body)] if want["__k"] <= hot else _deal(want["__g"], body, length)
-                    for group, shift, part in pieces:
-                        for column, x in zip(out, (group, want["__g"], want["__c"], shift, want["__w"], part)):
-                            column.append(x)
-                        size += len(part)
-                if size > BLOCK or (i == batch.num_rows - 1 and size):
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=names)
-                    out, size = [[] for _ in names], 0
+                    for group, shift, part in _deal(want["__g"], body, length) if want["__hot"] else [(want["__g"], 0, body)]:
+                        key = (group, want["__g"], want["__c"], shift, part)
+                        if key in held:
+                            held[key] += times[i]
+                        else:
+                            held[key] = times[i]
+                            size += len(part)
+                if size > COMBINE:
+                    yield from rows()
+                    held, size = {}, 0
+        yield from rows()
 
     return run
 
 
 def _deal(gram: int, body: bytes, length: int) -> list[tuple[int, int, bytes]]:
     """A segment's windows by 16 distances to the gram: (hash of what such windows share, first window, bytes)."""
-    least = _least_grams(np.frombuffer(body, np.uint8), length) & _POS
-    distance = least.astype(np.int64) - np.arange(len(least))
+    _, least = _least_grams(np.frombuffer(body, np.uint8), length)
+    distance = least - np.arange(len(least))
     part = distance // CHUNK
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (least[1:] != least[:-1])]))
     out = []
@@ -170,7 +192,7 @@ def _powers(x: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int) -> list[np.ndarray]:
+def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int, every: int = EVERY) -> list[np.ndarray]:
     """For each of several byte strings, which of its windows of `length` bytes occur twice or more among all of them.
 
     weights: how many times each string stands in the corpus.
@@ -182,12 +204,14 @@ def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int) -> l
     v = np.concatenate([_eights(buf), np.zeros(length + 8, np.uint64)])
     of_byte = np.repeat(np.arange(len(bodies)), sizes)
 
-    units = np.flatnonzero(_GAP[buf[:-1]] & _START[buf[1:]]) + 1
-    units = units[offsets[of_byte[units]] != units]  # what stands before a string's first byte isn't known
+    # a start is told by its 8 bytes; what follows a string's end isn't known
+    told = np.arange(len(buf)) + 8 <= offsets[of_byte + 1]
+    units = np.flatnonzero((((v[: len(buf)] * _ODD) >> np.uint64(40)) % np.uint64(every) == 0) & told)
     owner = of_byte[units]
     ends = offsets[owner + 1]
     last = np.append(owner[1:] != owner[:-1], True) if len(units) else np.empty(0, bool)
-    stops = np.where(last, ends, np.append(units[1:], 0) + 1 if len(units) else units)  # with the byte after, but for a string's last
+    # a unit goes up to the next start and takes its 8 bytes along, so that none is the beginning of another
+    stops = np.where(last, ends, np.append(units[1:], 0) + 8 if len(units) else units)
     names = [joined[a:b] for a, b in zip(units.tolist(), stops.tolist())]
     rank = {x: i for i, x in enumerate(sorted(set(names)), 1)}
     symbols = np.zeros(len(units) + int(last.sum()), np.int64)
@@ -206,10 +230,11 @@ def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int) -> l
         shared[1:] = _common(v, units[a], units[b], np.minimum(np.minimum(left[a], left[b]), length))
 
     windows = np.flatnonzero(offsets[of_byte + 1] - np.arange(len(buf)) >= length)
-    unit = np.searchsorted(units, windows, side="right")  # a start at the window's own first byte depends on the byte before
+    unit = np.searchsorted(units, windows)
     reach = np.full(len(windows), length, np.int64)
     has = unit < len(units)
-    reach[has] = np.minimum(units[unit[has]] - windows[has], length)
+    reach[has] = units[unit[has]] - windows[has]
+    reach[reach > length - 8] = length  # a start that bytes behind the window tell
 
     powers = _powers(int(_ODD), len(buf) + 1)
     inverse = _powers(pow(int(_ODD), -1, 1 << 64), len(buf) + 1)
@@ -255,71 +280,84 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _sort(length: int):
-    """Segments in the order of their group -> (__g, __c, __shift, __r): the stretches of repeated windows of each."""
+    """Segments in the order of their group -> (__g, __c, __shift, __r, __body): the stretches of repeated windows of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
+        held: dict[tuple[int, bytes], dict[tuple[int, int, int], int]] = {}  # equal bytes of one group are one string
         size, last = 0, None
 
         def sort() -> pa.RecordBatch:
-            # equal bytes of one group are one string; its places all get the answer
-            found = repeated_windows([k[1] for k in held], np.array([sum(x[3] for x in v) for v in held.values()], np.int64), length)
-            rows = [(g, c, s, r) for v, f in zip(held.values(), found) if f.any() for r in [_runs(f)] for g, c, s, _ in v]
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["__g", "__c", "__shift", "__r"])
+            found = repeated_windows([body for _, body in held], np.array([sum(x.values()) for x in held.values()], np.int64), length)
+            bodies = Counter(name for names in held.values() for name in names)
+            rows = [
+                (*name, r, body if q != name[0] or bodies[name] > 1 else None)
+                for ((q, body), names), f in zip(held.items(), found)
+                if f.any()
+                for r in [_runs(f)]
+                for name in names
+            ]
+            cols = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["__g", "__c", "__shift", "__r", "__body"])
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
-            for q, g, c, shift, weight, body in zip(*cols):
+            for q, g, c, shift, body, weight in zip(*cols):
                 if q != last and size > BLOCK:
                     yield sort()
                     held, size = {}, 0
                 last = q
-                mine = held.setdefault((q, body), [])
-                if not mine:
+                if (q, body) not in held:
+                    held[q, body] = {}
                     size += len(body)
-                mine.append((g, c, shift, weight))
+                mine = held[q, body]
+                mine[g, c, shift] = mine.get((g, c, shift), 0) + weight
         if held:
             yield sort()
 
     return run
 
 
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """(__a, __b, __spans): for each row with repeats, told by _with_place(), its removed stretches in bytes, maximal and in order."""
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
+    """(__a, __b, __spans): for each row that may have repeats, told by _with_place(), the stretches that removed() takes.
+
+    hash_bits: of the hash that tells segments of one gram; fewer cost time, the result is the same.
+    """
     rows = _with_place(docs.select(F.col(key), F.col(text)), key, text).select("__a", "__b", "__t").filter(F.octet_length("__t") >= length)
-    found = materialize(_all_segments(rows, length), "repeat-segments")
+    found = materialize(_all_segments(rows, length, hash_bits), "repeat-segments")
     grams = found.groupBy("__g").agg(F.count("*").alias("n"), F.max("__self").alias("s")).filter("n > 1 OR s").select("__g")
     grams = materialize(grams, "repeat-grams")
     several = found.join(F.broadcast(grams) if grams.count() <= KEY_ROWS else grams, "__g")
     several = materialize(several, "repeat-several")
     discard(found)
-    distinct = several.groupBy("__g", "__c").agg(F.count("*").alias("__w"), F.max("__self").alias("__self"), F.min(F.struct("__a", "__b", "__p", "__n")).alias("__at"))
-    distinct = materialize(distinct, "repeat-distinct")
-    kinds = materialize(distinct.groupBy("__g").agg(F.count("*").alias("__k"), F.max("__self").alias("s")).filter("__k > 1 OR s").select("__g", "__k"), "repeat-kinds")
-
-    whole = distinct.join(kinds, "__g", "left_anti").filter("__w > 1").select("__g", "__c", F.lit(0).alias("__shift"), F.array(F.lit(0), F.col("__at.__n")).alias("__r"))
-    unsure = distinct.join(kinds, "__g").select("__at.__a", "__at.__b", F.struct("__at.__p", "__at.__n", "__g", "__c", "__w", "__k").alias("x"))
-    wanted = unsure.groupBy("__a", "__b").agg(F.collect_list("x").alias("__want"))
-    wanted = materialize(wanted, "repeat-wanted")
+    many = several.select("__g", "__c").distinct().groupBy("__g").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
+    many = materialize(many.select("__g", F.lit(True).alias("__hot")), "repeat-hot")
+    known = several.join(hint_small(many, many.count()), "__g", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    # rows equal in key and text are one text that stands there several times
+    wanted = known.groupBy("__a", "__b").agg(F.count("*").alias("n"), F.collect_set(F.struct("__p", "__n", "__g", "__c", "__hot")).alias("__want"))
+    wanted = materialize(wanted.select("__a", "__b", "__want", F.expr("n div size(__want)").alias("__times")), "repeat-wanted")
+    discard(several)
+
     keys = wanted.select("__a", "__b")
     if keys.count() <= KEY_ROWS:  # texts that aren't wanted stay where they are
         rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
-    once = rows.join(wanted, ["__a", "__b"]).select("__t", "__want")
-    bodies = once.mapInArrow(_cut(length, hot), "__q long, __g long, __c long, __shift int, __w long, __bytes binary")
+    if not wanted.filter("__times > 1").isEmpty():
+        rows = rows.dropDuplicates(["__a", "__b"])
+    texts = rows.join(wanted, ["__a", "__b"]).select("__t", "__want", "__times")
+    bodies = texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
     dealt = bodies.repartition("__q").sortWithinPartitions("__q")
-    sorted_ = dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>")
-    # rows equal in key and text give the same segments again; the answers are the same
-    answers = materialize(whole.unionByName(sorted_).dropDuplicates(["__g", "__c", "__shift"]), "repeat-answers")
-    placed = several.join(answers, ["__g", "__c"]).select("__a", "__b", F.transform("__r", lambda x: x + F.col("__p") + F.col("__shift")).alias("r")).distinct()
-    return materialize(placed.groupBy("__a", "__b").agg(F.collect_list("r").alias("__spans")), "repeat-spans")
+    answers = materialize(dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>, __body binary"), "repeat-answers")
+    asked = wanted.select("__a", "__b", F.explode("__want").alias("x")).select("__a", "__b", "x.__p", "x.__g", "x.__c")
+    place = F.col("__p") + F.col("__shift")
+    placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.struct(F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body")).alias("s"))
+    return materialize(placed.groupBy("__a", "__b").agg(F.collect_list("s").alias("__spans")), "repeat-spans")
 
 
-def removed(spans: list[list[int]] | None, length: int) -> list[tuple[int, int]]:
-    """Stretches of repeated windows -> maximal stretches of bytes covered by them, in order."""
+def removed(spans: list[dict] | None, text: bytes, length: int) -> list[tuple[int, int]]:
+    """Stretches of repeated windows -> maximal stretches of bytes covered by them, in order; those that are for other bytes are left out."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted((r[i], r[i + 1] + length - 1) for r in spans or [] for i in range(0, len(r), 2)):
+    mine = [s["r"] for s in spans or [] if s["body"] is None or text.startswith(s["body"], s["at"])]
+    for start, end in sorted((r[i], r[i + 1] + length - 1) for r in mine for i in range(0, len(r), 2)):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
@@ -335,13 +373,13 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]])
 
 
-def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
     """docs with the texts' repeats taken out, all columns kept; rows of which nothing but blanks is left go.
 
     The stretches are those of find_repeats(), narrowed to whole characters. Texts that lose nothing stay as they are,
     null and empty ones included.
     """
-    spans = repeated_spans(docs, key, text, length, hot)
+    spans = repeated_spans(docs, key, text, length, hot, hash_bits)
     keys = spans.select("__a", "__b")
     rows = _with_place(docs.select(F.col(key).alias("__k"), F.col(text).alias("__x"), whole_row(docs)), "__k", "__x").select("__a", "__b", "__row")
     whole = None
@@ -357,9 +395,10 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             stay: list[int] = []
             left: list[str | None] = []
             for i, (t, r) in enumerate(zip(texts, spans_of)):
-                if r and t is not None:
-                    b = t.encode("utf-8", "surrogatepass")
-                    t = kept_bytes(b, [_whole_characters(b, x) for x in removed(r, length)]).decode("utf-8", "surrogatepass")
+                b = (t or "").encode("utf-8", "surrogatepass")
+                cut = removed(r, b, length)
+                if cut:
+                    t = kept_bytes(b, [_whole_characters(b, x) for x in cut]).decode("utf-8", "surrogatepass")
                     if not t.strip():
                         continue
                 stay.append(i)
@@ -381,7 +420,7 @@ def _whole_characters(text: bytes, span: tuple[int, int]) -> tuple[int, int]:
     return start, end
 
 
-def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of docs.
 
     Each byte of a whole text covered by a `length`-byte string that also starts anywhere else, in the same text or
@@ -389,7 +428,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     shorter texts lose nothing (null: 0 bytes). Rows equal in key and text are each other's repeats. An empty table
     gives no rows; other columns are ignored. spans: the maximal removed stretches [start, end) in bytes.
     """
-    spans = repeated_spans(docs, key, text, length, hot)
+    spans = repeated_spans(docs, key, text, length, hot, hash_bits)
     rows = _with_place(docs.select(F.col(key), F.col(text)), key, text).select(F.col(key).alias("__id"), "__a", "__b", "__t")
     keys = spans.select("__a", "__b")
     whole = None
@@ -410,7 +449,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             out: list[list] = [[] for _ in names[1:]]
             for i in range(batch.num_rows):
                 t = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")
-                cut = removed(batch.column(2)[i].as_py(), length)
+                cut = removed(batch.column(2)[i].as_py(), t, length)
                 for column, x in zip(out, (len(t), sum(b - a for a, b in cut), len(cut), sha256(kept_bytes(t, cut)).hexdigest(), [{"start": a, "end": b} for a, b in cut])):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), shape)

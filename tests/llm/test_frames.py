@@ -47,14 +47,17 @@ def words(t):
     return [w for w in re.split(rb"[\x20\x09-\x0d]+", (t or "").encode().lower()) if w]
 
 
-def test_suffix_dedup(docs, empty):
-    texts = [(r[1] or "").encode() for r in ROWS]
-    counts = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
-    wanted = []
-    for r, t in zip(ROWS, texts):
+def without_repeats(rows):
+    """(key, bytes, bytes removed, stretches, hash of what is left) of (key, text) rows, by counting all windows."""
+    texts = [(t or "").encode() for _, t in rows]
+    counts = Counter(hash(t[i : i + 200]) for t in texts for i in range(len(t) - 199))
+    doubtful = [[i for i in range(len(t) - 199) if counts[hash(t[i : i + 200])] > 1] for t in texts]
+    exact = Counter(t[i : i + 200] for t, places in zip(texts, doubtful) for i in places)
+    out = []
+    for (key, _), t, places in zip(rows, texts, doubtful):
         spans = []
-        for i in range(len(t) - 199):
-            if counts[t[i : i + 200]] > 1:
+        for i in places:
+            if exact[t[i : i + 200]] > 1:
                 if spans and i <= spans[-1][1]:
                     spans[-1][1] = i + 200
                 else:
@@ -62,16 +65,53 @@ def test_suffix_dedup(docs, empty):
         kept, at = b"", 0
         for a, b in spans:
             kept, at = kept + t[at:a], b
-        wanted.append((str(r[0]), len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept + t[at:]).hexdigest()))
+        out.append((str(key), len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept + t[at:]).hexdigest()))
+    return sorted(out)
+
+
+def found_repeats(docs, **how):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find_repeats(docs, **how).collect())
+
+
+def test_suffix_dedup(docs, empty):
+    wanted = without_repeats([r[:2] for r in ROWS])
     for hot in (50_000, 1):
-        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find_repeats(docs, hot=hot).collect()]
-        assert sorted(got) == sorted(wanted)
+        for bits in (64, 0):  # with 0 all segments of a gram share their hash: only bytes tell them
+            assert found_repeats(docs, hot=hot, hash_bits=bits) == wanted
     assert suffix_dedup.find_repeats(empty).collect() == []
     left = suffix_dedup.drop_repeats(docs)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} >= {4, 5, 6, None} and suffix_dedup.drop_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_tells_segments_by_their_bytes(spark):
+    """One passage in many surroundings, some texts that are the same or nearly so, and many rows of one key and text."""
+    rng = np.random.default_rng(17)
+
+    def prose(n):
+        return " ".join(f"{x:x}" for x in rng.integers(0, 10**6, n))
+
+    passage, other = prose(60), prose(300)
+    rows = [(i, prose(20) + " " + passage[: 150 + 4 * (i % 40)] + " " + prose(20)) for i in range(60)]
+    rows += [(100 + i, other[:700] + f" {i % 4} " + other[700:]) for i in range(12)] + [(200, prose(100))] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = without_repeats(rows)
+    for hot in (5_000, 3):
+        for bits in (64, 1, 0):
+            assert found_repeats(frame, hot=hot, hash_bits=bits) == wanted
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    """Over a million bytes around one gram, without white space, and a text that holds a part of itself far behind."""
+    rng = np.random.default_rng(18)
+    run = "".join(chr(x) for x in rng.integers(97, 123, 150_000))
+    rows = [(1, "a" * 1_100_000 + "b"), (2, "a" * 400), (3, run + "c" + run[:60_000] + "".join(chr(x) for x in rng.integers(97, 123, 1_100_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = without_repeats(rows)
+    for hot in (5_000, 0):
+        assert found_repeats(frame, hot=hot) == wanted
+
+
 def test_simhash(docs, empty):
     import xxhash
 

@@ -38,8 +38,31 @@ def test_repeated_windows():
             counts.update({body[i : i + length]: 0 for i in range(len(body) - length + 1)})
             for i in range(len(body) - length + 1):
                 counts[body[i : i + length]] += int(w)
-        for body, got in zip(bodies, suffix_dedup.repeated_windows(bodies, weights, length)):
-            assert got.tolist() == [counts[body[i : i + length]] >= 2 for i in range(len(body) - length + 1)]
+        for every in (1, 3, 16):
+            for body, got in zip(bodies, suffix_dedup.repeated_windows(bodies, weights, length, every)):
+                assert got.tolist() == [counts[body[i : i + length]] >= 2 for i in range(len(body) - length + 1)]
+
+
+def test_starts_do_not_depend_on_white_space():
+    """Windows of a text without any have a start of a suffix in them; only those of a short period may not."""
+    text = np.random.default_rng(8).integers(33, 127, 100_000).astype(np.uint8).tobytes()
+    v = suffix_dedup._eights(np.frombuffer(text, np.uint8))
+    starts = np.flatnonzero(((v * suffix_dedup._ODD) >> np.uint64(40)) % np.uint64(suffix_dedup.EVERY) == 0)
+    assert np.diff(starts).max() < 192 and 5_000 < len(starts) < 7_500
+
+
+def test_least_grams_of_long_texts():
+    """Parts meet: the same as all at once, for a text of more than one part, and places of 20 bits and more."""
+    draw = np.random.default_rng(9)
+    text = np.concatenate([draw.integers(97, 100, 700_000), np.full(600_000, 97)]).astype(np.uint8)
+    gram, place = suffix_dedup._least_grams(text, 200)
+    assert len(gram) == len(text) - 199 and (place >= np.arange(len(gram))).all() and (place <= np.arange(len(gram)) + 184).all()
+    for at in (0, (1 << 19) - 100, (1 << 19) + 5, (1 << 20) + 77, len(gram) - 1):
+        one, where = suffix_dedup._least_grams(text[at : at + 200], 200)
+        assert (one[0], where[0] + at) == (gram[at], place[at])
+    body = text.tobytes()
+    dealt = suffix_dedup._deal(5, body, 200)
+    assert sum(len(x) - 199 for _, _, x in dealt) == len(gram) and all(body[p : p + len(x)] == x for _, p, x in dealt)
 
 
 def test_compare_tiles_finds_every_link():
