@@ -6,11 +6,11 @@ least grams, so windows are gathered into segments that share one, and a gram th
 segment out. All other segments are sorted, copies included: tasks merge segments of equal bytes, with their number,
 before they send them and again where a gram's segments meet, so copies cost a row for each task and are sorted once.
 
-The suffixes of a gram's segments that begin where the next 8 bytes hash to a sixteenth of all values go into a suffix
+The suffixes of a gram's segments that begin where the next 8 bytes hash to one value in EVERY go into a suffix
 array by Lyndon groups (suffix_sorting). Bytes in common with the neighbours give, for each window, the interval of
 suffixes that agree with it from its first such start on; windows of one interval with equal bytes before that are the
-repeats. Starts depend on bytes alone, so texts without white space have them too; only a window without any (one of a
-short period, as a rule) is told by a hash of its bytes. Every match is confirmed byte by byte.
+repeats. Starts depend on bytes alone, so texts without white space have them too; only a window without any (one in 400,
+and those of a short period) is told by a hash of its bytes. Every match is confirmed byte by byte.
 
 Segments are told by 64 bits of hash when answers go back to their texts. Where two segments of one gram share them, the
 answer brings the bytes it is for, and the text is compared with them.
@@ -45,7 +45,7 @@ SPANS = "array<struct<start:int,end:int>>"
 _POS = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: One place in so many is a start of a suffix.
-EVERY = 16
+EVERY = 32
 #: Windows whose least grams are found at once: places in such a part have 20 bits.
 _PART = 1 << 19
 
@@ -319,7 +319,7 @@ def _sort(length: int):
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
-    """(__a, __b, __spans): for each row that may have repeats, told by _with_place(), the stretches that removed() takes.
+    """(__a, __b, __spans, __told): for each row that may have repeats, told by _with_place(), the stretches that removed() takes.
 
     hash_bits: of the hash that tells segments of one gram; fewer cost time, the result is the same.
     """
@@ -349,14 +349,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     answers = materialize(dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>, __body binary"), "repeat-answers")
     asked = wanted.select("__a", "__b", F.explode("__want").alias("x")).select("__a", "__b", "x.__p", "x.__g", "x.__c")
     place = F.col("__p") + F.col("__shift")
-    placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.struct(F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body")).alias("s"))
-    return materialize(placed.groupBy("__a", "__b").agg(F.collect_list("s").alias("__spans")), "repeat-spans")
+    placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body"))
+    told = F.when(F.col("body").isNotNull(), F.struct("r", "at", "body"))
+    spans = placed.groupBy("__a", "__b").agg(F.collect_list(F.when(F.col("body").isNull(), F.col("r"))).alias("__spans"), F.collect_list(told).alias("__told"))
+    return materialize(spans, "repeat-spans")
 
 
-def removed(spans: list[dict] | None, text: bytes, length: int) -> list[tuple[int, int]]:
-    """Stretches of repeated windows -> maximal stretches of bytes covered by them, in order; those that are for other bytes are left out."""
+def removed(spans: list[list[int]] | None, told: list[dict] | None, text: bytes, length: int) -> list[tuple[int, int]]:
+    """Stretches of repeated windows -> maximal stretches of bytes covered by them, in order. Of those that come with their bytes (told), just the ones that the text has there."""
     out: list[tuple[int, int]] = []
-    mine = [s["r"] for s in spans or [] if s["body"] is None or text.startswith(s["body"], s["at"])]
+    mine = [*(spans or []), *(s["r"] for s in told or [] if text.startswith(s["body"], s["at"]))]
     for start, end in sorted((r[i], r[i + 1] + length - 1) for r in mine for i in range(0, len(r), 2)):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
@@ -386,17 +388,17 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     if keys.count() <= KEY_ROWS:
         whole = rows.join(F.broadcast(keys), ["__a", "__b"], "left_anti").select("__row.*")
         rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
-    joined = rows.join(spans, ["__a", "__b"], "left").select("__row.*", F.col("__spans").alias("__spans_of_" + "_".join(docs.columns)))
+    joined = rows.join(spans, ["__a", "__b"], "left").select("__row.*", F.col("__spans").alias("__spans_of_" + "_".join(docs.columns)), F.col("__told").alias("__told_of_" + "_".join(docs.columns)))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans_of = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, spans_of, told_of = (batch.column(i).to_pylist() for i in (at, batch.num_columns - 2, batch.num_columns - 1))
             stay: list[int] = []
             left: list[str | None] = []
-            for i, (t, r) in enumerate(zip(texts, spans_of)):
+            for i, (t, r, x) in enumerate(zip(texts, spans_of, told_of)):
                 b = (t or "").encode("utf-8", "surrogatepass")
-                cut = removed(r, b, length)
+                cut = removed(r, x, b, length)
                 if cut:
                     t = kept_bytes(b, [_whole_characters(b, x) for x in cut]).decode("utf-8", "surrogatepass")
                     if not t.strip():
@@ -404,8 +406,8 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 stay.append(i)
                 left.append(t)
             kept = batch.take(pa.array(stay, pa.int32()))
-            columns = [pa.array(left, kept.column(at).type) if i == at else kept.column(i) for i in range(kept.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names[:-1])
+            columns = [pa.array(left, kept.column(at).type) if i == at else kept.column(i) for i in range(kept.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names[:-2])
 
     made = joined.mapInArrow(run, docs.schema)
     return made if whole is None else made.unionByName(whole)
@@ -437,7 +439,7 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             "__id", F.octet_length("__t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("__t", 256).alias("kept_sha256"), F.array().cast(SPANS).alias("spans")
         )
         rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
-    joined = rows.join(spans, ["__a", "__b"], "left").select("__id", "__t", "__spans")
+    joined = rows.join(spans, ["__a", "__b"], "left").select("__id", "__t", "__spans", "__told")
     kind = joined.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,9 +449,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
         shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             out: list[list] = [[] for _ in names[1:]]
-            for i in range(batch.num_rows):
+            for i, (r, x) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 t = batch.column(1)[i].as_py().encode("utf-8", "surrogatepass")
-                cut = removed(batch.column(2)[i].as_py(), t, length)
+                cut = removed(r, x, t, length)
                 for column, x in zip(out, (len(t), sum(b - a for a, b in cut), len(cut), sha256(kept_bytes(t, cut)).hexdigest(), [{"start": a, "end": b} for a, b in cut])):
                     column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), shape)
