@@ -276,7 +276,12 @@ def test_leaks(spark, docs, empty):
     assert got == ["1", "11", "2", "2", "3"]
     clean = decontamination.drop_leaking(docs, items)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {4, 5, 6, None, 8, 9, 10}
-    assert decontamination.find_leaks(empty, items).collect() == []
+    assert decontamination.find_leaks(empty, items).collect() == [] and decontamination.drop_leaking(empty, items).count() == 0
+    assert decontamination.drop_leaking(docs, items.limit(0)).count() == len(ROWS)
+    several = spark.createDataFrame([(k, PROSE[at : at + 90]) for k, at in (("a", 10), ("b", 200), ("c", 400), (None, 600))], "item_id string, text string")
+    whole, parts = (sorted(map(str, decontamination.find_leaks(docs, several, part_bytes=n).collect())) for n in (1 << 20, 100))
+    assert whole == parts and len(whole) > 12
+    assert sorted(map(str, decontamination.drop_leaking(docs, several, part_bytes=100).collect())) == sorted(map(str, decontamination.drop_leaking(docs, several).collect()))
     assert decontamination.find_leaks(docs, items.limit(0)).collect() == []
 
 

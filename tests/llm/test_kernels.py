@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -144,13 +145,14 @@ def test_pack():
 
 
 def edit_distance(item, text):
+    """The least edits of item within text, and where the first occurrence with so many ends."""
     d = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
         n = [i]
         for j, x in enumerate(text, 1):
             n.append(min(d[j] + 1, n[j - 1] + 1, d[j - 1] + (c != x)))
         d = n
-    return min(d)
+    return min(d), d.index(min(d))
 
 
 def test_leaks():
@@ -176,18 +178,52 @@ def test_leaks():
                 else:
                     leak.insert(k, draw.choice(b"abc"))
             texts.append(decontamination.normal(prose(draw.randint(0, 20)) + " " + leak.decode() + "  " + prose(5)))
-        got = {(t, i, e) for t, i, e, _ in decontamination.scan(held, texts)}
-        wanted = {(t, 99, 0) for t, x in enumerate(texts) if b"tiny" in x}
+        got = set(decontamination.scan(held, texts))
+        wanted = {(t, 99, 0, x.index(b"tiny") + 4) for t, x in enumerate(texts) if b"tiny" in x}
         for t, x in enumerate(texts):
             for n, i in enumerate(held.ids):
-                e = edit_distance(held.texts[n].tobytes(), x)
+                e, end = edit_distance(held.texts[n].tobytes(), x)
                 if e <= held.budget[n]:
-                    wanted.add((t, i, e))
+                    wanted.add((t, i, e, end))
         assert got == wanted
         seen += len(wanted)
     assert seen > 20
 
 
+def test_leaks_of_repeated_grams():
+    """Items and texts of rules, padding and repeated words: the same as comparing everything, and quick where they are long."""
+    draw = random.Random(7)
+
+    def part():
+        return draw.choice(["-" * draw.randint(3, 60), "ab " * draw.randint(2, 20), "".join(draw.choice("abc -") for _ in range(draw.randint(3, 40))), "the end of it "])
+
+    seen = loose = 0
+    for _ in range(40):
+        items = [(i, "".join(part() for _ in range(draw.randint(1, 4)))) for i in range(5)]
+        held = decontamination.Items(items, 0.1)
+        loose += len(held.loose.keys) > 0
+        texts = []
+        for _ in range(6):
+            leak = bytearray(draw.choice(items)[1].encode())
+            for _ in range(draw.randint(0, 4)):
+                leak[draw.randrange(len(leak))] = draw.choice(b"abx-")
+            texts.append(decontamination.normal(part() + leak.decode() + part()))
+        wanted = set()
+        for t, x in enumerate(texts):
+            for n, i in enumerate(held.ids):
+                e, end = edit_distance(held.texts[n].tobytes(), x)
+                if e <= held.budget[n]:
+                    wanted.add((t, i, e, end))
+            wanted |= {(t, i, 0, x.index(y) + len(y)) for i, y in held.short if y in x}
+        assert set(decontamination.scan(held, texts)) == wanted
+        seen += len(wanted)
+    assert seen > 60 and loose > 10
+    began = time.perf_counter()
+    held = decontamination.Items([(1, "-" * 400), (2, "x" * 399)])
+    assert decontamination.scan(held, [b"-" * 1_000_000, b"y" * 1_000_000]) == [(0, 1, 0, 400)]
+    assert time.perf_counter() - began < 20
+
+
 @pytest.fixture(scope="module")
 def coder():
     try:
