@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +30,14 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 _encodings: dict[str, object] = {}
 
 
-def _encoding(path: str, data: bytes):
-    if path not in _encodings:
+def _encoding(digest: str, data: bytes):
+    """One encoding for each worker and file, told by the file's content."""
+    if digest not in _encodings:
         import tiktoken
 
-        _encodings[path] = tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=read_ranks(data), special_tokens={})
-    return _encodings[path]
+        _encodings.clear()
+        _encodings[digest] = tiktoken.Encoding("lodestone", pat_str=PATTERN, mergeable_ranks=read_ranks(data), special_tokens={})
+    return _encodings[digest]
 
 
 def document_lengths(docs: DataFrame, text: str = "text", ranks: str = RANKS) -> DataFrame:
@@ -43,10 +46,10 @@ def document_lengths(docs: DataFrame, text: str = "text", ranks: str = RANKS) ->
         data = file.read((64 << 20) + 1)
     if len(data) > 64 << 20:
         raise ValueError("the file of ranks is over 64 MB")
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+    sent, digest = docs.sparkSession.sparkContext.broadcast(data), sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks, sent.value).encode_ordinary
+        encode = _encoding(digest, sent.value).encode_ordinary
         for batch in batches:
             column = batch.column(0)
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(column[i].as_py())) for i in range(len(column))], pa.int64())], names=["n_tokens"])
@@ -91,9 +94,14 @@ def length_table(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(table: DataFrame, limit: int) -> DataFrame:
-    """One row (tokens) for any context limit: what is left if every document is cut there. 0 for an empty table."""
-    n = F.col("n_tokens")
-    return table.agg(F.coalesce(F.sum(F.col("n_docs") * F.least(n, F.lit(limit))), F.lit(0)).alias("tokens"))
+    """One row (tokens) for any context limit: what is left if every document is cut there. 0 for an empty table.
+
+    The row of the greatest length up to the limit has it: the tokens of lengths up to its own, and the limit for each longer
+    document.
+    """
+    row = F.max_by(F.struct("tokens_upto", "docs_over"), F.when(F.col("n_tokens") <= limit, F.col("n_tokens"))).alias("x")
+    found = table.agg(row, F.max(F.col("docs_over") + F.col("docs_upto")).alias("all"))
+    return found.select(F.coalesce(F.col("x.tokens_upto") + F.col("x.docs_over") * limit, F.col("all") * limit, F.lit(0)).alias("tokens"))
 
 
 def quantile(table: DataFrame, share: float | Column) -> DataFrame:

@@ -195,17 +195,20 @@ def test_scores(docs, empty):
 
 
 def test_token_counts(docs, empty):
-    pytest.importorskip("tiktoken")
-    lengths = sorted(r.n_tokens for r in token_counts.document_lengths(docs).collect())
+    tokenizers = pytest.importorskip("tokenizers")
+    theirs = tokenizers.Tokenizer.from_file(token_counts.RANKS.replace(".tiktoken", ".json"))
+    theirs.encode_special_tokens = True
+    lengths = sorted(len(theirs.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS)
+    assert sorted(r.n_tokens for r in token_counts.document_lengths(docs).collect()) == lengths and lengths[:2] == [0, 0]
     table = token_counts.count_tokens(docs).cache()
     for r in table.collect():
         assert r.n_docs == lengths.count(r.n_tokens)
         assert r.docs_over == sum(x > r.n_tokens for x in lengths) and r.tokens_over == sum(x for x in lengths if x > r.n_tokens)
         assert r.truncated_tokens == sum(min(x, r.n_tokens) for x in lengths)
-    for limit in (0, 7, 512, 10**6):
+    for limit in (0, 1, 7, 512, 10**6):
         assert token_counts.truncated_total(table, limit).first().tokens == sum(min(x, limit) for x in lengths)
     assert token_counts.quantile(table, 0.5).first().n_tokens == lengths[math.ceil(len(lengths) / 2) - 1]
-    assert token_counts.count_tokens(empty).collect() == []
+    assert token_counts.count_tokens(empty).collect() == [] and token_counts.truncated_total(token_counts.count_tokens(empty), 5).first().tokens == 0
 
 
 def test_urls(spark):
@@ -228,6 +231,10 @@ def test_urls(spark):
     ]
     assert url_filters.filter_urls(pages.limit(0)).collect() == []
     assert {r.verdict for r in url_filters.filter_urls(pages, rules=[]).collect()} == {"allow"}
+    book = spark.createDataFrame([("Example.org", "/en/1", "block"), (None, "/", "block"), ("com", None, "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in url_filters.filter_urls(pages, rules=book).collect()} == {i: "block" if i in (0, 5, 6, 10) else "allow" for i in range(11)}
+    blank = pages.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"))
+    assert {tuple(r) for r in url_filters.filter_urls(blank).collect()} == {(None, "", "", None, "allow")}
 
 
 def test_chat(spark):
@@ -244,6 +251,11 @@ def test_chat(spark):
     assert rows[0].rejected.endswith("<|im_start|>\n<|im_end|>\n") and len(rows[0].rejected_mask) == 1
     assert rows[1].n_prompt_turns == 0 and rows[1].rejected == "" and rows[1].chosen
     assert rows[2].n_prompt_turns == 1 and rows[2].chosen == rows[2].rejected == ""
+    long = [(0, 0, "user", "q" * 2_000_000, "x", "y"), (0, 0, "user", "q" * 2_000_000, "x", "z"), (1, 0, "user", "q" * 2_000_000, "x", "y"), (1, 1, "assistant", "r" * 3_000_000, "x", "y")]
+    clashing = spark.createDataFrame(long, "conv_id long, turn long, role string, text string, prompt string, chosen string")
+    (pair,) = chat_formatting.format_preferences(chat_formatting.neighbours(clashing)).collect()
+    assert pair.n_prompt_turns == 1 and len(pair.prompt) == 2_000_028 and pair.chosen == "" and [tuple(x) for x in pair.rejected_mask] == [(22, 3_000_032)]
+    assert chat_formatting.format_preferences(chat_formatting.neighbours(clashing.limit(0))).collect() == []
 
 
 def test_quality(docs, empty):
@@ -329,7 +341,7 @@ def test_keep_one_is_exact_in_large_groups(spark, tile_rows):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows).collect())
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows, link_rows=2 * tile_rows).collect())
     assert len(set(root)) > 5 and kept == sorted(set(root))
 
 
