@@ -42,7 +42,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
-        rules = spark.createDataFrame(rules, "host string, path string, verdict string")
+        listed = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules or [("", "", "")]])
+        rules = spark.range(1 if rules else 0).select(F.inline(listed))
     book = rules.select(lower_ascii(F.col("host")).alias("__rh"), F.coalesce(F.col("path"), F.lit("")).alias("__rp"), F.col("verdict").alias("__v")).filter("__rh IS NOT NULL")
     book = book.groupBy("__rh", "__rp").agg(F.max("__v").alias("__v"))
     book = book.select("*", _digest(F.col("__rh"), F.col("__rp")).alias("__rd")).withColumn("__short", F.substring("__rd", 1, PREFIX_HEX))
@@ -52,15 +53,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
     host, path = split_url(F.col(url))
     rows = pages.select(F.col(key).alias("__id"), host.alias("__h"), path.alias("__p"))
     pairs = rows.select("__h", "__p").filter("__h <> ''").distinct()
-    ways = [
-        F.when(
-            (F.size(F.split("__h", "\\.")) >= s.k) & (F.length("__p") >= s.m),
-            F.struct(F.substring_index("__h", ".", -s.k).alias("h"), F.substring("__p", 1, s.m).alias("p")),
-        )
-        for s in shapes
-    ]
-    none = F.array().cast("array<struct<h:string,p:string>>")
-    tried = pairs.select("__h", "__p", F.explode(F.array_compact(F.array(*ways)) if ways else none).alias("__e"))
+    # one constant, however many shapes there are
+    made = F.array(*[F.struct(F.lit(s.k).alias("k"), F.lit(s.m).alias("m")) for s in shapes]) if shapes else F.array().cast("array<struct<k:int,m:int>>")
+    labels = F.split("__h", "\\.")
+    fits = F.filter(made, lambda s: (s["k"] <= F.size(labels)) & (s["m"] <= F.length("__p")))
+    tried = pairs.select("__h", "__p", F.explode(fits).alias("__s")).select("__h", "__p", F.struct(F.expr("substring_index(__h, '.', -__s.k)").alias("h"), F.expr("substring(__p, 1, __s.m)").alias("p")).alias("__e"))
     tried = tried.select("__h", "__p", _digest(F.col("__e.h"), F.col("__e.p")).alias("__d")).withColumn("__short", F.substring("__d", 1, PREFIX_HEX))
     won = (
         tried.join(book, "__short")
@@ -68,7 +65,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
         .groupBy("__h", "__p")
         .agg(F.max(F.struct((F.length("__rh") + F.length("__rp")).alias("n"), F.length("__rh").alias("hn"), F.col("__v").alias("v"), F.concat("__rh", "__rp").alias("r"))).alias("__w"))
     )
-    return rows.join(won, ["__h", "__p"], "left").select(
+    # rows without a host match nothing: their ids spread them over the join's tasks
+    spread = rows.withColumn("__j", F.when(F.col("__h") != "", F.col("__p")).otherwise(F.coalesce(F.col("__id").cast("string"), F.lit(""))))
+    return spread.join(won.withColumnRenamed("__p", "__j"), ["__h", "__j"], "left").select(
         F.col("__id").alias(key), F.col("__h").alias("host"), F.col("__p").alias("path"), F.col("__w.r").alias("rule"), F.coalesce(F.col("__w.v"), F.lit(default)).alias("verdict")
     )
 
