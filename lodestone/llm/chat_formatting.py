@@ -49,10 +49,10 @@ def format_preferences(turns: DataFrame, pair: str = "pair_id", chosen: str = "c
     rows = turns.select(
         F.col(pair).alias("__pair"), F.col(chosen).alias("__side"), F.col(turn).alias("turn"), _plain(F.col(role)).alias("role"), _plain(F.col(text)).alias("text")
     ).filter("__pair IS NOT NULL AND __side IS NOT NULL")
-    # equal rows are one before they are gathered, so that a group holds a pair's different turns only
-    sides = rows.distinct().groupBy("__pair").agg(
-        F.array_sort(F.collect_list(F.when(F.col("__side"), F.struct("turn", "role", "text")))).alias("c"),
-        F.array_sort(F.collect_list(F.when(~F.col("__side"), F.struct("turn", "role", "text")))).alias("r"),
+    # equal rows are one in each task before they are moved, and a group holds a pair's different turns only
+    sides = rows.groupBy("__pair").agg(
+        F.array_sort(F.collect_set(F.when(F.col("__side"), F.struct("turn", "role", "text")))).alias("c"),
+        F.array_sort(F.collect_set(F.when(~F.col("__side"), F.struct("turn", "role", "text")))).alias("r"),
     )
 
     def bare(c: Column) -> Column:
