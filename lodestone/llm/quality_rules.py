@@ -66,11 +66,13 @@ def measure(docs: DataFrame, text: str, keep: list[Column]) -> DataFrame:
 def host_verdicts(measured: DataFrame, max_failure: float = MAX_HOST_FAILURE) -> DataFrame:
     """(__host, __rejected) from rows with __host and __base_failed.
 
-    The prior is a beta distribution with the mean and variance of the hosts' rates; where they don't vary, its
-    weight is 1e6 documents, so that all hosts have the common rate.
+    The prior is a beta distribution with the mean of the hosts' rates and their variance less what sampling adds to it: of
+    hosts with n documents, a rate varies by m (1 - m) / n + v (1 - 1 / n), with m and v the prior's mean and variance.
+    Where nothing else makes the rates vary, its weight is 1e6 documents, so that all hosts have the common rate.
     """
     hosts = materialize(measured.groupBy("__host").agg(F.count("*").alias("__n"), F.sum(F.col("__base_failed").cast("long")).alias("__f")), "quality-rates")
-    mean, spread = (x or 0.0 for x in hosts.agg(F.avg(F.expr("__f / __n")), F.var_pop(F.expr("__f / __n"))).first())
+    mean, varies, noise = (x or 0.0 for x in hosts.agg(F.avg(F.expr("__f / __n")), F.var_pop(F.expr("__f / __n")), F.avg(F.expr("1 / __n"))).first())
+    spread = (varies - mean * (1 - mean) * noise) / (1 - noise) if noise < 1 else 0.0
     weight = max(1.0, min(1e6, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1e6
     rate = (F.col("__f") + F.lit(mean * weight)) / (F.col("__n") + F.lit(weight))
     return hosts.select("__host", (rate > max_failure).alias("__rejected"))
@@ -95,7 +97,11 @@ def judge_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ho
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_host_failure: float = MAX_HOST_FAILURE) -> DataFrame:
-    """The rows of docs that judge_documents() keeps, with all their columns (measured twice, so that texts aren't moved)."""
+    """The rows of docs that judge_documents() keeps, with all their columns (measured twice, so that texts aren't moved).
+
+    Null and empty texts fail and go, rows without a host are of one host, repeated rows all stay or all go; an empty table
+    stays empty.
+    """
     home = F.coalesce(F.col(host).cast("string"), F.lit("")).alias("__host")
     bad = materialize(host_verdicts(measure(docs, text, [home]), max_host_failure).filter("__rejected").select("__host"), "quality-hosts")
     good = measure(docs, text, [whole_row(docs), home]).filter(~F.col("__base_failed"))
@@ -114,7 +120,8 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS hos
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (r)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
 ), h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM b GROUP BY 1
-), s AS (SELECT avg(f / n) AS m, coalesce(var_pop(f / n), 0) AS v FROM h
+), z AS (SELECT avg(f / n) AS m, coalesce(var_pop(f / n), 0) AS x, avg(1 / n) AS y FROM h
+), s AS (SELECT m, CASE WHEN y < 1 THEN (x - m * (1 - m) * y) / (1 - y) ELSE 0 END AS v FROM z
 ), k AS (SELECT *, CASE WHEN v > 1e-12 THEN greatest(1.0, least(1e6, m * (1 - m) / v - 1)) ELSE 1e6 END AS a FROM s
 ), x AS (SELECT host, (f + m * a) / (n + a) > 0.5 AS rejected FROM h, k)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM b JOIN x USING (host)

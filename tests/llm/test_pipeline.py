@@ -45,7 +45,8 @@ def test_quality(stages):
         failed[i] = len(w) < 20 or 100 * len(covered) > 30 * len(w)
         hosts.setdefault(source or "", []).append(failed[i])
     rates = np.array([np.mean(x) for x in hosts.values()])
-    m, v = rates.mean(), rates.var()
+    m, noise = rates.mean(), np.mean([1 / len(x) for x in hosts.values()])
+    v = (rates.var() - m * (1 - m) * noise) / (1 - noise)
     weight = max(1, min(1e6, m * (1 - m) / v - 1)) if v > 1e-12 else 1e6
     bad = {h for h, x in hosts.items() if (sum(x) + m * weight) / (len(x) + weight) > 0.5}
     assert after == {i: x for i, x in before.items() if not failed[i] and (x[1] or "") not in bad}
