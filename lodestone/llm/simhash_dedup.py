@@ -28,7 +28,7 @@ from .components import components
 
 TILE = 4096
 #: What one task confirms together: members, and bytes of their shingle sets.
-CONFIRM_ROWS, CONFIRM_BYTES = 2048, 16 << 20
+CONFIRM_ROWS, CONFIRM_BYTES = 512, 16 << 20
 #: Bits of a shingle set's sketch, and the rows of one key up to which all of its pairs are taken at once with other keys'.
 SKETCH_BITS, FEW = 1024, 32
 SEED = 42
@@ -62,7 +62,8 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(__id, __f0): signed longs holding each text's fingerprint."""
-    source = docs.select(F.col(key).cast("long").alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    source = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    kind = source.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             made = [majority(shingle_hashes(column[i].as_py().encode("utf-8", "surrogatepass"), width)) for i in range(len(column))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], names=["__id", "__f0"])
 
-    return source.mapInArrow(run, "__id long, __f0 long")
+    return source.mapInArrow(run, f"__id {kind}, __f0 long")
 
 
 def _find(parent: np.ndarray, x: int) -> int:
@@ -484,7 +485,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return joined.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("__f0"), 16, "0")).alias("fingerprint"), F.col("__c").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, tile_rows: int = CONFIRM_ROWS, link_rows: int = TILE) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest key stays, whole.
 
     Texts are linked if their sets of `width`-word shingles have the given similarity (Jaccard) or more, and groups are
@@ -496,13 +497,14 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """
     a, b = row_hashes(key, text)
     texts = docs.select(a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    source = docs.select(F.col(key).cast("long").alias("__id"), a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    described = source.mapInArrow(_described(width, similarity), "__id long, __a long, __b long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary")
+    source = docs.select(F.col(key).alias("__id"), a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    kind = source.schema["__id"].dataType.simpleString()
+    described = source.mapInArrow(_described(width, similarity), f"__id {kind}, __a long, __b long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary")
     marked = materialize(described, "simhash")
     first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
 
     def links(groups: DataFrame) -> DataFrame:
-        loose = link_sets(groups, similarity, 2 * tile_rows)
+        loose = link_sets(groups, similarity, link_rows)
         return confirm_links(loose, groups, texts, width, similarity, tile_rows)
 
     _, named = _grouped(marked, ["__f0", "__f1"], first, links, carry=("__n", "__pc", "__p", "__k"))
