@@ -52,6 +52,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def sharding_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op3's operator with a limit of 64 KiB, under which small tables split too."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), max_bytes=1 << 16)
+
+
 _ALL = (
     op1_suffix_dedup,
     op2_sentencepiece,
@@ -63,13 +68,15 @@ _ALL = (
     op8_quality_rules,
     op9_decontamination,
     op10_simhash_dedup,
+    sharding_small_limit,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: The others can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
-    "op3_sharding": sharding.ORACLE,
+    "op3_sharding": sharding.oracle(sharding.MAX_BYTES),
+    "sharding_small_limit": sharding.oracle(1 << 16),
     "op6_url_filters": url_filters.ORACLE,
     "op7_chat_formatting": chat_formatting.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,

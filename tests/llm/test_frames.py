@@ -182,6 +182,28 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard_documents(empty).collect() == []
 
 
+def test_shards_of_equal_keys_follow_their_texts(spark):
+    """Not the order of the rows: texts of one key go to the same shards however the table is dealt."""
+    rows = [(1, f"{i:03} " + "x" * 60) for i in range(100)]
+    found = []
+    for some in (rows, rows[::-1]):
+        frame = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        made = sharding._assigned(frame.withColumn("n", F.substring("text", 1, 3).cast("long")), 500, "doc_id", "text", "n")
+        found.append(sorted((r["__n"], r["__p"]) for r in made.collect()))
+    assert found[0] == found[1] and len({p for _, p in found[0]}) > 10
+
+
+def test_shards_are_written(spark, docs, empty, tmp_path):
+    shards = {r.shard: (r.n_docs, r.n_bytes) for r in sharding.write_shards(docs, f"{tmp_path}/s", 3000).collect()}
+    assert len(shards) > 3 and sum(n for n, _ in shards.values()) == len(ROWS)
+    for name, (n, size) in shards.items():
+        (file,) = (tmp_path / "s" / f"shard_={name}").glob("*.parquet")  # docs has a column of that name
+        part = spark.read.parquet(f"file://{file}")
+        assert part.columns == docs.columns
+        assert part.count() == n and sum(len((r.text or "").encode()) for r in part.collect()) == size
+    assert sharding.write_shards(empty, f"{tmp_path}/none").collect() == []
+
+
 def test_scores(docs, empty):
     tokens = [[*words(r[1]), None] for r in ROWS]
     held = [crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 == 2 for r in ROWS]
