@@ -28,9 +28,11 @@ from .components import components
 
 TILE = 4096
 #: What one task confirms together: members, and bytes of their shingle sets.
-CONFIRM_ROWS, CONFIRM_BYTES = 512, 16 << 20
+CONFIRM_ROWS, CONFIRM_BYTES = 1024, 16 << 20
 #: Bits of a shingle set's sketch, and the rows of one key up to which all of its pairs are taken at once with other keys'.
 SKETCH_BITS, FEW = 1024, 32
+#: Members whose wide sketches one task compares.
+THIN_ROWS = 16384
 SEED = 42
 
 
@@ -139,15 +141,16 @@ def differ_most(sizes: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def compare_sets(
-    sketches: np.ndarray, sizes: np.ndarray, similarity: float, confirm: Callable[[int, int], bool], sides: np.ndarray | None = None, labels: np.ndarray | None = None, tile: int = 512
+    sketches: np.ndarray | list[np.ndarray], sizes: np.ndarray, similarity: float, confirm: Callable[[int, int], bool], sides: np.ndarray | None = None, labels: np.ndarray | None = None, tile: int = 512
 ) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest (indices u, v) of the links that confirm() accepts among sets, told by sketch() and number of elements.
 
     Only pairs that sizes and sketches prove to be less alike aren't asked about, and those already connected. labels:
-    sets of one label are connected from the start. Tiles are cut in the order of the sizes.
+    sets of one label are connected from the start. Tiles are cut in the order of the sizes. A list of sketches may have
+    different widths: two tiles meet at the width of the smallest set.
     """
     order = np.argsort(sizes, kind="stable")
-    n, k = sizes[order], sketches[order]
+    n, k = sizes[order], [sketches[i] for i in order.tolist()] if isinstance(sketches, list) else sketches[order]
     s = None if sides is None else sides[order]
     parent = np.arange(len(n))
     if labels is not None:
@@ -155,13 +158,14 @@ def compare_sets(
         parent = first[label]
     made: list[tuple[int, int]] = []
     for a in range(0, len(n), tile):
-        rows, last = k[a : a + tile], n[min(a + tile, len(n)) - 1]
+        rows, last = fold(k[a : a + tile], len(k[a])), n[min(a + tile, len(n)) - 1]
         for b in range(a, len(n), tile):
             if n[b] * similarity > last + 1e-6:
                 break
-            total = np.zeros((len(rows), len(k[b : b + tile])), np.int64)
-            for w in range(k.shape[1]):
-                total += np.bitwise_count(rows[:, None, w] ^ k[None, b : b + tile, w])
+            others = fold(k[b : b + tile], len(k[a]))
+            total = np.zeros((len(rows), len(others)), np.int32)
+            for w in range(rows.shape[1]):
+                total += np.bitwise_count(rows[:, None, w] ^ others[None, :, w])
             small, big = n[a : a + tile, None], n[None, b : b + tile]  # of pairs in the order of the sizes
             near = (total <= differ_most(small + big, similarity)) & (big * similarity <= small + 1e-6)
             if s is not None:
@@ -243,19 +247,31 @@ def link_fingerprints(values: DataFrame, masks: list[tuple[int, ...]], radius: i
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """The parities of how many of a set's hashes fall into each of SKETCH_BITS cells: no two sets differ in fewer elements than their sketches in bits."""
-    cells = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+def sketch(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """The parities of how many of a set's hashes fall into each of `bits` cells: no two sets differ in fewer elements than their sketches in bits."""
+    cells = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(cells & 1).tobytes()
 
 
+def wide_bits(size: int) -> int:
+    """So many cells that sets which have nothing to do with each other differ in a quarter of their elements at least: over what those alike may."""
+    return max(SKETCH_BITS, 1 << (max(1, size) - 1).bit_length())
+
+
+def fold(sketches: np.ndarray | list[np.ndarray], words: int) -> np.ndarray:
+    """Sketches of 64-bit words at a smaller width: the cells that fall together are added."""
+    if isinstance(sketches, list):
+        return np.stack([x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in sketches])
+    return sketches
+
+
 def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
     """The first of a set's sorted hashes, so many that sets alike as asked have one of them in common: the least of all they share."""
     return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1]
 
 
 def _described(width: int, similarity: float):
-    """Rows that end with a text -> the same with, in its place, 128 bits that tell its shingle set, the set's size, class, prefix and sketch.
+    """Rows that end with a text -> the same with, in its place, 128 bits that tell its shingle set, the set's size, class, prefix, sketch and wide sketch.
 
     Sets alike as asked are of the same class of sizes, or of neighbouring ones.
     """
@@ -267,10 +283,10 @@ def _described(width: int, similarity: float):
             for i in range(batch.num_rows):
                 h = np.unique(shingle_hashes(texts[i].as_py().encode("utf-8", "surrogatepass"), width))
                 whole = h.tobytes()
-                made.append((xxhash.xxh64_intdigest(whole, 0), xxhash.xxh64_intdigest(whole, 1), len(h), int(math.log(max(1, len(h))) / step), prefix(h, similarity).view(np.int64), sketch(h)))
-            f0, f1, n, c, p, k = zip(*made) if made else [()] * 6
-            arrays = [*batch.columns[:-1], *[pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.list_(pa.int64())), pa.array(k, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "__f0", "__f1", "__n", "__pc", "__p", "__k"])
+                made.append((xxhash.xxh64_intdigest(whole, 0), xxhash.xxh64_intdigest(whole, 1), len(h), int(math.log(max(1, len(h))) / step), prefix(h, similarity).view(np.int64), sketch(h), sketch(h, wide_bits(len(h)))))
+            f0, f1, n, c, p, k, w = zip(*made) if made else [()] * 7
+            arrays = [*batch.columns[:-1], *[pa.array(np.array(f, np.uint64).view(np.int64)) for f in (f0, f1)], pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(p, pa.list_(pa.int64())), pa.array(k, pa.binary()), pa.array(w, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], "__f0", "__f1", "__n", "__pc", "__p", "__k", "__w"])
 
     return run
 
@@ -365,7 +381,7 @@ def _confirm(similarity: float):
         names, rows = list(held), list(held.values())
         sets = [np.frombuffer(r[-1], np.uint64) for r in rows]
         sides, labels = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.int64)
-        u, v = compare_sets(_sketches([r[2] for r in rows]), np.array([len(x) for x in sets]), similarity, lambda i, j: alike(sets[i], sets[j], similarity), sides if several else None, labels)
+        u, v = compare_sets([np.frombuffer(r[2], np.uint64) for r in rows], np.array([len(x) for x in sets]), similarity, lambda i, j: alike(sets[i], sets[j], similarity), sides if several else None, labels)
         h = np.array(names, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(h[u]), pa.array(h[v])], names=["u", "v"])
 
@@ -386,6 +402,46 @@ def _confirm(similarity: float):
     return run
 
 
+def _compared(similarity: float):
+    """Members in the order of (root, p, q), those of a tile pair together -> a spanning forest of the pairs that sizes and wide sketches don't rule out."""
+
+    def links(rows: list[tuple], several: bool) -> pa.RecordBatch:
+        h, sides, n, w = zip(*rows)
+        u, v = compare_sets([np.frombuffer(x, np.uint64) for x in w], np.array(n), similarity, lambda i, j: True, np.array(sides) if several else None)
+        names = np.array(h, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last: tuple | None = None
+        for batch in batches:
+            for root, p, q, *row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)]):
+                if (root, p, q) != last:
+                    if len(held) > 1:
+                        yield links(held, last[1] != last[2])
+                    held, last = [], (root, p, q)
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield links(held, last[1] != last[2])
+
+    return run
+
+
+def finer_links(linked: DataFrame, similarity: float, tile_rows: int = THIN_ROWS) -> DataFrame:
+    """Members (root, __h, __n, __w) of loose components -> links (u, v) that connect all pairs of one component which wide sketches don't rule out.
+
+    SKETCH_BITS can't tell sets of 2,000 elements and more, which then are one loose component if they have passages in
+    common; wide sketches can. They take an eighth of a byte for each element, in tiles as elsewhere: a component costs its
+    members' sketches times its tiles, and its pairs of like size.
+    """
+    sizes = linked.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum(F.octet_length("__w")) / CONFIRM_BYTES)).cast("long").alias("g"))
+    large = materialize(sizes.filter("g > 1"), "simhash-wide")
+    dealt = linked.join(hint_small(large, large.count()), "root", "left").withColumn("g", F.coalesce("g", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("__h"), "g")).withColumn("o", F.explode(F.expr("sequence(0L, g - 1)")))
+    dealt = dealt.select("root", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "__h", F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "__n", "__w")
+    return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_compared(similarity), "u long, v long")
+
+
 def _sets(width: int):
     """Rows that end with a text -> the same with the number of its distinct shingles, and their sorted hashes, in its place."""
 
@@ -404,27 +460,29 @@ def _sets(width: int):
     return run
 
 
-def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: int, similarity: float, tile_rows: int = CONFIRM_ROWS) -> DataFrame:
-    """Of loose links (u, v) among groups (__h, __k, __least with __a and __b), those that hold for the texts of rows (__a, __b, __t).
+def confirm_links(links: DataFrame, groups: DataFrame, rows: DataFrame, width: int, similarity: float, tile_rows: int = CONFIRM_ROWS, thin_rows: int = THIN_ROWS) -> DataFrame:
+    """Of loose links (u, v) among groups (__h, __n, __w, __least with __a and __b), those that hold for the texts of rows (__a, __b, __t).
 
-    Only members of a loose component meet. Each brings its shingle set once to a task, in which pairs that sizes and sketches
-    don't rule out are taken nearest first, those not yet connected are compared by their sets, and so a component of copies is
+    Only members of a loose component meet, and of those only what wide sketches leave connected. Each brings its shingle set
+    once to a task, in which pairs that sizes and sketches don't rule out are taken nearest first, those not yet connected are compared by their sets, and so a component of copies is
     confirmed by as many comparisons as it has members. A component of over tile_rows members (or CONFIRM_BYTES) is
     dealt into tiles, each with the same few more members, so that what is alike is connected over them; then only
     members outside its largest confirmed part meet the rest, tile by tile. No pair of members that may be alike is left out.
     """
     loose = components(links).withColumnRenamed("node", "__h")
-    linked = materialize(groups.join(loose, "__h").select("root", "__h", "__k", "__least.__a", "__least.__b"), "simhash-linked")
+    linked = materialize(groups.join(loose, "__h").select("root", "__h", "__n", "__w", "__least.__a", "__least.__b"), "simhash-loose")
+    finer = components(finer_links(linked.select("root", "__h", "__n", "__w"), similarity, thin_rows)).withColumnRenamed("node", "__h")
+    linked = materialize(linked.drop("root", "__n").join(finer, "__h"), "simhash-linked")
     if linked.count() <= KEY_ROWS:  # texts that aren't wanted stay where they are
         rows = rows.join(F.broadcast(linked.select("__a", "__b")), ["__a", "__b"], "left_semi")
-    texts = linked.join(rows.dropDuplicates(["__a", "__b"]), ["__a", "__b"]).select("root", "__h", "__k", "__t")
-    members = materialize(texts.mapInArrow(_sets(width), "root long, __h long, __k binary, __n long, __s binary"), "simhash-members")
+    texts = linked.join(rows.dropDuplicates(["__a", "__b"]), ["__a", "__b"]).select("root", "__h", "__w", "__t")
+    members = materialize(texts.mapInArrow(_sets(width), "root long, __h long, __w binary, __n long, __s binary"), "simhash-members")
 
     def tiles(n: Column, size: Column) -> Column:
         return F.greatest(F.ceil(n / tile_rows), F.ceil(size * 8 / CONFIRM_BYTES)).cast("long")
 
     def meet(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("root", "p", "q", "__h", "side", "label", "__k", "__s")
+        dealt = dealt.select("root", "p", "q", "__h", "side", "label", "__w", "__s")
         return dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").mapInArrow(_confirm(similarity), "u long, v long")
 
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("__n").alias("size"))
@@ -485,7 +543,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return joined.select(F.col("__id").alias(key), F.lower(F.lpad(F.hex("__f0"), 16, "0")).alias("fingerprint"), F.col("__c").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, tile_rows: int = CONFIRM_ROWS, link_rows: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, tile_rows: int = CONFIRM_ROWS, link_rows: int = TILE, thin_rows: int = THIN_ROWS) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the smallest key stays, whole.
 
     Texts are linked if their sets of `width`-word shingles have the given similarity (Jaccard) or more, and groups are
@@ -499,15 +557,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     texts = docs.select(a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     source = docs.select(F.col(key).alias("__id"), a.alias("__a"), b.alias("__b"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
     kind = source.schema["__id"].dataType.simpleString()
-    described = source.mapInArrow(_described(width, similarity), f"__id {kind}, __a long, __b long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary")
+    described = source.mapInArrow(_described(width, similarity), f"__id {kind}, __a long, __b long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary, __w binary")
     marked = materialize(described, "simhash")
     first = F.struct(F.col("__id").isNull().alias("blank"), "__id", "__a", "__b")
 
     def links(groups: DataFrame) -> DataFrame:
         loose = link_sets(groups, similarity, link_rows)
-        return confirm_links(loose, groups, texts, width, similarity, tile_rows)
+        return confirm_links(loose, groups, texts, width, similarity, tile_rows, thin_rows)
 
-    _, named = _grouped(marked, ["__f0", "__f1"], first, links, carry=("__n", "__pc", "__p", "__k"))
+    _, named = _grouped(marked, ["__f0", "__f1"], first, links, carry=("__n", "__pc", "__p", "__k", "__w"))
     stay = materialize(named.select("__c.__a", "__c.__b"), "simhash-stay")
     rows = docs.select(a.alias("__a"), b.alias("__b"), whole_row(docs))
     # made distinct by the join's own keys, before the columns are taken apart: texts are shuffled once

@@ -363,7 +363,7 @@ def test_keep_one_is_exact_in_large_groups(spark, tile_rows):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows, link_rows=2 * tile_rows).collect())
+    kept = sorted(r.doc_id for r in simhash_dedup.keep_one(docs, tile_rows=tile_rows, link_rows=2 * tile_rows, thin_rows=2 * tile_rows).collect())
     assert len(set(root)) > 5 and kept == sorted(set(root))
 
 
@@ -379,6 +379,36 @@ def test_keep_one_finds_every_pair_at_the_limit(spark):
     assert kept == {i for i, _ in rows if i % 4 != 1}
 
 
+def test_keep_one_tells_long_texts_with_common_passages(spark):
+    """Sets too large for the narrow sketches, connected by passages they share: wide sketches part them, and no pair is lost."""
+    rng = np.random.default_rng(19)
+    passages = [[f"p{x}" for x in rng.integers(0, 10**6, 150)] for _ in range(3)]
+    texts = []
+    for k in range(24):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, int(rng.integers(2100, 2600)))]
+        texts.append(words + passages[k % 3])
+        if k % 4 == 0:  # an alike one, and one that is a little too far away
+            for edits in (45, 60):
+                copy = list(texts[-1])
+                for at in np.linspace(3, len(words) - 9, edits).astype(int):
+                    copy[at] = f"v{rng.integers(0, 10**9)}"
+                texts.append(copy)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    wanted = [i for i, a in enumerate(sets) if not any(len(a & b) / len(a | b) >= 0.8 for b in sets[:i])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    a, b = simhash_dedup.row_hashes("doc_id", "text")
+    made = docs.select(a.alias("__h"), "text").mapInArrow(simhash_dedup._described(5, 0.8), "__h long, __f0 long, __f1 long, __n long, __pc long, __p array<long>, __k binary, __w binary").cache()
+    from lodestone.llm.components import components
+
+    loose = components(simhash_dedup.link_sets(made, 0.8))
+    assert max(r["count"] for r in loose.groupBy("root").count().collect()) > 10
+    for rows in (16384, 8):
+        finer = components(simhash_dedup.finer_links(made.join(loose.withColumnRenamed("node", "__h"), "__h").select("root", "__h", "__n", "__w"), 0.8, rows))
+        assert max(r["count"] for r in finer.groupBy("root").count().collect()) <= 3
+        assert sorted(r.doc_id for r in simhash_dedup.keep_one(docs, thin_rows=rows).collect()) == wanted
+    assert 6 <= len(texts) - len(wanted) <= 12
+
+
 def test_set_links_leave_out_no_pair(spark):
     """Every pair that is alike is connected by loose links, dealt into tiles or not."""
     rng = np.random.default_rng(11)

@@ -92,6 +92,13 @@ def test_compare_tiles_finds_every_link():
     assert labels(zip(u.tolist(), v.tolist())) == labels(every)
 
 
+def test_wide_sketches_fold():
+    hashes = np.unique(np.random.default_rng(4).integers(0, 2**63, 5000).astype(np.uint64))
+    wide = np.frombuffer(simhash_dedup.sketch(hashes, simhash_dedup.wide_bits(len(hashes))), np.uint64)
+    assert len(wide) * 64 == 8192
+    assert (simhash_dedup.fold([wide], 16)[0] == np.frombuffer(simhash_dedup.sketch(hashes), np.uint64)).all()
+
+
 def test_blocks_cover_the_radius():
     masks = [m for (m,) in simhash_dedup.block_masks(4)]
     assert len(masks) == 5 and sum(masks) == 2**64 - 1
