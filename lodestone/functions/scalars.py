@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: Bytes read from a request at once; the reply's buffer has one more.
 REQUEST_BYTES = 4095
-PERF_PATTERN = r"(?m)^PERFDATA,(\d+),([^,\n]*),(\d+),(\d+),(\d+),(\d+)"
-TRAVERSAL_PATTERN = r"traversal time: (\d+) ns"
+# fixed values: the log lines' and the reply's formats
+PERF_PATTERN = r"(?m)^PERFDATA,(\d+),([^,]+),(\d+),(\d+),(\d+),([\d.]+)"
+TRAVERSAL_PATTERN = r"traversal time:\s*([\d.]+) ns"
+REPLY_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Length: "
+REPLY_REST = "\r\nConnection: close\r\n\r\n"
 
 
 def _c(c: Column | str) -> Column:
@@ -66,13 +69,17 @@ def perf_line(size: Column, program: Column, threads: Column, least: Column, sta
 
 
 def http_response(request: Column | str) -> Column:
-    """The reply to a request: status 200, its length, and the request itself, cut where the reply's buffer ends.
+    """The reply to a request, as binary: status 200, the bytes read, and these themselves up to the first zero byte, cut where the reply's buffer ends.
 
-    At most 4,095 characters are read, and header and body together are cut there too; the stated length isn't adjusted.
+    At most 4,095 bytes are read, and header and body together are cut there too, wherever in a character that is; the stated
+    length isn't adjusted.
     """
-    body = F.substring(F.coalesce(_c(request), F.lit("")), 1, REQUEST_BYTES)
-    header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Length: "), F.length(body).cast("string"), F.lit("\r\n\r\n"))
-    return F.substring(F.concat(header, body), 1, REQUEST_BYTES)
+    read = F.substring(F.coalesce(_c(request), F.lit("")).cast("binary"), 1, REQUEST_BYTES)
+    header = F.concat(F.lit(REPLY_HEAD), F.octet_length(read).cast("string"), F.lit(REPLY_REST)).cast("binary")
+    zero = F.instr(F.hex(read), "00")  # most requests have none; two hex digits at an odd place are a byte
+    at = F.array_position(F.transform(F.sequence(F.lit(1), F.octet_length(read)), lambda i: F.substring(read, i, F.lit(1))), F.lit(bytearray(1)))
+    text = F.when((zero > 0) & (at > 0), F.substring(read, F.lit(1), at.cast("int") - 1)).otherwise(read)
+    return F.substring(F.concat(header, text), 1, REQUEST_BYTES)
 
 
 def is_sorted_violation(pos: Column | str, value: Column | str) -> Column:

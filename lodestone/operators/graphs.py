@@ -52,9 +52,10 @@ def bfs_levels(edges: DataFrame, start: int) -> DataFrame:
     """(v, level) of every node reached from start over directed edges; start has level 0, whether it has edges or not.
 
     A level is a join, a distinct and an anti-join with what has been visited; each level is written on its own, and the
-    visited table is the union of those files.
+    visited table is the union of those files. The edges are written once, distinct, so that no level makes them again.
     """
     spark = edges.sparkSession
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     kind = edges.schema["src"].dataType
     frontier = spark.range(1).select(F.lit(start).cast(kind).alias("v"), F.lit(0).alias("level"))
     levels = [frontier]
@@ -107,7 +108,8 @@ def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = No
     edges: (graph_id, src, dst), nodes: (graph_id, v). Rank flows from a node to those that point to it, weighted by one
     over its in-degree; there is no damping. A node's sum is kept from one iteration to the next, so after the first
     iteration the step is (I + M), normalised to length 1; ranks sum to 1 in the end. A graph ends after `iterations`
-    steps, or once two steps are at most `threshold` apart; a graph without a rank to give (all zero) has NaN ranks.
+    steps, or once two steps are at most `threshold` apart; a graph without a rank to give (all zero) has NaN ranks. It is an
+    error if a graph hasn't ended after max_iterations steps.
     """
     if (threshold is None) == (iterations is None):
         raise ValueError("give a threshold or a number of iterations")
@@ -141,6 +143,9 @@ def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = No
         else:
             drop_files(now)
             now = after
+    else:
+        if threshold is not None:
+            raise RuntimeError(f"a graph's ranks are still over {threshold} apart after {max_iterations} steps")
     out = now.select("graph_id", "v", "e")
     for more in finished:
         out = out.unionByName(more.select("graph_id", "v", "e"))

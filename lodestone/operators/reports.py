@@ -33,8 +33,38 @@ def series(runs: DataFrame, program: str, size: str = "size", time: str = "time"
     return runs.filter(F.col("program_name") == program).select(F.col(size).alias("x"), (F.col(time) / 1e9).alias("y"))
 
 
-def sorted_keys(df: DataFrame, key: str) -> DataFrame:
-    return df.select(key).distinct().orderBy(key)
+def pivots_by_threads(runs: DataFrame, names: list[str], order: str, row: str = "size", threads: str = "num_threads", program: str = "program_name", time: str = "time") -> DataFrame:
+    """(threads, row, one text column for each name): the pivots of all thread counts in one aggregation; write_pivots() writes one for each count."""
+    keyed = runs.withColumn("__row", F.struct(threads, row))
+    return first_value_pivot(keyed, "__row", program, names, time, order).select("__row.*", *names)
+
+
+def total_by(df: DataFrame, *keys: str, name: str = "total") -> DataFrame:
+    """How many rows each file, graph or other key has in all."""
+    return df.groupBy(*keys).agg(F.count("*").alias(name))
+
+
+def union_all(*parts: DataFrame) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def union_distinct(*parts: DataFrame) -> DataFrame:
+    """Local results put together and made distinct."""
+    return union_all(*parts).distinct()
+
+
+def valid_sizes(df: DataFrame, size: str, most: int | None = None) -> DataFrame:
+    """Rows whose size is positive and at most `most`; the others are skipped, as runs of such sizes are."""
+    ok = F.col(size) > 0
+    return df.filter(ok if most is None else ok & (F.col(size) <= most))
+
+
+def small_output(df: DataFrame, n: int, most: int = 100) -> DataFrame | None:
+    """df if it has at most `most` rows by the given count, to be shown; None otherwise."""
+    return df if n <= most else None
 
 
 def run_matrix(*axes: DataFrame) -> DataFrame:
@@ -69,9 +99,9 @@ def latency_summary(samples: DataFrame, latency: str = "latency", by: list[str]
     )
 
 
-def task_completion(tasks: DataFrame, loop: str, expected: Column | int) -> DataFrame:
-    """(loop, n_tasks, complete): how many tasks each loop finished, and whether that is what was expected."""
-    return tasks.groupBy(loop).agg(F.count("*").alias("n_tasks")).withColumn("complete", F.col("n_tasks") == expected)
+def task_completion(tasks: DataFrame, loop: str, expected: str) -> DataFrame:
+    """(loop, n_tasks, complete): how many tasks each loop finished, and whether that is the number expected, the greatest in its rows."""
+    return tasks.groupBy(loop).agg(F.count("*").alias("n_tasks"), (F.count("*") == F.max(expected)).alias("complete"))
 
 
 def matching_lines(lines: DataFrame, pattern: str, text: str = "value") -> DataFrame:

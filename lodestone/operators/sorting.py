@@ -6,29 +6,33 @@ range-partitioned by the sort key, counted by partition, and numbered from their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bit_length, kth_bit
+from ..functions import bit_length, ceil_div, kth_bit
 from ..session import cut_lineage, drop_files
 
 
+#: Rows that a range of radix_pass() has, about.
+RANGE_ROWS = 1_000_000
+
+
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:
     """df with each row's place in the given order, from `start` on. Ties of the whole order are placed arbitrarily.
 
-    One shuffle by range, and one count for each of its partitions; a task numbers its own rows only.
+    One shuffle by range: each range is sorted, numbered on its own and written, then moved behind the ranges before it by
+    their counts, which are one small aggregation of the written numbers.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    # the written table fixes which rows a partition has before they are counted and numbered
-    ranged = df.repartitionByRange(*columns).withColumn("__part", F.spark_partition_id())
+    # the low 33 bits of monotonically_increasing_id() number a partition's rows in their order, the others are its number
+    ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__id", F.monotonically_increasing_id())
     fixed = cut_lineage(ranged)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = fixed.groupBy("__part").agg(F.count("*").alias("__n"))
-    # a row for each partition
+    part = F.shiftright("__id", 33)
+    counts = fixed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__part").orderBy(*columns)
-    numbered = fixed.join(F.broadcast(offsets), "__part").withColumn(name, F.row_number().over(within) + F.col("__before") - 1 + start)
-    return numbered.drop("__part", "__before")
+    place = (F.col("__id").bitwiseAND((1 << 33) - 1) + F.col("__before") + start).cast("long")
+    return fixed.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(name, place).drop("__id", "__part", "__before")
 
 
 def stable_sort(df: DataFrame, key: Column | str, pos: Column | str) -> DataFrame:
@@ -59,18 +63,33 @@ def bottom_up_sort(df: DataFrame, n: int, key: str = "v", pos: str = "pos") -> D
     return now
 
 
-def merge_tasks(n: int, run: int) -> int:
-    """How many two-way merges a pass with runs of `run` rows makes."""
-    return -(-n // (2 * run))
+def merge_tasks(spark: SparkSession, n: int) -> DataFrame:
+    """(run, merges): how many two-way merges each pass over n rows makes, from runs of one row on."""
+    passes = max(0, n - 1).bit_length()
+    run = F.expr("shiftleft(1L, cast(id as int))")
+    return spark.range(passes).select(run.alias("run"), ceil_div(F.lit(n), 2 * run).alias("merges"))
+
+
+def distinct_ranks(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
+    """The distinct keys with their places in order, from 1 on."""
+    return with_position(df.select(key).distinct(), [key], name, start=1)
 
 
-def radix_pass(df: DataFrame, bit: int, value: str = "v", pos: str = "pos", name: str = "new_pos", parts: int = 64) -> DataFrame:
+def running_offsets(df: DataFrame, group: str, order: str, name: str = "running") -> DataFrame:
+    """df with how many rows of the same group come before each."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
+    return df.withColumn(name, place.cast("long"))
+
+
+def radix_pass(df: DataFrame, bit: int, value: str = "v", pos: str = "pos", name: str = "new_pos", parts: int | None = None, n: int | None = None) -> DataFrame:
     """Stable partition by one bit: zeros keep their order in front, ones theirs behind.
 
-    Positions are cut into `parts` ranges; each has a histogram of the bit, whose exclusive sums over the ranges are the
+    Positions are cut into `parts` ranges, by default of RANGE_ROWS rows and 64 at least; each has a histogram of the bit, whose exclusive sums over the ranges are the
     offsets of the rows that a range numbers on its own.
     """
-    n = df.agg(F.count("*")).first()[0]
+    if n is None:
+        n = df.count()
+    parts = parts or radix_parts(n)
     size = max(1, -(-n // parts))
     rows = df.withColumn("__bit", kth_bit(value, bit)).withColumn("__part", F.floor(F.col(pos) / size).cast("int"))
     offsets = exclusive_offsets(rows.groupBy("__part", "__bit").agg(F.count("*").alias("__n")), "__part", "__bit", "__n")
@@ -80,6 +99,11 @@ def radix_pass(df: DataFrame, bit: int, value: str = "v", pos: str = "pos", name
     return joined.withColumn(name, (place + F.col("before") + F.col("__bit") * F.col("__zeros")).cast("long")).drop("__part", "__bit", "before", "__zeros")
 
 
+def radix_parts(n: int) -> int:
+    """How many ranges n rows are cut into: a task's share doesn't grow with them."""
+    return max(64, -(-n // RANGE_ROWS))
+
+
 def exclusive_offsets(histogram: DataFrame, part: str, group: str, count: str) -> DataFrame:
     """histogram with `before`: the counts of the same group in earlier parts."""
     earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,12 +112,12 @@ def exclusive_offsets(histogram: DataFrame, part: str, group: str, count: str) -
 
 def radix_sort(df: DataFrame, value: str = "v", pos: str = "pos") -> DataFrame:
     """Least bit first, a pass for each bit of the greatest value. Values must not be negative."""
-    least, bits = df.agg(F.min(value), F.max(bit_length(value))).first()
+    least, bits, n = df.agg(F.min(value), F.max(bit_length(value)), F.count("*")).first()
     if least is not None and least < 0:
         raise ValueError("radix_sort takes non-negative values only")
     now = df
     for bit in range(bits or 0):
-        step = cut_lineage(radix_pass(now, bit, value, pos).drop(pos).withColumnRenamed("new_pos", pos))
+        step = cut_lineage(radix_pass(now, bit, value, pos, n=n).drop(pos).withColumnRenamed("new_pos", pos))
         drop_files(now)
         now = step
     return now

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import graphs, matrices, partitioning, reports, sorting, tasks
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import generators
 from ..streaming import counters, requests
 
@@ -18,7 +19,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Settings that queries and SQL share.
-RUN, BIT, PARTS, RANK_STEPS, FACTOR_ORDER, GRAM_DIMS, PERF_BITS = 1024, 3, 7, 6, 4, 5, 18
+RUN, BIT, PARTS, RANK_STEPS, DIMS = 1024, 3, 7, 6, 64
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -81,12 +82,12 @@ def sorted_check(spark: SparkSession, d: str) -> DataFrame:
     return placed.agg(F.count_if(fn.is_sorted_violation("pos", "v")).alias("violations"))
 
 
-@query(f"SELECT k, CAST((o_orderkey >> k) & 1 AS INTEGER) AS bit, count(*) AS n FROM orders, (SELECT CAST(unnest(range(0, {PERF_BITS})) AS INTEGER) AS k) GROUP BY 1, 2")
+@query("SELECT k, CAST((o_orderkey >> k) & 1 AS INTEGER) AS bit, count(*) AS n FROM orders, (SELECT CAST(unnest(range(0, (SELECT greatest(1, length(bin(max(o_orderkey)))) FROM orders))) AS INTEGER) AS k) GROUP BY 1, 2")
 def bit_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """PERF_BITS places, as the SQL has them, and more where the greatest key has more: there the SQL leaves the highest out."""
+    """All places that the greatest key has."""
     o = table(spark, d, "orders")
     greatest = o.agg(F.max(fn.bit_length("o_orderkey"))).first()[0] or 0
-    return sorting.bit_histogram(o, "o_orderkey", max(PERF_BITS, greatest))
+    return sorting.bit_histogram(o, "o_orderkey", max(1, greatest))
 
 
 @query(
@@ -105,11 +106,10 @@ def bit_length(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy(fn.bit_length("p_partkey").alias("bits")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT r AS run, CAST(ceil((SELECT count(*) FROM orders) / (2 * r)) AS BIGINT) AS merges FROM (SELECT CAST(1 << unnest(range(0, 10)) AS BIGINT) AS r)")
+@query("SELECT r AS run, CAST(ceil(n / (2 * r)) AS BIGINT) AS merges FROM (SELECT CAST(1 AS BIGINT) << CAST(unnest(range(0, 62)) AS BIGINT) AS r), (SELECT count(*) AS n FROM orders) WHERE r < n")
 def merge_tasks(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "orders").agg(F.count("*").alias("n"))
-    runs = spark.range(10).select(F.expr("shiftleft(1L, cast(id as int))").alias("run"))
-    return runs.crossJoin(F.broadcast(n)).select("run", fn.ceil_div(F.col("n"), 2 * F.col("run")).alias("merges"))
+    """Of every pass that a bottom-up sort makes."""
+    return sorting.merge_tasks(spark, table(spark, d, "orders").count())
 
 
 # ---- partitioners ----
@@ -158,7 +158,8 @@ def adjacency(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
 def edges_distinct(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n_parts"))
+    pairs = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graphs.in_degree(pairs).select(F.col("dst").alias("l_suppkey"), F.col("n").alias("n_parts"))
 
 
 def three_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -229,6 +230,31 @@ def pagerank_threshold(spark: SparkSession, d: str) -> DataFrame:
     return graphs.rank(edges, nodes, threshold=1e-6).select("v", F.round("rank", 6).alias("rank"))
 
 
+#: Graphs of the many: as many nodes each as their number says.
+MANY, MANY_STEPS, MANY_THRESHOLD = (20, 31, 50), 40, 1e-2
+
+
+def _many_sql() -> str:
+    """Graph g of n nodes points from i to (i * i + j * i) mod n; a graph stays as it is once a step was at most the threshold."""
+    graphs_ = ", ".join(f"({g}, {n})" for g, n in enumerate(MANY))
+    parts = [
+        f"WITH g(graph_id, n) AS (SELECT CAST(a AS BIGINT), CAST(b AS BIGINT) FROM (VALUES {graphs_}) t(a, b)), x0 AS (SELECT graph_id, CAST(unnest(range(0, n)) AS BIGINT) AS v, CAST(1 AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS acc, FALSE AS ended FROM g)",
+        "d AS (SELECT DISTINCT graph_id, v AS src, (v * v + j * v) % n AS dst FROM x0 JOIN g USING (graph_id), (SELECT unnest(range(0, 3)) AS j)), w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY graph_id, dst) AS w FROM d)",
+    ]
+    for k in range(1, MANY_STEPS + 1):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT x.graph_id, x.v, x.e, x.ended, x.acc + coalesce(y.y, 0) AS s FROM x{k - 1} x LEFT JOIN (SELECT w.graph_id, src, sum(w * e) AS y FROM w JOIN x{k - 1} z ON dst = z.v AND w.graph_id = z.graph_id GROUP BY 1, 2) y ON y.src = x.v AND y.graph_id = x.graph_id)")
+        parts.append(f"t{k} AS MATERIALIZED (SELECT graph_id, v, e, ended, s / sqrt(sum(s * s) OVER (PARTITION BY graph_id)) AS u FROM s{k})")
+        parts.append(f"x{k} AS MATERIALIZED (SELECT graph_id, v, CASE WHEN ended THEN e ELSE u END AS e, CASE WHEN ended THEN e ELSE u END AS acc, ended OR sqrt(sum((u - e) * (u - e)) OVER (PARTITION BY graph_id)) <= {MANY_THRESHOLD} AS ended FROM t{k})")
+    return ",\n".join(parts) + f"\nSELECT graph_id, v, round(e / sum(e) OVER (PARTITION BY graph_id), 8) AS rank FROM x{MANY_STEPS}"
+
+
+@query(_many_sql())
+def pagerank_many(spark: SparkSession, d: str) -> DataFrame:
+    """Several graphs in one plan, each until its own steps are at most MANY_THRESHOLD apart; the SQL goes on for steps that none of them needs."""
+    edges, nodes = (reports.union_all(*[three.withColumn("graph_id", F.lit(g).cast("long")) for g, three in enumerate(side)]) for side in zip(*[generators.three_out_graph(spark, n) for n in MANY]))
+    return graphs.rank_graphs(edges, nodes, threshold=MANY_THRESHOLD).select("graph_id", "v", F.round("rank", 8).alias("rank"))
+
+
 # ---- vectors and matrices ----
 
 
@@ -255,45 +281,33 @@ def _gram_sql(dims: int) -> str:
     return f"x AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS b FROM embeddings, (SELECT CAST(unnest(range(0, {dims})) AS INTEGER) AS k)), a AS (SELECT p.k AS i, q.k AS j, sum(p.b * q.b) AS a FROM x p JOIN x q USING (vec_id) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_gram_sql(GRAM_DIMS)} SELECT i, j, round(a, 6) AS a FROM a")
+@query(f"WITH {_gram_sql(DIMS)} SELECT i, j, round(a, 6) AS a FROM a")
 def gram(spark: SparkSession, d: str) -> DataFrame:
-    return _gram(spark, d, GRAM_DIMS).select("i", "j", F.round("a", 6).alias("a"))
+    return _gram(spark, d, DIMS).select("i", "j", F.round("a", 6).alias("a"))
 
 
-@query(f"WITH {_gram_sql(GRAM_DIMS)} SELECT i, j, round(a, 6) AS a FROM a")
+@query(f"WITH {_gram_sql(DIMS)} SELECT i, j, round(a, 6) AS a FROM a")
 def gram_join(spark: SparkSession, d: str) -> DataFrame:
-    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode(F.slice("embedding", 1, GRAM_DIMS)).alias("i", "b"))
+    cells = table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "b"))
     return matrices.gram(cells.withColumn("b", F.col("b").cast("double"))).select("i", "j", F.round("a", 6).alias("a"))
 
 
-def _factor_sql(n: int) -> str:
-    """The factor's entries in closed form, one after the other."""
-    parts = [f"WITH {_gram_sql(n)}"]
-    names: list[str] = []
-    for j in range(n):
-        for i in range(j, n):
-            dot = "".join(f" - l{i}{k}.l * l{j}{k}.l" for k in range(j))
-            given = "".join(f", l{x}{k}" for k in range(j) for x in sorted({i, j})) + ("" if i == j else f", l{j}{j}")
-            value = f"sqrt(a{dot})" if i == j else f"(a{dot}) / l{j}{j}.l"
-            parts.append(f"l{i}{j} AS (SELECT {value} AS l FROM a{given} WHERE i = {i} AND j = {j})")
-            names.append(f"SELECT {i} AS i, {j} AS j, round(l, 6) AS l FROM l{i}{j}")
-    return ",\n".join(parts) + "\n" + " UNION ALL ".join(names)
-
-
-@query(_factor_sql(FACTOR_ORDER))
+@query()
 def cholesky(spark: SparkSession, d: str) -> DataFrame:
-    return matrices.factor_relational(_gram(spark, d, FACTOR_ORDER), FACTOR_ORDER).select("i", "j", F.round("l", 6).alias("l"))
+    """The factor of all components' Gram matrix, 16 columns at a time; held against numpy in place of SQL."""
+    return matrices.factor_relational(_gram(spark, d, DIMS), DIMS, block=16).select("i", "j", F.round("l", 6).alias("l"))
 
 
-@query(_factor_sql(FACTOR_ORDER))
+@query()
 def cholesky_dense(spark: SparkSession, d: str) -> DataFrame:
-    one = _gram(spark, d, FACTOR_ORDER).withColumn("matrix_id", F.lit(0).cast("long"))
+    """The same by one task."""
+    one = _gram(spark, d, DIMS).withColumn("matrix_id", F.lit(0).cast("long"))
     return matrices.factor_many(one).select("i", "j", F.round("l", 6).alias("l"))
 
 
-@query(f"WITH {_gram_sql(8)} SELECT i, j, printf('%8.4f', a) AS cell FROM a WHERE i < 5 AND j < 5")
+@query(f"WITH {_gram_sql(DIMS)} SELECT i, j, printf('%8.4f', a) AS cell FROM a WHERE i < 5 AND j < 5")
 def matrix_corner(spark: SparkSession, d: str) -> DataFrame:
-    return matrices.top_left(_gram(spark, d, 8), "a")
+    return matrices.top_left(_gram(spark, d, DIMS), "a")
 
 
 # ---- reports ----
@@ -322,6 +336,23 @@ def pivot_first(spark: SparkSession, d: str) -> DataFrame:
     return reports.first_value_pivot(table(spark, d, "events"), "user_id", "event_type", list(EVENT_TYPES), "value", "event_id")
 
 
+@query(
+    "SELECT num_threads, size, "
+    + ", ".join(f"coalesce(printf('%.6f', arg_min(value, event_id) FILTER (event_type = '{t}') / 1e9), '') AS {t}" for t in EVENT_TYPES)
+    + f" FROM (SELECT *, CAST(event_id % 4 AS INTEGER) AS num_threads, user_id AS size FROM events WHERE event_type IN {EVENT_TYPES}) GROUP BY 1, 2"
+)
+def pivots_by_threads(spark: SparkSession, d: str) -> DataFrame:
+    """A pivot for each thread count, written as one tab-separated file each and read again."""
+    from ..sources import result_files as files
+
+    runs = table(spark, d, "events").select("event_id", (F.col("event_id") % 4).cast("int").alias("num_threads"), F.col("user_id").alias("size"), F.col("event_type").alias("program_name"), F.col("value").alias("time"))
+    pivots = reports.pivots_by_threads(runs, list(EVENT_TYPES), "event_id")
+    folder = files.new_folder(spark)
+    files.write_pivots(pivots, folder, "num_threads", "size")
+    kept = files.read_rows(spark, folder, pivots.schema)
+    return kept.select("num_threads", "size", *[F.coalesce(t, F.lit("")).alias(t) for t in EVENT_TYPES])
+
+
 @query("SELECT l_orderkey AS x, round(l_extendedprice / 1e9, 12) AS y FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'")
 def thread_split(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("num_threads"), F.col("l_returnflag").alias("program_name"), F.col("l_orderkey").alias("size"), F.col("l_extendedprice").alias("time"))
@@ -330,8 +361,7 @@ def thread_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_brand, row_number() OVER (ORDER BY p_brand) AS rank FROM (SELECT DISTINCT p_brand FROM part)")
 def distinct_sorted(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "part").select("p_brand").distinct()
-    return sorting.with_position(keys, ["p_brand"], "rank", start=1)
+    return sorting.distinct_ranks(table(spark, d, "part"), "p_brand")
 
 
 @query("SELECT r_name, c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
@@ -339,14 +369,22 @@ def run_matrix(spark: SparkSession, d: str) -> DataFrame:
     return reports.run_matrix(table(spark, d, "region").select("r_name"), table(spark, d, "customer").select("c_mktsegment").distinct())
 
 
-@query("SELECT event_id, user_id AS array_size, event_type AS program_name, CAST(event_id % 8 AS INTEGER) AS num_threads, CAST(floor(value * 1000) AS DOUBLE) AS time FROM events")
+@query("SELECT event_id, user_id AS array_size, event_type AS program_name, CAST(event_id % 8 AS INTEGER) AS num_threads, CAST(printf('%.6f', value * 1000) AS DOUBLE) AS time FROM events")
 def log_scan(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    line = fn.perf_line(F.col("user_id"), F.col("event_type"), F.col("event_id") % 8, F.lit(1), F.lit(1048576), F.floor(F.col("value") * 1000))
+    line = fn.perf_line(F.col("user_id"), F.col("event_type"), F.col("event_id") % 8, F.lit(1), F.lit(1048576), F.format_string("%.6f", F.col("value") * 1000))
     logs = e.select("event_id", F.concat(F.lit("sorting ...\n"), line, F.lit("\nPERFDATA,1,later,1,1,1,1\n")).alias("value"))
     return reports.scan_perf_log(logs).select("event_id", "array_size", "program_name", "num_threads", "time")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(printf('%.6f', value * 1000) AS DOUBLE) END AS time FROM events")
+def traversal_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as a traversal prints its time; every fifth output has none."""
+    line = F.format_string("Serial BFS traversal time: %.6f ns\n", F.col("value") * 1000)
+    logs = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.concat(F.lit("n = 5\n"), line)).otherwise("traversal time: none").alias("value"))
+    return reports.scan_traversal_log(logs).select("event_id", "time")
+
+
 @query(
     r"""SELECT o_orderkey, coalesce(TRY_CAST(nullif(regexp_extract(t, '^\s*([+-]?\d+)', 1), '') AS INTEGER), 0) AS n
 FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '  -' || o_orderkey || 'x' || o_orderstatus END AS t FROM orders)"""
@@ -375,13 +413,39 @@ def lifecycle(spark: SparkSession, d: str) -> DataFrame:
     return means.select("n_threads", *[F.round(c, 4).alias(c) for c in means.columns[1:]])
 
 
-@query(
-    r"""SELECT page_id, length(b) AS n_body, substr('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/plain' || chr(13) || chr(10) || 'Content-Length: ' || length(b) || chr(13) || chr(10) || chr(13) || chr(10) || b, 1, 4095) AS response
-FROM (SELECT page_id, substr(html, 1, 4095) AS b FROM pages)"""
-)
+def _reply_sql(request: str, source: str) -> str:
+    """What the server's snprintf() writes into 4,096 bytes, as hex digits: a byte is two of them."""
+    head = "hex(encode('HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/plain' || chr(13) || chr(10) || 'Content-Length: ' || n_body || chr(13) || chr(10) || 'Connection: close' || chr(13) || chr(10) || chr(13) || chr(10)))"
+    return f"SELECT page_id, n_body, upper(substr({head} || h, 1, 8190)) AS response FROM (SELECT page_id, h, CAST(length(h) // 2 AS BIGINT) AS n_body FROM (SELECT page_id, substr(hex(encode({request})), 1, 8190) AS h FROM {source}))"
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as requests; every third one gets letters of several bytes in front."""
+    html = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("é漢"), F.col("html"))).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", html.alias("value"))
+
+
+_REQUEST = "CASE WHEN page_id % 3 = 0 THEN 'é漢' || html ELSE html END"
+
+
+def _replies(answered: DataFrame) -> DataFrame:
+    read = F.least(F.octet_length("value"), F.lit(fn.scalars.REQUEST_BYTES)).cast("long")
+    return answered.select("page_id", read.alias("n_body"), F.hex("response").alias("response"))
+
+
+@query(_reply_sql(_REQUEST, "pages"))
 def request_echo(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", F.col("html").alias("value"))
-    return requests.respond(pages).select("page_id", F.length(F.substring("value", 1, fn.scalars.REQUEST_BYTES)).cast("long").alias("n_body"), "response")
+    return _replies(requests.respond(_requests(spark, d)))
+
+
+@query(_reply_sql(_REQUEST, "pages"))
+def request_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as they arrive in a folder, five files at once at most, answered by a stream."""
+    folder = f"{shared_folder(spark)}/requests-{uuid.uuid4().hex}"
+    arriving = _requests(spark, d)
+    arriving.repartition(12).write.parquet(f"{folder}/in")
+    requests.serve_files(spark, f"{folder}/in", arriving.schema, f"{folder}/out")
+    return _replies(spark.read.parquet(f"{folder}/out"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -391,8 +455,7 @@ def running_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, count(*) AS n_tasks, count(*) = max(l_linenumber) AS complete FROM lineitem GROUP BY 1")
 def task_completion(spark: SparkSession, d: str) -> DataFrame:
-    tasks = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_tasks"), F.max("l_linenumber").alias("expected"))
-    return tasks.select("l_orderkey", "n_tasks", (F.col("n_tasks") == F.col("expected")).alias("complete"))
+    return reports.task_completion(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT count(*) FILTER (regexp_matches(o_orderpriority, '^[12]')) AS n FROM orders")
@@ -456,7 +519,7 @@ def result_files(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n_regionkey AS graph_id, count(*) AS total FROM nation GROUP BY 1")
 def totals_by_file(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("graph_id")).agg(F.count("*").alias("total"))
+    return reports.total_by(table(spark, d, "nation").withColumnRenamed("n_regionkey", "graph_id"), "graph_id")
 
 
 @query(f"SELECT c_custkey, CAST(t - 1 AS INTEGER) AS part FROM (SELECT c_custkey, ntile({PARTS}) OVER (ORDER BY c_custkey) AS t FROM customer)")
@@ -468,8 +531,7 @@ def balanced_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS running FROM lineitem")
 def running_offsets(spark: SparkSession, d: str) -> DataFrame:
     """A running count inside each class."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) - 1).cast("long").alias("running"))
+    return sorting.running_offsets(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber")
 
 
 @query("SELECT count(*) AS n_tasks, CAST(sum(n + 1) AS DOUBLE) AS total FROM (SELECT unnest(range(0, 1000)) AS n)")
@@ -489,5 +551,5 @@ def shuffled_permutation(spark: SparkSession, d: str) -> DataFrame:
 def union_of_parts(spark: SparkSession, d: str) -> DataFrame:
     """Local results concatenated, then made distinct."""
     p = table(spark, d, "part").select("p_size", "p_brand")
-    merged = p.filter("p_size % 2 = 0").unionByName(p.filter("p_size % 2 = 1")).unionByName(p.filter("p_size = 7")).distinct()
+    merged = reports.union_distinct(p.filter("p_size % 2 = 0"), p.filter("p_size % 2 = 1"), p.filter("p_size = 7"))
     return merged.groupBy("p_size").agg(F.count("*").alias("n_brands"), F.min("p_brand").alias("first_brand"))

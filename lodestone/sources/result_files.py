@@ -40,6 +40,11 @@ def write_pivot(pivot: DataFrame, folder: str, order: str) -> None:
     pivot.orderBy(order).coalesce(1).write.mode("overwrite").csv(folder, sep="\t", header=True, emptyValue="")
 
 
+def write_pivots(pivots: DataFrame, folder: str, by: str, order: str) -> None:
+    """A pivot for each value of `by`, one tab-separated file under by=<value>/, in the order of its key."""
+    pivots.repartition(by).sortWithinPartitions(by, order).write.mode("overwrite").partitionBy(by).csv(folder, sep="\t", header=True, emptyValue="")
+
+
 def write_texts(df: DataFrame, folder: str, by: str, text: str = "value") -> None:
     """A folder by=<value>/ for each value, with a line for each row."""
     df.select(by, text).write.partitionBy(by).mode("append").text(folder)

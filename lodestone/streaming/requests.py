@@ -18,6 +18,16 @@ def listen_files(spark: SparkSession, folder: str, schema, backlog: int = 5) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", backlog).parquet(folder)
 
 
+def serve_files(spark: SparkSession, folder: str, schema, out: str, backlog: int = 5, value: str = "value") -> None:
+    """Answer what has arrived in a folder, batch by batch, and append the replies to the folder out; ends when all is answered.
+
+    A batch is answered once even if the query is stopped and started again: what it has read is kept beside out.
+    """
+    replies = respond(listen_files(spark, folder, schema, backlog), value)
+    running = replies.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out.rstrip('/')}-state").trigger(availableNow=True).start()
+    running.awaitTermination()
+
+
 def respond(requests: DataFrame, value: str = "value") -> DataFrame:
     """Batch or stream: adds response. Requests that couldn't be read (null) are dropped and not answered."""
     return requests.filter(F.col(value).isNotNull()).withColumn("response", http_response(value))

@@ -37,6 +37,13 @@ def test_with_position_is_global(spark):
     assert [r.k for r in rows] == sorted(r.k for r in rows)
 
 
+def test_ranges_grow_with_the_rows(spark):
+    assert [sorting.radix_parts(n) for n in (0, 10, 10**8, 10**10)] == [64, 64, 100, 10_000]
+    rows = sorting.radix_pass(array(spark, [1, 0, 3, 2, 5]), 0, parts=2).orderBy("pos").collect()
+    assert [r.new_pos for r in rows] == [2, 0, 3, 1, 4]
+    assert [tuple(r) for r in sorting.merge_tasks(spark, 5).orderBy("run").collect()] == [(1, 3), (2, 2), (4, 1)]
+
+
 def test_radix_sort(spark):
     data = [6, 0, 5, 3, 2, 4, 1]
     assert values(sorting.radix_sort(array(spark, data))) == sorted(data)
@@ -68,11 +75,51 @@ def test_atoi(spark):
 
 
 def test_response_is_cut(spark):
-    rows = spark.createDataFrame([("GET /",), ("x" * 5000,), (None,)], "value string")
-    out = [r.response for r in requests.respond(rows).collect()]
-    assert len(out) == 2
-    assert out[0].endswith("Content-Length: 5\r\n\r\nGET /")
-    assert len(out[1]) == 4095 and "Content-Length: 4095" in out[1]
+    texts = ["GET /", "x" * 5000, None, "é" * 3000, "a\x00b", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    out = [bytes(r.response) for r in requests.respond(rows).collect()]
+    wanted = []
+    for t in texts:
+        if t is not None:
+            read = t.encode()[:4095]
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Length: {len(read)}\r\nConnection: close\r\n\r\n".encode()
+            wanted.append((head + read.split(b"\0")[0])[:4095])
+    assert out == wanted and len(out[1]) == len(out[2]) == 4095
+
+
+def test_requests_arrive_in_a_folder(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"GET /{i}" if i % 4 else None) for i in range(24)], "id long, value string")
+    frame.repartition(12).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # what has been answered isn't answered again
+        requests.serve_files(spark, f"{tmp_path}/in", frame.schema, f"{tmp_path}/out", backlog=5)
+        assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [i for i in range(24) if i % 4]
+
+
+def test_requests_come_from_a_connection(spark, tmp_path):
+    """Lines of a socket are answered as they come; the source ends with the connection."""
+    import socket
+    import threading
+    import time
+
+    server = socket.create_server(("localhost", 0))
+
+    def send():
+        peer, _ = server.accept()
+        peer.sendall(b"GET /a\nGET /b\n")
+        time.sleep(8)
+        peer.close()
+
+    sender = threading.Thread(target=send, daemon=True)
+    sender.start()
+    stream = requests.respond(requests.listen(spark, "localhost", server.getsockname()[1]))
+    running = stream.writeStream.format("memory").queryName("replies").option("checkpointLocation", f"{tmp_path}/state").start()
+    for _ in range(60):
+        if spark.table("replies").count() == 2:
+            break
+        time.sleep(0.5)
+    running.stop()
+    server.close()
+    assert sorted(r.value for r in spark.table("replies").collect()) == ["GET /a", "GET /b"]
 
 
 def bfs_model(edges, start):
@@ -122,6 +169,12 @@ def test_rank(spark, edges, n):
     assert np.allclose(got, rank_model(edges, n, threshold=1e-3))
 
 
+def test_ranks_that_do_not_settle_are_an_error(spark):
+    edges, nodes = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "src long, dst long"), spark.range(3).withColumnRenamed("id", "v")
+    with pytest.raises(RuntimeError):
+        graphs.rank(edges, nodes, threshold=1e-12, max_iterations=2)
+
+
 def test_graphs_end_on_their_own_and_zero_is_nan(spark):
     star = [(0, 1), (0, 2), (1, 0), (2, 0)]
     edges = spark.createDataFrame([(0, a, b) for a, b in star], "graph_id long, src long, dst long")
@@ -132,13 +185,42 @@ def test_graphs_end_on_their_own_and_zero_is_nan(spark):
     assert all(math.isnan(r["rank"]) for r in rows if r.graph_id == 1) and len(rows) == 5
 
 
+def gram_model(spark, folder):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], np.float64)
+    return x.T @ x
+
+
+def test_queries_factor_all_components(spark, tmp_path):
+    from lodestone.plans import catalogue
+
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(v)) for v in draw.normal(size=64)]) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    wanted = np.linalg.cholesky(gram_model(spark, tmp_path))
+    for name in ("cholesky", "cholesky_dense"):
+        got = {(r.i, r.j): r.l for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert len(got) == 64 * 65 // 2 and all(abs(l - wanted[k]) < 1e-5 for k, l in got.items())
+
+
+def test_gram_of_short_and_missing_vectors(spark):
+    frame = spark.createDataFrame([([1.0, 2.0],), ([3.0],), (None,), ([None, 1.0],)], "v array<double>")
+    got = {(r.i, r.j): r.a for r in matrices.gram_of_vectors(frame, "v", 2).collect()}
+    assert got == {(0, 0): 10.0, (0, 1): 2.0, (1, 0): 2.0, (1, 1): 5.0}
+
+
+def test_random_matrices_and_vectors(spark):
+    cells = generators.random_factor(spark, 6)
+    assert cells.count() == 36 and {r.b for r in cells.collect()} <= {float(x) for x in range(1, 11)}
+    assert [tuple(r) for r in generators.constant_vector(spark, 3, 1).orderBy("v").collect()] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 6])
 def test_cholesky(spark, n):
     a = matrices.gram(generators.arithmetic_factor(spark, n)).withColumn("a", F.col("a") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).cache()
     dense = np.zeros((n, n))
     for r in a.collect():
         dense[r.i, r.j] = r.a
-    for lower in (matrices.factor_relational(a, n), matrices.factor_many(a.withColumn("matrix_id", F.lit(1).cast("long"))).drop("matrix_id")):
+    for lower in (matrices.factor_relational(a, n), matrices.factor_relational(a, n, block=1), matrices.factor_relational(a, n, block=4), matrices.factor_many(a.withColumn("matrix_id", F.lit(1).cast("long"))).drop("matrix_id")):
         got = np.zeros((n, n))
         for r in matrices.densify(lower, n).collect():
             got[r.i, r.j] = r.l
@@ -147,8 +229,11 @@ def test_cholesky(spark, n):
 
 def test_cholesky_of_indefinite_is_nan(spark):
     a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.0), (1, 1, 1.0)], "i int, j int, a double")
-    rows = {(r.i, r.j): r.l for r in matrices.factor_relational(a, 2).collect()}
-    assert rows[0, 0] == 1 and rows[1, 0] == 2 and math.isnan(rows[1, 1])
+    for block in (1, 2):
+        rows = {(r.i, r.j): r.l for r in matrices.factor_relational(a, 2, block).collect()}
+        assert rows[0, 0] == 1 and rows[1, 0] == 2 and math.isnan(rows[1, 1])
+    dense = {(r.i, r.j): r.l for r in matrices.factor_many(a.withColumn("matrix_id", F.lit(7).cast("long"))).collect()}
+    assert dense[0, 0] == 1 and dense[1, 0] == 2 and math.isnan(dense[1, 1])
 
 
 def test_reports(spark):
@@ -162,12 +247,19 @@ def test_reports(spark):
 
 
 def test_logs(spark):
-    logs = spark.createDataFrame([("x\nPERFDATA,10,serial,1,2,3,400\nPERFDATA,9,b,1,1,1,1",), ("nothing",)], "value string")
-    first, second = reports.scan_perf_log(logs).collect()
-    assert (first.array_size, first.program_name, first.time) == (10, "serial", 400.0)
-    assert second.array_size is None and second.time is None
-    times = reports.scan_traversal_log(spark.createDataFrame([("serial traversal time: 12 ns",), ("",)], "value string")).collect()
-    assert [r.time for r in times] == [12.0, None]
+    logs = spark.createDataFrame([("x\nPERFDATA,10,serial,1,2,3,400.75\nPERFDATA,9,b,1,1,1,1",), ("nothing",), ("PERFDATA,10,,1,2,3,4",)], "value string")
+    first, *others = reports.scan_perf_log(logs).collect()
+    assert (first.array_size, first.program_name, first.time) == (10, "serial", 400.75)
+    assert all(r.array_size is None and r.time is None for r in others)
+    lines = ["serial traversal time: 12 ns", "", "BFS traversal time:  123456789.250000 ns\n", "traversal time: x ns"]
+    times = reports.scan_traversal_log(spark.createDataFrame([(t,) for t in lines], "value string")).collect()
+    assert [r.time for r in times] == [12.0, None, 123456789.25, None]
+
+
+def test_sizes_and_small_outputs(spark):
+    sizes = spark.createDataFrame([(-1,), (0,), (5,), (10**8 + 1,), (None,)], "n long")
+    assert [r.n for r in reports.valid_sizes(sizes, "n", 10**8).collect()] == [5] and reports.valid_sizes(sizes, "n").count() == 2
+    assert reports.small_output(sizes, 5) is sizes and reports.small_output(sizes, 101) is None
 
 
 def test_graph_files(spark, tmp_path):
