@@ -46,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: loops stay of one step's plan, and a lost executor loses nothing."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    _written.append((df.sparkSession, path))
+    remember_folder(df.sparkSession, path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
@@ -60,6 +60,11 @@ def drop_files(df: DataFrame) -> None:
         delete_folder(df.sparkSession, path)
 
 
+def remember_folder(spark: SparkSession, path: str) -> None:
+    """A folder to be deleted when the driver ends, if nothing has done it before."""
+    _written.append((spark, path))
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
