@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import drop_files, remember_folder, shared_folder, table  # noqa: F401
+
 #: Bytes 0x20 and 0x09-0x0D: what separates words in every operator here.
 WORD_GAPS = " \t\n\x0b\f\r"
 GAP_PATTERN = "[\\x20\\x09-\\x0D]+"
@@ -19,25 +19,6 @@ BROADCAST_ROWS = 50_000
 #: Keys of one or two longs are broadcast up to this many (32 MB); above, the planner shuffles.
 KEY_ROWS = 2_000_000
 
-_own_folder: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables, read through Spark so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local tests)."""
-    global _own_folder
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return _own_folder
-
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back.
@@ -50,7 +31,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    _written.append((spark, path))
+    remember_folder(spark, path)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
@@ -59,26 +40,8 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 def discard(df: DataFrame | None) -> None:
     """Delete the files behind a materialized DataFrame that no later step reads."""
-    path = getattr(df, "_lodestone_path", None)
-    if path is not None:
-        _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    _written[:] = [x for x in _written if x[1] != path]
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in list(_written):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has ended; its folder goes with the cluster's
-            return
+    if df is not None:
+        drop_files(df)
 
 
 def hint_small(df: DataFrame, rows: int) -> DataFrame:
@@ -106,7 +69,3 @@ def word_array(text: Column) -> Column:
     """The words of a text, runs of anything but 0x20 and 0x09-0x0D; null and blank texts have none."""
     trimmed = F.call_function("btrim", F.coalesce(text, F.lit("")), F.lit(WORD_GAPS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP_PATTERN))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

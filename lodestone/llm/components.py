@@ -32,7 +32,11 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (u long, v long) -> (node, root): every linked node with the least node it can reach, itself included."""
+    """links (u long, v long) -> (node, root): every linked node with the least node it can reach, itself included.
+
+    Repeated links, links of a node to itself and links with a null end count for nothing; without links there are no rows. A
+    root with very many nodes is one key of a join; the planner's skew join splits it.
+    """
     now = materialize(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
     state = _state(now)
     while state[0]:

@@ -425,7 +425,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", m
 
 
 def decode_documents(coded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """(key, text) of rows with piece ids; null and empty ids give the empty text."""
+    """(key, text) of rows with piece ids; null and empty ids give the empty text. Repeated rows return once each, an empty table gives no rows, other columns are ignored."""
     sent, name = _send(coded.sparkSession, model)
     source = coded.select(F.col(key).alias("__id"), F.col(ids).alias("__i"))
     kind = source.schema["__id"].dataType.simpleString()

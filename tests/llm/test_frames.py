@@ -84,6 +84,21 @@ def test_suffix_dedup(docs, empty):
     assert {r.doc_id for r in left.collect()} >= {4, 5, 6, None} and suffix_dedup.drop_repeats(empty).count() == 0
 
 
+def test_larger_sides_are_shuffled(spark, docs, monkeypatch):
+    """The ways above the bounds of what is broadcast give the same rows."""
+    from lodestone.llm import _shared
+
+    def rows():
+        frames = suffix_dedup.find_repeats(docs), suffix_dedup.drop_repeats(docs), simhash_dedup.near_duplicates(docs), simhash_dedup.keep_one(docs), quality_rules.judge_documents(docs), sharding.shard_documents(docs, 2000)
+        return [sorted(str(tuple(x for k, x in r.asDict().items() if k not in ("shard", "shard_bytes", "depth"))) for r in f.collect()) for f in frames]
+
+    small = rows()
+    for module in (suffix_dedup, simhash_dedup, sharding):
+        monkeypatch.setattr(module, "KEY_ROWS", -1)
+    monkeypatch.setattr(_shared, "BROADCAST_ROWS", -1)
+    assert rows() == small
+
+
 def test_suffix_dedup_tells_segments_by_their_bytes(spark):
     """One passage in many surroundings, some texts that are the same or nearly so, and many rows of one key and text."""
     rng = np.random.default_rng(17)

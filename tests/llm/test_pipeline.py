@@ -35,6 +35,18 @@ def stages(spark):
     return out
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3 + [(1, "", None, "", 0), (2, None, "en", "a", None)]])
+def test_empty_tables_and_nulls(spark, tmp_path, rows):
+    """No row is left of either, and nothing fails on the way; a null-ridden row beside good ones changes nothing."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some text of an item"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:  # later stages by themselves, where such rows haven't gone before
+        assert stage(spark, docs, str(tmp_path)).count() <= len(rows)
+
+
 def test_quality(stages):
     before, after = stages["quality rules"]
     failed, hosts = {}, {}
