@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next
 one. All but the last return the columns of documents; the last returns the texts as piece ids.
+
+Null and empty texts have no words and go in the first stage, and so do rows of hosts that mostly fail; of repeated rows one
+is left by the second. An empty table gives no rows at any stage. Columns with names of any kind are carried along.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, with at most 5 % of it edited, go."""
+    """Documents that hold a benchmark item, with at most 5 % of it edited, go; those without a text stay, and all do if there are no items."""
     return decontamination.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, n_chars and round_trip of every document."""
+    """doc_id, n_tokens, ids, n_chars and round_trip of every document; no ids for null and empty texts."""
     return piece_coding.encode_documents(docs)
 
 
