@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 CHUNK_BYTES = 16 << 20
-RANGE_BYTES, MIN_RANGES = 32 << 20, 16
+RANGE_BYTES, MIN_RANGES = 16 << 20, 8
 FOLDS, HELD = 7, 2
 PAIR_WEIGHT = 0.4
 BITS_PER_ENTRY = 12

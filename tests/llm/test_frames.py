@@ -470,7 +470,7 @@ def test_score_counts_every_pair(spark):
         return out
 
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (lm_scoring.RANGE_BYTES, 500):  # 16 slices, and some 100
+    for size in (lm_scoring.RANGE_BYTES, 500):  # 8 slices, and some 100
         got = {r.doc_id: r.score for r in lm_scoring.score_documents(frame, range_bytes=size).collect()}
         off = [abs(got[i] / score(x) - 1) for (i, _), x in zip(rows, tokens)]
         trained = [o for o, h in zip(off, held) if not h]
