@@ -540,6 +540,13 @@ def task_pool(spark: SparkSession, d: str) -> DataFrame:
     return tasks.completed(tasks.run_tasks(spark, 1000, lambda i: i + 1))
 
 
+@query(f"SELECT CAST(w AS INTEGER) AS worker, CAST((w + 1) * 1000 // {PARTS} - w * 1000 // {PARTS} AS BIGINT) AS n_tasks, TRUE AS in_order FROM (SELECT unnest(range(0, {PARTS})) AS w)")
+def task_log(spark: SparkSession, d: str) -> DataFrame:
+    """What each worker's log says of a thousand tasks: how many it ran, and that each ended after it had started."""
+    log = tasks.logged_tasks(spark, 1000, lambda i: i + 1, PARTS)
+    return log.groupBy("worker").agg(F.count("*").alias("n_tasks"), F.bool_and(F.col("ended_ns") >= F.col("started_ns")).alias("in_order"))
+
+
 @query("SELECT count(*) AS n, sum(v) AS total, count(DISTINCT v) AS n_distinct FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS v)")
 def shuffled_permutation(spark: SparkSession, d: str) -> DataFrame:
     """A seeded shuffle keeps every number once."""

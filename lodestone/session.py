@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """What a run is told by name: the session's setting, else the driver's environment variable, else the default."""
+    return spark.conf.get(name, os.environ.get(name, default))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own where it is unset and the master is local, as in tests."""
     global _own_folder

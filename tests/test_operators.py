@@ -312,6 +312,23 @@ def test_tasks(spark):
     assert tuple(tasks.completed(tasks.run_tasks(spark, 0, lambda i: 1)).first()) == (0, None)
 
 
+def test_task_log(spark, tmp_path):
+    from lodestone.operators import tasks
+
+    log = tasks.logged_tasks(spark, 10, lambda i: 2 * i, 3).withColumn("line", F.format_string("worker %d task %d", "worker", "task_id"))
+    rows = log.collect()
+    assert sorted(r.task_id for r in rows) == list(range(10)) and all(r.ended_ns >= r.started_ns and r.result == 2 * r.task_id for r in rows)
+    result_files.write_texts(log, f"file://{tmp_path}/log", "worker", "line")
+    assert spark.read.text(f"file://{tmp_path}/log").count() == 10
+
+
+def test_settings(spark, monkeypatch):
+    from lodestone.session import setting
+
+    monkeypatch.setenv("WAIT_POLICY", "active")
+    assert setting(spark, "WAIT_POLICY") == "active" and setting(spark, "none.such", "x") == "x" and setting(spark, "spark.sql.session.timeZone") == "UTC"
+
+
 def test_clocks(spark):
     row = spark.createDataFrame([(1, 999_999_999, 3, 1)], "a long, b long, c long, d long").select(fn.elapsed_ns("a", "b", "c", "d").alias("ns")).first()
     assert row.ns == 1_000_000_002
