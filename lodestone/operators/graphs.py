@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..session import cut_lineage, drop_files
 
 #: A frontier or vector of at most this many rows is broadcast into the join with the edges; a larger one is shuffled.
 SMALL = 200_000
+#: Edges and nodes of a graph that one task ranks by itself (some 100 MB); larger graphs are ranked by joins.
+GRAPH_ROWS = 1_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -102,28 +106,73 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
 
 
-def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = None, iterations: int | None = None, max_iterations: int = 10_000) -> DataFrame:
+_UNSETTLED = "a graph's ranks are still over {} apart after {} steps"
+
+
+def _rank_one(threshold: float | None, iterations: int | None, max_iterations: int):
+    """rank_graphs() of one graph's distinct edges and nodes."""
+
+    def run(edges: pa.Table, nodes: pa.Table) -> pa.Table:
+        ids = nodes.column("v").to_numpy()
+        order = np.argsort(ids)
+        src, dst = (edges.column(c).to_numpy() for c in ("src", "dst"))
+        _, which, count = np.unique(dst, return_inverse=True, return_counts=True)
+        weight = 1.0 / count[which]
+
+        def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = order[np.minimum(np.searchsorted(ids, x, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(len(x), np.int64)
+            return at, (ids[at] == x) if len(ids) else np.zeros(len(x), bool)
+
+        (a, known_a), (b, known_b) = places(src), places(dst)
+        a, b, weight = (x[known_a & known_b] for x in (a, b, weight))
+        e, acc, done, error = np.ones(len(ids)), np.zeros(len(ids)), 0, np.inf
+        while len(ids) and done < (iterations or max_iterations) and not (threshold is not None and (np.isnan(error) or error <= threshold)):
+            s = acc + np.bincount(a, weight * e[b], minlength=len(ids))
+            norm = np.sqrt(s @ s)
+            new = s / norm if norm else np.full(len(ids), np.nan)
+            error, e, acc, done = np.sqrt(((new - e) ** 2).sum()), new, new, done + 1
+        if threshold is not None and len(ids) and error > threshold:
+            raise RuntimeError(_UNSETTLED.format(threshold, max_iterations))
+        return nodes.select(["graph_id", "v"]).append_column("rank", pa.array(e / e.sum() if len(ids) else e))
+
+    return run
+
+
+def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = None, iterations: int | None = None, max_iterations: int = 10_000, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """(graph_id, v, rank) of several graphs at once; every graph stops on its own.
 
     edges: (graph_id, src, dst), nodes: (graph_id, v). Rank flows from a node to those that point to it, weighted by one
     over its in-degree; there is no damping. A node's sum is kept from one iteration to the next, so after the first
     iteration the step is (I + M), normalised to length 1; ranks sum to 1 in the end. A graph ends after `iterations`
     steps, or once two steps are at most `threshold` apart; a graph without a rank to give (all zero) has NaN ranks. It is an
-    error if a graph hasn't ended after max_iterations steps.
+    error if a graph hasn't ended after max_iterations steps. Rows with nulls don't count.
+
+    If no graph has more than graph_rows edges or nodes, by a count, each is ranked by one task and graphs go side by side;
+    else a step is a join of all graphs' edges and vectors, written and read again.
     """
     if (threshold is None) == (iterations is None):
         raise ValueError("give a threshold or a number of iterations")
-    once = edges.select("graph_id", "src", "dst").distinct()
+    once = edges.select("graph_id", "src", "dst").dropna().distinct()
+    nodes = nodes.select("graph_id", "v").dropna().distinct()
+    if max(df.groupBy("graph_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] for df in (once, nodes)) <= graph_rows:
+        shape = ", ".join(f"{c} {t}" for c, t in nodes.dtypes) + ", rank double"
+        return once.groupBy("graph_id").cogroup(nodes.groupBy("graph_id")).applyInArrow(_rank_one(threshold, iterations, max_iterations), shape)
     weights = cut_lineage(once.withColumn("w", 1.0 / F.count("*").over(Window.partitionBy("graph_id", "dst"))))
-    now = cut_lineage(nodes.select("graph_id", "v").distinct().withColumns({"e": F.lit(1.0), "acc": F.lit(0.0)}))
+    now = cut_lineage(nodes.withColumns({"e": F.lit(1.0), "acc": F.lit(0.0)}))
+    n_graphs, n_nodes = now.agg(F.count_distinct("graph_id"), F.count("*")).first()
+
+    def few(df: DataFrame, rows: int) -> DataFrame:
+        """A side of at most SMALL rows goes to all tasks; a graph's norm must not bring its nodes to one."""
+        return F.broadcast(df) if rows <= SMALL else df
+
     finished: list[DataFrame] = []
     done = 0
     while done < (iterations or max_iterations):
         x = now.select("graph_id", F.col("v").alias("dst"), F.col("e").alias("__x"))
-        step = weights.join(x, ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("v")).agg(F.sum(F.col("w") * F.col("__x")).alias("y"))
-        summed = now.join(step, ["graph_id", "v"], "left").select("graph_id", "v", F.col("e").alias("old"), (F.col("acc") + F.coalesce("y", F.lit(0.0))).alias("s"))
+        step = weights.join(few(x, n_nodes), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("v")).agg(F.sum(F.col("w") * F.col("__x")).alias("y"))
+        summed = now.join(few(step, n_nodes), ["graph_id", "v"], "left").select("graph_id", "v", F.col("e").alias("old"), (F.col("acc") + F.coalesce("y", F.lit(0.0))).alias("s"))
         norms = summed.groupBy("graph_id").agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-        scaled = summed.join(norms, "graph_id").withColumn("e", F.when(F.col("norm") == 0, F.lit(math.nan)).otherwise(F.col("s") / F.col("norm")))
+        scaled = summed.join(few(norms, n_graphs), "graph_id").withColumn("e", F.when(F.col("norm") == 0, F.lit(math.nan)).otherwise(F.col("s") / F.col("norm")))
         after = cut_lineage(scaled.select("graph_id", "v", "old", "e", F.col("e").alias("acc")))
         done += 1
         if threshold is not None:
@@ -135,8 +184,8 @@ def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = No
                 now = after
                 continue
             over = cut_lineage(ended)
-            left = after.join(over, "graph_id", "left_anti")
-            finished.append(after.join(over, "graph_id", "left_semi"))
+            left = after.join(few(over, n_graphs), "graph_id", "left_anti")
+            finished.append(after.join(few(over, n_graphs), "graph_id", "left_semi"))
             now = cut_lineage(left)
             if now.isEmpty():
                 break
@@ -145,12 +194,12 @@ def rank_graphs(edges: DataFrame, nodes: DataFrame, threshold: float | None = No
             now = after
     else:
         if threshold is not None:
-            raise RuntimeError(f"a graph's ranks are still over {threshold} apart after {max_iterations} steps")
+            raise RuntimeError(_UNSETTLED.format(threshold, max_iterations))
     out = now.select("graph_id", "v", "e")
     for more in finished:
         out = out.unionByName(more.select("graph_id", "v", "e"))
     totals = out.groupBy("graph_id").agg(F.sum("e").alias("__total"))
-    return out.join(totals, "graph_id").select("graph_id", "v", F.try_divide("e", "__total").alias("rank"))
+    return out.join(few(totals, n_graphs), "graph_id").select("graph_id", "v", F.try_divide("e", "__total").alias("rank"))
 
 
 def rank(edges: DataFrame, nodes: DataFrame, **how: float) -> DataFrame:

@@ -163,26 +163,32 @@ def rank_model(edges, n, threshold=None, steps=None):
 @pytest.mark.parametrize("edges,n", [([(0, 1), (0, 2), (1, 0), (2, 0)], 3), ([(0, 0), (0, 1), (0, 1), (2, 1)], 4), ([(i, (i * 5 + j) % 7) for i in range(7) for j in range(3)], 7)])
 def test_rank(spark, edges, n):
     df, nodes = spark.createDataFrame(edges, "src long, dst long"), spark.range(n).withColumnRenamed("id", "v")
-    got = [r["rank"] for r in graphs.rank(df, nodes, iterations=4).orderBy("v").collect()]
-    assert np.allclose(got, rank_model(edges, n, steps=4))
-    got = [r["rank"] for r in graphs.rank(df, nodes, threshold=1e-3).orderBy("v").collect()]
-    assert np.allclose(got, rank_model(edges, n, threshold=1e-3))
+    for rows in (graphs.GRAPH_ROWS, 0):  # by one task, and by joins
+        got = [r["rank"] for r in graphs.rank(df, nodes, iterations=4, graph_rows=rows).orderBy("v").collect()]
+        assert np.allclose(got, rank_model(edges, n, steps=4))
+        got = [r["rank"] for r in graphs.rank(df, nodes, threshold=1e-3, graph_rows=rows).orderBy("v").collect()]
+        assert np.allclose(got, rank_model(edges, n, threshold=1e-3))
 
 
 def test_ranks_that_do_not_settle_are_an_error(spark):
     edges, nodes = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "src long, dst long"), spark.range(3).withColumnRenamed("id", "v")
-    with pytest.raises(RuntimeError):
-        graphs.rank(edges, nodes, threshold=1e-12, max_iterations=2)
+    for rows in (graphs.GRAPH_ROWS, 0):
+        with pytest.raises(Exception, match="still over"):
+            graphs.rank(edges, nodes, threshold=1e-12, max_iterations=2, graph_rows=rows).collect()
 
 
 def test_graphs_end_on_their_own_and_zero_is_nan(spark):
     star = [(0, 1), (0, 2), (1, 0), (2, 0)]
     edges = spark.createDataFrame([(0, a, b) for a, b in star], "graph_id long, src long, dst long")
     nodes = spark.createDataFrame([(0, v) for v in range(3)] + [(1, 0), (1, 1)], "graph_id long, v long")
-    rows = graphs.rank_graphs(edges, nodes, threshold=1e-6).collect()
-    one = [r["rank"] for r in sorted((r for r in rows if r.graph_id == 0), key=lambda r: r.v)]
-    assert np.allclose(one, rank_model(star, 3, threshold=1e-6)) and np.allclose(one, [0.5, 0.25, 0.25])
-    assert all(math.isnan(r["rank"]) for r in rows if r.graph_id == 1) and len(rows) == 5
+    edges = edges.unionByName(spark.createDataFrame([(0, 9, 1), (0, 1, 9), (3, 0, 1), (0, None, 1)], "graph_id long, src long, dst long"))  # ends that are no nodes
+    for most in (graphs.GRAPH_ROWS, 0):
+        rows = graphs.rank_graphs(edges.filter("graph_id = 0 and src < 9 and dst < 9"), nodes, threshold=1e-6, graph_rows=most).collect()
+        one = [r["rank"] for r in sorted((r for r in rows if r.graph_id == 0), key=lambda r: r.v)]
+        assert np.allclose(one, rank_model(star, 3, threshold=1e-6)) and np.allclose(one, [0.5, 0.25, 0.25])
+        assert all(math.isnan(r["rank"]) for r in rows if r.graph_id == 1) and len(rows) == 5
+    both = [sorted((r.graph_id, r.v, round(r["rank"], 9)) for r in graphs.rank_graphs(edges, nodes, iterations=3, graph_rows=most).collect() if r.graph_id == 0) for most in (graphs.GRAPH_ROWS, 0)]
+    assert both[0] == both[1] and len(both[0]) == 3
 
 
 def gram_model(spark, folder):
