@@ -16,7 +16,9 @@ Segments are told by 64 bits of hash when answers go back to their texts. Where
 answer brings the bytes it is for, and the text is compared with them.
 
 A gram with more than `hot` distinct segments isn't one task's: its windows are dealt by their distance to the gram, 16
-distances at a time, and by all bytes such windows must share. Their answers always bring their bytes.
+distances at a time, and by all bytes such windows must share. What many segments have in common is sent to its task once,
+with the sum of its numbers, and the answer is joined to all of them by its bytes. A dealt group with more than `hot`
+distinct strings even so is counted window by window, by the bytes of each, in place of being sorted.
 """
 
 from __future__ import annotations
@@ -318,6 +320,34 @@ def _sort(length: int):
     return run
 
 
+def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
+    dealt = bodies.repartition("__q").sortWithinPartitions("__q")
+    return dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>, __body binary")
+
+
+def _dealt_answers(bodies: DataFrame, length: int, hot: int) -> DataFrame:
+    """What _sorted_groups() gives, for segments of grams with any number of them: no task holds the segments that share a string."""
+    bodies = materialize(bodies, "repeat-dealt")
+    merged = materialize(bodies.groupBy("__q", "__bytes").agg(F.sum("__w").alias("__w")), "repeat-merged")
+    large = materialize(merged.groupBy("__q").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("__q"), "repeat-large")
+    n_large = large.count()
+    small = merged.join(hint_small(large, n_large), "__q", "left_anti") if n_large else merged
+    # a name that isn't the group's, so that answers bring their bytes
+    named = small.select("__q", F.bitwise_not("__q").alias("__g"), F.lit(0).cast("long").alias("__c"), F.lit(0).alias("__shift"), "__bytes", "__w")
+    found = _sorted_groups(named, length).select(F.bitwise_not("__g").alias("__q"), F.col("__body").alias("__bytes"), "__r")
+    if n_large:
+        starts = F.explode(F.sequence(F.lit(0), F.octet_length("__bytes") - length)).alias("__at")
+        windows = merged.join(hint_small(large, n_large), "__q", "left_semi").select("__q", "__bytes", "__w", starts)
+        windows = windows.withColumn("__window", F.substring("__bytes", F.col("__at") + 1, F.lit(length)))
+        twice = windows.groupBy("__window").agg(F.sum("__w").alias("n")).filter("n > 1").select("__window")
+        each = windows.join(twice, "__window").groupBy("__q", "__bytes").agg(F.collect_list(F.array("__at", F.col("__at") + 1)).alias("r"))
+        found = found.unionByName(each.select("__q", "__bytes", F.flatten("r").alias("__r")))
+    found = materialize(found, "repeat-found")
+    # segments that several tasks have cut are one here
+    names = bodies.select("__q", "__bytes", "__g", "__c", "__shift").distinct()
+    return names.join(found, ["__q", "__bytes"]).select("__g", "__c", "__shift", "__r", F.col("__bytes").alias("__body"))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
     """(__a, __b, __spans, __told): for each row that may have repeats, told by _with_place(), the stretches that removed() takes.
 
@@ -332,7 +362,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     discard(found)
     many = several.select("__g", "__c").distinct().groupBy("__g").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
     many = materialize(many.select("__g", F.lit(True).alias("__hot")), "repeat-hot")
-    known = several.join(hint_small(many, many.count()), "__g", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    n_many = many.count()
+    known = several.join(hint_small(many, n_many), "__g", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
     # rows equal in key and text are one text that stands there several times
     wanted = known.groupBy("__a", "__b").agg(F.count("*").alias("n"), F.collect_set(F.struct("__p", "__n", "__g", "__c", "__hot")).alias("__want"))
     wanted = materialize(wanted.select("__a", "__b", "__want", F.expr("n div size(__want)").alias("__times")), "repeat-wanted")
@@ -343,10 +374,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         rows = rows.join(F.broadcast(keys), ["__a", "__b"], "left_semi")
     if not wanted.filter("__times > 1").isEmpty():
         rows = rows.dropDuplicates(["__a", "__b"])
-    texts = rows.join(wanted, ["__a", "__b"]).select("__t", "__want", "__times")
-    bodies = texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
-    dealt = bodies.repartition("__q").sortWithinPartitions("__q")
-    answers = materialize(dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>, __body binary"), "repeat-answers")
+
+    def bodies(wants: DataFrame) -> DataFrame:
+        texts = rows.join(wants, ["__a", "__b"]).select("__t", "__want", "__times")
+        return texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
+
+    if n_many:
+        of_rare, of_common = (wanted.withColumn("__want", F.filter("__want", f)).filter(F.size("__want") > 0) for f in (lambda x: ~x["__hot"], lambda x: x["__hot"]))
+        answers = _sorted_groups(bodies(of_rare), length).unionByName(_dealt_answers(bodies(of_common), length, hot))
+    else:
+        answers = _sorted_groups(bodies(wanted), length)
+    answers = materialize(answers, "repeat-answers")
     asked = wanted.select("__a", "__b", F.explode("__want").alias("x")).select("__a", "__b", "x.__p", "x.__g", "x.__c")
     place = F.col("__p") + F.col("__shift")
     placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body"))

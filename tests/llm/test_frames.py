@@ -111,11 +111,46 @@ def test_suffix_dedup_tells_segments_by_their_bytes(spark):
     rows += [(100 + i, other[:700] + f" {i % 4} " + other[700:]) for i in range(12)] + [(200, prose(100))] * 5
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     wanted = without_repeats(rows)
-    for hot in (5_000, 3):
+    for hot in (5_000, 30, 3):
         for bits in (64, 1, 0):
             assert found_repeats(frame, hot=hot, hash_bits=bits) == wanted
 
 
+@pytest.mark.parametrize("hot", [40, 10])
+def test_suffix_dedup_of_a_passage_in_most_texts(spark, hot):
+    """No row that a task sorts stands for one text: what the texts have in common comes once, with their number."""
+    rng = np.random.default_rng(19)
+
+    def noise(n):
+        return "".join(chr(x) for x in rng.integers(97, 123, n))
+
+    passage = noise(260)
+    rows = [(i, noise(40) + passage + noise(40)) for i in range(80)]
+    rows += [(100 + i, noise(30) + noise(7) + passage[:190] + noise(7) + noise(30)) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_repeats(frame, hot=hot) == without_repeats(rows)
+    wide = [(1, 5, 7 + i, 0, passage.encode(), 1) for i in range(80)]
+    bodies = spark.createDataFrame(wide, "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
+    answers = suffix_dedup._dealt_answers(bodies, 200, hot).collect()
+    assert {(r["__g"], r["__c"], tuple(r["__r"]), bytes(r["__body"])) for r in answers} == {(5, 7 + i, (0, 61), passage.encode()) for i in range(80)} and len(answers) == 80
+
+
+def test_suffix_dedup_of_groups_too_large_to_sort(spark):
+    """Strings of one dealt group that differ at their ends, more than may be sorted together, are counted by window."""
+    rng = np.random.default_rng(20)
+    shared = bytes(rng.integers(97, 123, 190).astype(np.uint8))
+    ends = [bytes(rng.integers(97, 100, 12).astype(np.uint8)) for _ in range(60)]
+    rows = [(9, 4, i, 0, e[:6] + shared + e[6:], 1 + i % 2) for i, e in enumerate(ends)]
+    bodies = spark.createDataFrame(rows, "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
+    found = [{r["__c"]: {w for i in range(0, len(r["__r"]), 2) for w in range(r["__r"][i], r["__r"][i + 1])} for r in suffix_dedup._dealt_answers(bodies, 200, hot).collect()} for hot in (1_000, 5)]
+    counts = Counter()
+    for r in rows:
+        for i in range(3):
+            counts[r[4][i : i + 200]] += r[5]
+    wanted = {r[2]: {i for i in range(3) if counts[r[4][i : i + 200]] > 1} for r in rows}
+    assert found[0] == found[1] == {c: w for c, w in wanted.items() if w}
+
+
 def test_suffix_dedup_of_very_long_texts(spark):
     """Over a million bytes around one gram, without white space, and a text that holds a part of itself far behind."""
     rng = np.random.default_rng(18)
