@@ -327,8 +327,10 @@ def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
 
 def _dealt_answers(bodies: DataFrame, length: int, hot: int) -> DataFrame:
     """What _sorted_groups() gives, for segments of grams with any number of them: no task holds the segments that share a string."""
-    bodies = materialize(bodies, "repeat-dealt")
-    merged = materialize(bodies.groupBy("__q", "__bytes").agg(F.sum("__w").alias("__w")), "repeat-merged")
+    # windows of one dealt string are all different, so a group that has but one string once holds no repeats
+    several = materialize(bodies.groupBy("__q").agg(F.sum("__w").alias("n")).filter("n > 1").select("__q"), "repeat-several")
+    dealt = bodies.join(F.broadcast(several) if several.count() <= KEY_ROWS else several, "__q", "left_semi")
+    merged = materialize(dealt.groupBy("__q", "__bytes").agg(F.sum("__w").alias("__w")), "repeat-merged")
     large = materialize(merged.groupBy("__q").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("__q"), "repeat-large")
     n_large = large.count()
     small = merged.join(hint_small(large, n_large), "__q", "left_anti") if n_large else merged
@@ -342,10 +344,14 @@ def _dealt_answers(bodies: DataFrame, length: int, hot: int) -> DataFrame:
         twice = windows.groupBy("__window").agg(F.sum("__w").alias("n")).filter("n > 1").select("__window")
         each = windows.join(twice, "__window").groupBy("__q", "__bytes").agg(F.collect_list(F.array("__at", F.col("__at") + 1)).alias("r"))
         found = found.unionByName(each.select("__q", "__bytes", F.flatten("r").alias("__r")))
-    found = materialize(found, "repeat-found")
-    # segments that several tasks have cut are one here
-    names = bodies.select("__q", "__bytes", "__g", "__c", "__shift").distinct()
-    return names.join(found, ["__q", "__bytes"]).select("__g", "__c", "__shift", "__r", F.col("__bytes").alias("__body"))
+    found = materialize(found.withColumn("__h", F.xxhash64("__bytes")), "repeat-found")
+    # a hash will do here, as answers are compared with the texts; segments that several tasks have cut are one
+    names = dealt.select("__q", F.xxhash64("__bytes").alias("__h"), "__g", "__c", "__shift").distinct()
+    answers = names.join(hint_small(found, found.count()), ["__q", "__h"]).select("__g", "__c", "__shift", "__r", F.col("__bytes").alias("__body"))
+    answers = materialize(answers, "repeat-answers")
+    for step in (several, merged, large, found):
+        discard(step)
+    return answers
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT, hash_bits: int = 64) -> DataFrame:
@@ -375,16 +381,15 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if not wanted.filter("__times > 1").isEmpty():
         rows = rows.dropDuplicates(["__a", "__b"])
 
-    def bodies(wants: DataFrame) -> DataFrame:
-        texts = rows.join(wants, ["__a", "__b"]).select("__t", "__want", "__times")
-        return texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
-
-    if n_many:
-        of_rare, of_common = (wanted.withColumn("__want", F.filter("__want", f)).filter(F.size("__want") > 0) for f in (lambda x: ~x["__hot"], lambda x: x["__hot"]))
-        answers = _sorted_groups(bodies(of_rare), length).unionByName(_dealt_answers(bodies(of_common), length, hot))
+    texts = rows.join(wanted, ["__a", "__b"]).select("__t", "__want", "__times")
+    bodies = texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
+    if n_many:  # texts are moved and cut once for both kinds
+        bodies = materialize(bodies, "repeat-bodies")
+        common = _dealt_answers(bodies.filter("__q <> __g"), length, hot)
+        answers = materialize(_sorted_groups(bodies.filter("__q = __g"), length), "repeat-answers").unionByName(common)
+        discard(bodies)
     else:
-        answers = _sorted_groups(bodies(wanted), length)
-    answers = materialize(answers, "repeat-answers")
+        answers = materialize(_sorted_groups(bodies, length), "repeat-answers")
     asked = wanted.select("__a", "__b", F.explode("__want").alias("x")).select("__a", "__b", "x.__p", "x.__g", "x.__c")
     place = F.col("__p") + F.col("__shift")
     placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body"))
