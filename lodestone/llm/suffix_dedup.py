@@ -42,6 +42,8 @@ HOT = 5_000  # distinct segments sorted together: 180 MB or so, as much as BLOCK
 BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
 COMBINE = 32 << 20  # bytes of different segments among which a task merges equal ones before it sends them
 CHUNK = 16
+#: Windows of one segment at most: those of a short period, which would go on as long as the text does, are cut.
+MOST = 1024
 SPANS = "array<struct<start:int,end:int>>"
 
 _POS = np.uint64((1 << 20) - 1)
@@ -86,6 +88,9 @@ def segments(text: bytes, length: int, hash_bits: int = 64) -> tuple[np.ndarray,
     gram, place = _least_grams(np.frombuffer(text, np.uint8), length)
     first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     ends = np.append(first[1:], len(gram))
+    if len(gram) and int((ends - first).max()) > MOST:  # cuts are counted from a segment's beginning, so copies are cut alike
+        first = np.concatenate([np.arange(p, q, MOST) for p, q in zip(first.tolist(), ends.tolist())])
+        ends = np.append(first[1:], len(gram))
     moved = np.concatenate([[0], np.cumsum(place[1:] != place[:-1])])
     digest, most = xxhash.xxh64_intdigest, (1 << hash_bits) - 1
     hashes = np.array([digest(text[p : q + length - 1]) & most for p, q in zip(first.tolist(), ends.tolist())], np.uint64)
@@ -146,27 +151,43 @@ def _cut(length: int):
                         else:
                             held[key] = times[i]
                             size += len(part)
-                if size > COMBINE:
-                    yield from rows()
-                    held, size = {}, 0
+                    if size > COMBINE:
+                        yield from rows()
+                        held, size = {}, 0
         yield from rows()
 
     return run
 
 
 def _deal(gram: int, body: bytes, length: int) -> list[tuple[int, int, bytes]]:
-    """A segment's windows by 16 distances to the gram: (hash of what such windows share, first window, bytes)."""
+    """A segment's windows by 16 distances to the gram: (hash of what such windows share, first window, bytes).
+
+    In a stretch of a short period the gram goes along with the windows, and what they share stays the same: over CHUNK such
+    windows are one string, in which windows may be equal.
+    """
     _, least = _least_grams(np.frombuffer(body, np.uint8), length)
     distance = least - np.arange(len(least))
     part = distance // CHUNK
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (least[1:] != least[:-1])]))
-    out = []
-    for p, q in zip(first.tolist(), [*first[1:].tolist(), len(least)]):
+    found: list[tuple[int, int]] = []
+    for p in first.tolist():
         # windows at distances [d, d + CHUNK) all hold the bytes from the farthest's start to the nearest's end
         start = int(least[p]) - int(part[p]) * CHUNK
         shared = body[start : start + length - CHUNK + 1]
         group = xxhash.xxh64_intdigest(shared + bytes([int(part[p])]), gram & 0xFFFFFFFF)
-        out.append((group - (1 << 64) if group >> 63 else group, p, body[p : q + length - 1]))
+        found.append((group - (1 << 64) if group >> 63 else group, p))
+    out, at = [], 0
+    while at < len(found):
+        group, p = found[at]
+        next_ = at + 1
+        while next_ < len(found) and found[next_][0] == group:
+            next_ += 1
+        stops = [x for _, x in found[at + 1 : next_]] + [found[next_][1] if next_ < len(found) else len(least)]
+        if stops[-1] - p > CHUNK:
+            out.append((group, p, body[p : stops[-1] + length - 1]))
+        else:
+            out += [(group, x, body[x : y + length - 1]) for x, y in zip([p, *stops], stops)]
+        at = next_
     return out
 
 
@@ -327,8 +348,9 @@ def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
 
 def _dealt_answers(bodies: DataFrame, length: int, hot: int) -> DataFrame:
     """What _sorted_groups() gives, for segments of grams with any number of them: no task holds the segments that share a string."""
-    # windows of one dealt string are all different, so a group that has but one string once holds no repeats
-    several = materialize(bodies.groupBy("__q").agg(F.sum("__w").alias("n")).filter("n > 1").select("__q"), "repeat-several")
+    # windows of one dealt string of up to CHUNK are all different, so a group that has but one such string once holds no repeats
+    sizes = bodies.groupBy("__q").agg(F.sum("__w").alias("n"), F.max(F.octet_length("__bytes")).alias("most"))
+    several = materialize(sizes.filter((F.col("n") > 1) | (F.col("most") > length + CHUNK - 1)).select("__q"), "repeat-several")
     dealt = bodies.join(F.broadcast(several) if several.count() <= KEY_ROWS else several, "__q", "left_semi")
     merged = materialize(dealt.groupBy("__q", "__bytes").agg(F.sum("__w").alias("__w")), "repeat-merged")
     large = materialize(merged.groupBy("__q").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("__q"), "repeat-large")

@@ -162,6 +162,21 @@ def test_suffix_dedup_of_very_long_texts(spark):
         assert found_repeats(frame, hot=hot) == wanted
 
 
+@pytest.mark.parametrize("hot", [5_000, 20, 0])
+def test_suffix_dedup_of_short_periods(spark, hot):
+    """Runs of one character and of short periods, of many lengths and alone, whose grams are hot or not."""
+    rng = np.random.default_rng(21)
+
+    def noise(n):
+        return "".join(chr(x) for x in rng.integers(97, 123, n))
+
+    rows = [(i, noise(30) + "-" * n + noise(30)) for i, n in enumerate([190, 199, 200, 201, 215, 216, 217, 240, 900, 1_300, 5_000])]
+    rows += [(100 + i, noise(20) + unit * (n // len(unit)) + noise(20)) for i, (unit, n) in enumerate([("ab", 230), ("ab", 3_000), ("abcdefg", 2_500), (noise(20), 260), (noise(50), 2_000), (noise(190), 1_500)])]
+    rows += [(200, "=" * 201), (201, "+" * 200), (202, noise(300)), (203, "é" * 700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found_repeats(frame, hot=hot) == without_repeats(rows)
+
+
 def test_simhash(docs, empty):
     import xxhash
 

@@ -68,6 +68,25 @@ def test_least_grams_of_long_texts():
     assert sum(len(x) - 199 for _, _, x in dealt) == len(gram) and all(body[p : p + len(x)] == x for _, p, x in dealt)
 
 
+@pytest.mark.parametrize("unit", [b"-", b"ab", b"seven b", b"a stretch of 31 bytes, repeated"])
+def test_short_periods_make_few_segments(unit):
+    """Whatever a stretch's length, a segment is of bounded size, and what is dealt of it isn't a row for each window."""
+    text = b"before " + unit * (40_000 // len(unit)) + b" behind"
+    first, number, grams, hashes, _ = suffix_dedup.segments(text, 200)
+    assert number.max() <= suffix_dedup.MOST and number.sum() == len(text) - 199 and (first[1:] == (first + number)[:-1]).all()
+    longest = int(number.argmax())
+    body = text[first[longest] : first[longest] + number[longest] + 199]
+    groups: dict[bytes, set[int]] = {}
+    dealt = suffix_dedup._deal(int(grams[longest]), body, 200)
+    for group, p, part in dealt:
+        assert body[p : p + len(part)] == part
+        for i in range(len(part) - 199):
+            groups.setdefault(part[i : i + 200], set()).add(group)
+    assert all(len(x) == 1 for x in groups.values()) and sum(len(x) for _, _, x in dealt) < 20 * len(body)
+    if len(unit) < suffix_dedup.CHUNK:
+        assert len(dealt) == 1
+
+
 def test_compare_tiles_finds_every_link():
     draw = np.random.default_rng(3)
     values = draw.integers(0, 2**63, 300).astype(np.uint64)
