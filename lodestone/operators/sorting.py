@@ -15,6 +15,8 @@ from ..session import cut_lineage, drop_files
 
 #: Rows that a range of radix_pass() has, about.
 RANGE_ROWS = 1_000_000
+#: Bits that a pass of radix_sort() takes, and the counts (ranges times digits) beyond which it takes fewer.
+DIGIT_BITS, CELLS = 4, 1 << 20
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:
@@ -81,22 +83,24 @@ def running_offsets(df: DataFrame, group: str, order: str, name: str = "running"
     return df.withColumn(name, place.cast("long"))
 
 
-def radix_pass(df: DataFrame, bit: int, value: str = "v", pos: str = "pos", name: str = "new_pos", parts: int | None = None, n: int | None = None) -> DataFrame:
-    """Stable partition by one bit: zeros keep their order in front, ones theirs behind.
+def radix_pass(df: DataFrame, bit: int, value: str = "v", pos: str = "pos", name: str = "new_pos", parts: int | None = None, n: int | None = None, width: int = 1) -> DataFrame:
+    """Stable partition by one bit: zeros keep their order in front, ones theirs behind. Or by the digit of `width` bits from there on.
 
-    Positions are cut into `parts` ranges, by default of RANGE_ROWS rows and 64 at least; each has a histogram of the bit, whose exclusive sums over the ranges are the
-    offsets of the rows that a range numbers on its own.
+    Positions are cut into `parts` ranges, by default of RANGE_ROWS rows and 64 at least; each has a histogram of the digits, whose exclusive sums over the ranges are the
+    offsets of the rows that a range numbers on its own, behind all rows of smaller digits.
     """
     if n is None:
         n = df.count()
     parts = parts or radix_parts(n)
     size = max(1, -(-n // parts))
-    rows = df.withColumn("__bit", kth_bit(value, bit)).withColumn("__part", F.floor(F.col(pos) / size).cast("int"))
+    digit = kth_bit(value, bit) if width == 1 else F.shiftright(value, bit).bitwiseAND((1 << width) - 1).cast("int")
+    rows = df.withColumn("__bit", digit).withColumn("__part", F.floor(F.col(pos) / size).cast("int"))
     offsets = exclusive_offsets(rows.groupBy("__part", "__bit").agg(F.count("*").alias("__n")), "__part", "__bit", "__n")
-    zeros = offsets.agg(F.coalesce(F.sum(F.when(F.col("__bit") == 0, F.col("__n"))), F.lit(0)).alias("__zeros"))
+    smaller = Window.orderBy("__bit").rowsBetween(Window.unboundedPreceding, -1)  # a row for each digit
+    bases = offsets.groupBy("__bit").agg(F.sum("__n").alias("__n")).select("__bit", F.coalesce(F.sum("__n").over(smaller), F.lit(0)).alias("__base"))
     place = F.row_number().over(Window.partitionBy("__part", "__bit").orderBy(pos)) - 1
-    joined = rows.join(F.broadcast(offsets.drop("__n")), ["__part", "__bit"]).crossJoin(F.broadcast(zeros))  # 2 * parts rows, and one
-    return joined.withColumn(name, (place + F.col("before") + F.col("__bit") * F.col("__zeros")).cast("long")).drop("__part", "__bit", "before", "__zeros")
+    joined = rows.join(F.broadcast(offsets.drop("__n")), ["__part", "__bit"]).join(F.broadcast(bases), "__bit")  # 2 ** width * parts rows, and 2 ** width
+    return joined.withColumn(name, (place + F.col("before") + F.col("__base")).cast("long")).drop("__part", "__bit", "before", "__base")
 
 
 def radix_parts(n: int) -> int:
@@ -111,13 +115,13 @@ def exclusive_offsets(histogram: DataFrame, part: str, group: str, count: str) -
 
 
 def radix_sort(df: DataFrame, value: str = "v", pos: str = "pos") -> DataFrame:
-    """Least bit first, a pass for each bit of the greatest value. Values must not be negative."""
+    """Least bits first, a pass for every DIGIT_BITS bits that the greatest value has. Values must not be negative."""
     least, bits, n = df.agg(F.min(value), F.max(bit_length(value)), F.count("*")).first()
     if least is not None and least < 0:
         raise ValueError("radix_sort takes non-negative values only")
-    now = df
-    for bit in range(bits or 0):
-        step = cut_lineage(radix_pass(now, bit, value, pos, n=n).drop(pos).withColumnRenamed("new_pos", pos))
+    now, width = df, max(1, min(DIGIT_BITS, (CELLS // radix_parts(n)).bit_length() - 1))
+    for bit in range(0, bits or 0, width):
+        step = cut_lineage(radix_pass(now, bit, value, pos, n=n, width=width).drop(pos).withColumnRenamed("new_pos", pos))
         drop_files(now)
         now = step
     return now

@@ -44,6 +44,17 @@ def test_ranges_grow_with_the_rows(spark):
     assert [tuple(r) for r in sorting.merge_tasks(spark, 5).orderBy("run").collect()] == [(1, 3), (2, 2), (4, 1)]
 
 
+def test_digits_of_several_bits(spark, monkeypatch):
+    """Ranges and digits of any size give the stable order."""
+    data = [37, 5, 5, 1023, 0, 512, 37, 64, 8, 7, 6, 5, 900, 901, 5]
+    for width, parts in ((1, 3), (3, 2), (4, 7), (10, 1)):
+        rows = sorting.radix_pass(array(spark, data), 2, parts=parts, width=width).orderBy("new_pos").collect()
+        places = sorted(range(len(data)), key=lambda i: data[i] >> 2 & (1 << width) - 1)
+        assert [(r.pos, r.v, r.new_pos) for r in rows] == [(i, data[i], at) for at, i in enumerate(places)]
+    monkeypatch.setattr(sorting, "CELLS", 64 * 5)  # two bits a pass
+    assert values(sorting.radix_sort(array(spark, data))) == sorted(data)
+
+
 def test_radix_sort(spark):
     data = [6, 0, 5, 3, 2, 4, 1]
     assert values(sorting.radix_sort(array(spark, data))) == sorted(data)
