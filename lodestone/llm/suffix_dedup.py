@@ -267,7 +267,7 @@ def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int, ever
     before = (sums[windows + reach] - sums[windows]) * inverse[windows]
 
     interval = np.zeros(len(windows), np.uint64)
-    by_reach = np.argsort(reach, kind="stable")
+    by_reach = np.argsort(reach.astype(np.uint16 if length < 1 << 16 else np.int64), kind="stable")  # of 16 bits: by digits
     cuts = np.flatnonzero(np.concatenate([[True], reach[by_reach][1:] != reach[by_reach][:-1]])) if len(windows) else []
     for s, e in zip(cuts, [*cuts[1:], len(windows)]):
         some = by_reach[s:e]
@@ -277,7 +277,7 @@ def repeated_windows(bodies: list[bytes], weights: np.ndarray, length: int, ever
     key = (before ^ (interval * np.uint64(0xD6E8FEB86659FD93))) * _ODD + reach.astype(np.uint64)
     key ^= key >> np.uint64(32)
 
-    sorted_at = np.argsort(key, kind="stable")
+    sorted_at = np.argsort(key)
     k = key[sorted_at]
     fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.empty(0, bool)
     number = np.cumsum(fresh) - 1
