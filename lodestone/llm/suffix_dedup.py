@@ -38,8 +38,8 @@ from .suffix_sorting import suffix_array
 
 LENGTH = 200
 GRAM = 16
-HOT = 5_000  # distinct segments sorted together: 180 MB or so, as much as BLOCK takes (50,000: 1.8 GB)
-BLOCK = 2 << 20  # bytes sorted at once, unless one gram's segments are more
+HOT = 5_000  # distinct segments sorted together: 180 MB or so (50,000: 1.8 GB)
+BLOCK = 1 << 18  # bytes sorted at once, unless one gram's segments are more: 21 MB of arrays, which a core's cache holds best
 COMBINE = 32 << 20  # bytes of different segments among which a task merges equal ones before it sends them
 CHUNK = 16
 #: Windows of one segment at most: those of a short period, which would go on as long as the text does, are cut.
