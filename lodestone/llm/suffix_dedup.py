@@ -4,7 +4,8 @@ A string of `length` bytes that starts at two places or more is removed wherever
 found first, and cheaply: every window of `length` bytes has a least 16-byte gram (by hash), equal windows have equal
 least grams, so windows are gathered into segments that share one, and a gram that the corpus has once rules its
 segment out. All other segments are sorted, copies included: tasks merge segments of equal bytes, with their number,
-before they send them and again where a gram's segments meet, so copies cost a row for each task and are sorted once.
+before they send them and again where a gram's segments meet, so copies cost a row for each task and are sorted once. Segments
+of a gram that stands at over `hot` places are merged over all tasks before they meet, so that no task reads a row for each.
 
 The suffixes of a gram's segments that begin where the next 8 bytes hash to one value in EVERY go into a suffix
 array by Lyndon groups (suffix_sorting). Bytes in common with the neighbours give, for each window, the interval of
@@ -48,6 +49,8 @@ SPANS = "array<struct<start:int,end:int>>"
 
 _POS = np.uint64((1 << 20) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: What becomes of a gram's segments: sorted as tasks send them, merged over all tasks first, or dealt.
+_PLAIN, _MERGED, _DEALT = 0, 1, 2
 #: One place in so many is a start of a suffix.
 EVERY = 32
 #: Windows whose least grams are found at once: places in such a part have 20 bits.
@@ -144,7 +147,7 @@ def _cut(length: int):
                 text = batch.column(0)[i].as_py().encode("utf-8", "surrogatepass")
                 for want in batch.column(1)[i].as_py():
                     body = text[want["__p"] : want["__p"] + want["__n"] + length - 1]
-                    for group, shift, part in _deal(want["__g"], body, length) if want["__hot"] else [(want["__g"], 0, body)]:
+                    for group, shift, part in _deal(want["__g"], body, length) if want["__hot"] == _DEALT else [(want["__g"], 0, body)]:
                         key = (group, want["__g"], want["__c"], shift, part)
                         if key in held:
                             held[key] += times[i]
@@ -388,10 +391,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     several = found.join(F.broadcast(grams) if grams.count() <= KEY_ROWS else grams, "__g")
     several = materialize(several, "repeat-several")
     discard(found)
-    many = several.select("__g", "__c").distinct().groupBy("__g").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
-    many = materialize(many.select("__g", F.lit(True).alias("__hot")), "repeat-hot")
+    sizes = several.groupBy("__g", "__c").agg(F.count("*").alias("n")).groupBy("__g").agg(F.count("*").alias("different"), F.sum("n").alias("n"))
+    how = F.when(F.col("different") > hot, _DEALT).otherwise(_MERGED).alias("__hot")
+    many = materialize(sizes.filter(F.col("n") > hot).select("__g", how), "repeat-hot")
     n_many = many.count()
-    known = several.join(hint_small(many, n_many), "__g", "left").withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    known = several.join(hint_small(many, n_many), "__g", "left").withColumn("__hot", F.coalesce("__hot", F.lit(_PLAIN)))
     # rows equal in key and text are one text that stands there several times
     wanted = known.groupBy("__a", "__b").agg(F.count("*").alias("n"), F.collect_set(F.struct("__p", "__n", "__g", "__c", "__hot")).alias("__want"))
     wanted = materialize(wanted.select("__a", "__b", "__want", F.expr("n div size(__want)").alias("__times")), "repeat-wanted")
@@ -405,13 +409,21 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     texts = rows.join(wanted, ["__a", "__b"]).select("__t", "__want", "__times")
     bodies = texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
-    if n_many:  # texts are moved and cut once for both kinds
-        bodies = materialize(bodies, "repeat-bodies")
-        common = _dealt_answers(bodies.filter("__q <> __g"), length, hot)
-        answers = materialize(_sorted_groups(bodies.filter("__q = __g"), length), "repeat-answers").unionByName(common)
-        discard(bodies)
-    else:
-        answers = materialize(_sorted_groups(bodies, length), "repeat-answers")
+    common = None
+    if n_many:  # texts are moved and cut once for all kinds
+        cut = materialize(bodies, "repeat-bodies")
+        common = _dealt_answers(cut.filter("__q <> __g"), length, hot)
+        bodies = cut.filter("__q = __g")
+        merged = many.filter(F.col("__hot") == _MERGED).select(F.col("__g").alias("__q"))
+        n_merged = merged.count()
+        if n_merged:  # each task has sent such a gram's strings: they are made one before they meet in one task
+            merged = hint_small(merged, n_merged)
+            once = bodies.join(merged, "__q", "left_semi").groupBy("__q", "__g", "__c", "__shift", "__bytes").agg(F.sum("__w").alias("__w"))
+            bodies = bodies.join(merged, "__q", "left_anti").unionByName(once)
+    answers = materialize(_sorted_groups(bodies, length), "repeat-answers")
+    if common is not None:
+        answers = answers.unionByName(common)
+        discard(cut)
     asked = wanted.select("__a", "__b", F.explode("__want").alias("x")).select("__a", "__b", "x.__p", "x.__g", "x.__c")
     place = F.col("__p") + F.col("__shift")
     placed = asked.join(answers, ["__g", "__c"]).select("__a", "__b", F.transform("__r", lambda x: x + place).alias("r"), place.alias("at"), F.col("__body").alias("body"))

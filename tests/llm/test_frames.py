@@ -162,6 +162,29 @@ def test_suffix_dedup_of_very_long_texts(spark):
         assert found_repeats(frame, hot=hot) == wanted
 
 
+def test_suffix_dedup_merges_copies_before_they_meet(spark, monkeypatch):
+    """Copies in many tasks of grams that have few segments: a row for each segment is sorted, not one for each task."""
+    rng = np.random.default_rng(22)
+
+    def noise(n):
+        return "".join(chr(x) for x in rng.integers(97, 123, n))
+
+    texts = [noise(400) for _ in range(3)]
+    rows = [(i, texts[i % 3][: 400 - i % 2]) for i in range(90)] + [(100 + i, noise(250)) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    seen, sort = [], suffix_dedup._sorted_groups
+
+    def counted(bodies, length):
+        seen.append(bodies.count())
+        return sort(bodies, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_groups", counted)
+    assert found_repeats(frame, hot=5_000) == without_repeats(rows)
+    plain = seen[-1]
+    assert found_repeats(frame, hot=12) == without_repeats(rows)
+    assert seen[-1] < plain / 4
+
+
 @pytest.mark.parametrize("hot", [5_000, 20, 0])
 def test_suffix_dedup_of_short_periods(spark, hot):
     """Runs of one character and of short periods, of many lengths and alone, whose grams are hot or not."""
