@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,3 +73,15 @@ def word_array(text: Column) -> Column:
     """The words of a text, runs of anything but 0x20 and 0x09-0x0D; null and blank texts have none."""
     trimmed = F.call_function("btrim", F.coalesce(text, F.lit("")), F.lit(WORD_GAPS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP_PATTERN))
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a mapInArrow function, after which the worker gives free memory back to the system: workers stay, idle, while the JVM needs it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform.startswith("linux"):
+            getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # other C libraries than GNU's lack it
+
+    return task

@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import KEY_ROWS, discard, hint_small, materialize, row_hashes, whole_row
+from ._shared import KEY_ROWS, discard, hint_small, lean, materialize, row_hashes, whole_row
 from .suffix_sorting import suffix_array
 
 LENGTH = 200
@@ -115,16 +115,19 @@ def _all_segments(rows: DataFrame, length: int, hash_bits: int) -> DataFrame:
             owners: list[int] = []
             size = 0
             for i in range(batch.num_rows):
-                parts.append(segments(batch.column(2)[i].as_py().encode("utf-8", "surrogatepass"), length, hash_bits))
-                owners.append(i)
-                size += len(parts[-1][0])
-                if size > 200_000 or i == batch.num_rows - 1:
+                text = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
+                for at in range(0, len(text) - length + 1, _PART):  # a cut between two windows does no harm
+                    first, *others = segments(text[at : at + _PART + length - 1], length, hash_bits)
+                    parts.append((first + at, *others))
+                    owners.append(i)
+                    size += len(first)
+                if size > 200_000 or parts and i == batch.num_rows - 1:
                     p, n, g, c, s = (np.concatenate(x) for x in zip(*parts))
                     of = np.repeat(owners, [len(x[0]) for x in parts])
                     yield pa.RecordBatch.from_arrays([pa.array(a[of]), pa.array(b[of]), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(s)], names=names)
                     parts, owners, size = [], [], 0
 
-    return rows.select("__a", "__b", "__t").mapInArrow(run, "__a long, __b long, __p int, __n int, __g long, __c long, __self boolean")
+    return rows.select("__a", "__b", "__t").mapInArrow(lean(run), "__a long, __b long, __p int, __n int, __g long, __c long, __self boolean")
 
 
 def _cut(length: int):
@@ -346,7 +349,7 @@ def _sort(length: int):
 
 def _sorted_groups(bodies: DataFrame, length: int) -> DataFrame:
     dealt = bodies.repartition("__q").sortWithinPartitions("__q")
-    return dealt.mapInArrow(_sort(length), "__g long, __c long, __shift int, __r array<int>, __body binary")
+    return dealt.mapInArrow(lean(_sort(length)), "__g long, __c long, __shift int, __r array<int>, __body binary")
 
 
 def _dealt_answers(bodies: DataFrame, length: int, hot: int) -> DataFrame:
@@ -408,7 +411,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         rows = rows.dropDuplicates(["__a", "__b"])
 
     texts = rows.join(wanted, ["__a", "__b"]).select("__t", "__want", "__times")
-    bodies = texts.mapInArrow(_cut(length), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
+    bodies = texts.mapInArrow(lean(_cut(length)), "__q long, __g long, __c long, __shift int, __bytes binary, __w long")
     common = None
     if n_many:  # texts are moved and cut once for all kinds
         cut = materialize(bodies, "repeat-bodies")
@@ -486,7 +489,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             columns = [pa.array(left, kept.column(at).type) if i == at else kept.column(i) for i in range(kept.num_columns - 2)]
             yield pa.RecordBatch.from_arrays(columns, names=kept.schema.names[:-2])
 
-    made = joined.mapInArrow(run, docs.schema)
+    made = joined.mapInArrow(lean(run), docs.schema)
     return made if whole is None else made.unionByName(whole)
 
 
@@ -534,5 +537,5 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), shape)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, k) for x, k in zip(out, kinds)]], names=names)
 
-    made = joined.mapInArrow(run, f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}")
+    made = joined.mapInArrow(lean(run), f"__id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {SPANS}")
     return (made if whole is None else made.unionByName(whole)).withColumnRenamed("__id", key)
