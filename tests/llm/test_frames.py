@@ -281,6 +281,25 @@ def test_shards_of_equal_keys_follow_their_texts(spark):
     assert found[0] == found[1] and len({p for _, p in found[0]}) > 10
 
 
+def test_shards_deeper_than_the_sql_goes(spark):
+    """The SQL stops at 20 bits and has no row for texts that need more; the operator has them all."""
+    met, pair = {}, None
+    for i in range(100_000):
+        other = met.setdefault(hashlib.md5(str(i).encode()).hexdigest()[:5], i)
+        if other != i:
+            pair = [other, i]
+            break
+    rows = [(i, "x" * (1 << 15)) for i in range(40)] + [(i, "x" * 40_000) for i in pair]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), max_bytes=1 << 16).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows) and {r.doc_id for r in got if r.depth > 20} == set(pair)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    names = ["doc_id", "n_bytes", "shard", "depth", "shard_bytes", "oversized"]
+    wanted = con.sql(f"SELECT {', '.join(names)} FROM ({sharding.oracle(1 << 16)})").fetchall()
+    assert sorted(wanted) == sorted(tuple(r[c] for c in names) for r in got if r.doc_id not in pair)
+
+
 def test_shards_are_written(spark, docs, empty, tmp_path):
     shards = {r.shard: (r.n_docs, r.n_bytes) for r in sharding.write_shards(docs, f"{tmp_path}/s", 3000).collect()}
     assert len(shards) > 3 and sum(n for n, _ in shards.values()) == len(ROWS)
