@@ -127,6 +127,9 @@ class PieceCoder:
             raise ValueError("the model has pieces of its user's own, or unused ones")
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
+        self.raw_sizes = np.array([len(x) for x in self.raw], np.int32)
+        self.raw_starts = np.cumsum(self.raw_sizes, dtype=np.int64) - self.raw_sizes
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         usable = [(p, i, s) for i, (p, s, k) in enumerate(pieces) if k == _NORMAL and p]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, _ in usable):
             raise ValueError("a piece goes over the start of a word")
@@ -140,9 +143,13 @@ class PieceCoder:
         self.keys = hashes[order]
         if np.any(self.keys[1:] == self.keys[:-1]):
             raise ValueError("two pieces share a hash")
-        # most substrings are no piece: a table of the hashes' leading bits tells nearly all of them before the search
+        # most substrings are no piece: a table of the hashes' leading bits tells nearly all of them before they are looked up
+        leading = (self.keys >> np.uint64(64 - _LEADING)).astype(np.int64)
         self.leading = np.zeros(1 << _LEADING, bool)
-        self.leading[self.keys >> np.uint64(64 - _LEADING)] = True
+        self.leading[leading] = True
+        self.first = np.zeros(1 << _LEADING, np.int32)  # the first key of those that share leading bits
+        self.first[leading[::-1]] = np.arange(len(leading), dtype=np.int32)[::-1]
+        self.shared = int(np.unique(leading, return_counts=True)[1].max())
         self.ids = np.array([i for _, i, _ in usable], np.int32)[order]
         self.scores = np.array([s for _, _, s in usable] + [-np.inf])[np.append(order, len(usable))]  # the last one is that of no piece
         self.fallback = float(self.scores[:-1].min()) - 10.0
@@ -176,8 +183,14 @@ class PieceCoder:
             h ^= h >> np.uint64(29)
             row, start = np.nonzero(self.leading[h >> np.uint64(64 - _LEADING)])
             found = h[row, start]
-            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+            at = self.first[found >> np.uint64(64 - _LEADING)]
             same = self.keys[at] == found
+            for _ in range(1, self.shared):
+                other = np.flatnonzero(~same)
+                if not len(other):
+                    break
+                at[other] = np.minimum(at[other] + 1, len(self.keys) - 1)
+                same[other] = self.keys[at[other]] == found[other]
             out[start[same] + size, size - 1, row[same]] = at[same]
         return out
 
@@ -262,15 +275,31 @@ class PieceCoder:
             best[end] = np.where(lone, best[end - 1] + self.fallback, most)
             back[end] = end - 1 - np.where(lone, 0, size)
             last[end] = np.where(lone, -1, key[size, rows])
-        taken: list[list[int]] = [[] for _ in words]
-        where = np.full(n, length)
+        # the way back, a step of all words at a time; a word's pieces fill its row from the right
+        pieces = np.full((n, length), -1, np.int32)
+        lone = np.zeros(n, bool)
+        where, column = np.full(n, length), length
         while len(rows):
+            column -= 1
             at = where[rows]
-            for r, k, a, b in zip(rows.tolist(), last[at, rows].tolist(), back[at, rows].tolist(), at.tolist()):
-                self._take(taken[r], k, words[r][a:b])
+            key = last[at, rows]
+            pieces[rows, column] = self.ids[key]
+            lone[rows[key < 0]] = True
             where[rows] = back[at, rows]
             rows = rows[where[rows] > 0]
-        return [array("i", x[::-1]).tobytes() for x in taken]
+        pieces = pieces[:, column:]
+        used = pieces >= 0
+        ends = (4 * np.cumsum(used.sum(axis=1))).tolist()
+        flat = pieces[used].astype("<i4").tobytes()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends)]
+        for r in np.flatnonzero(lone).tolist():  # a character as bytes is several ids
+            taken: list[int] = []
+            at = length
+            while at:
+                self._take(taken, int(last[at, r]), words[r][back[at, r] : at])
+                at = int(back[at, r])
+            out[r] = array("i", taken[::-1]).tobytes()
+        return out
 
     def _take(self, taken: list[int], key: int, character: str) -> None:
         """The ids of one step of the way back."""
@@ -371,8 +400,28 @@ class PieceCoder:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if self.before and text.startswith(" ") else text
 
+    def _decode_some(self, batch: list[np.ndarray]) -> Iterator[str]:
+        ids = np.concatenate(batch)
+        sizes, blocks = self.raw_sizes[ids], []
+        for at in range(0, len(ids), BLOCK):
+            size = sizes[at : at + BLOCK]
+            ends = np.cumsum(size, dtype=np.int64)
+            blocks.append(self.raw_bytes[np.arange(ends[-1]) + np.repeat(self.raw_starts[ids[at : at + BLOCK]] - ends + size, size)].tobytes())
+        joined, start, first = b"".join(blocks), 0, 0
+        for x in batch:
+            end = start + int(sizes[first : first + len(x)].sum(dtype=np.int64))
+            space = self.before and joined[start : min(start + 1, end)] == b" "
+            yield joined[start + space : end].decode("utf-8", "surrogatepass")
+            start, first = end, first + len(x)
+
     def decode_all(self, batch: list[np.ndarray]) -> list[str]:
-        return [self.decode(ids.tolist()) for ids in batch]
+        """decode() of each: the bytes of many ids, some 16 * BLOCK or one text's, are gathered together."""
+        counts, out, at = np.cumsum([len(x) for x in batch], dtype=np.int64), [], 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(counts, counts[at] - len(batch[at]) + 16 * BLOCK, "right")))
+            out.extend(self._decode_some(batch[at:stop]))
+            at = stop
+        return out
 
 
 _coders: dict[int, PieceCoder] = {}

@@ -266,6 +266,29 @@ def test_pieces_round_trip(coder):
     assert [len(x) for x in ids[:2]] == [0, 0]
 
 
+def test_pieces_are_taken_and_decoded_together(coder, monkeypatch):
+    """No call for each piece: only words with a character that no piece covers go one by one; and hashes that share leading bits are told apart."""
+    texts = ["plain words of a text, " * 20, "", None, " two  spaces", "a" * 700 + " b"]
+    words = sorted({w for t in texts for w in coder.split(t or "") if len(w) <= piece_coding.LONG})
+    with open(piece_coding.MODEL, "rb") as file:
+        fresh = piece_coding.PieceCoder(file.read())
+    with monkeypatch.context() as m:
+        m.setattr(fresh, "_take", None)
+        fresh.encode_words(words)
+        m.setattr(fresh, "decode", None)
+        m.setattr(piece_coding, "BLOCK", 7)
+        ids = coder.encode(texts)
+        assert fresh.decode_all(ids) == [t or "" for t in texts]
+        assert fresh.decode_all([]) == []
+    assert all(fresh.cache[w] == coder._one_long(w) for w in words)
+    for i, key in enumerate(fresh.ids.tolist()):
+        if i % 97 == 0:
+            name = fresh.names[key]
+            found = fresh._probe(fresh._codes([name], len(name)))
+            assert found[len(name), len(name) - 1, 0] == i
+    assert fresh.shared > 1
+
+
 def merged(word, scores):
     """Merging by hand: the neighbours whose piece has the greatest score become one, the leftmost of equal ones, until none is left."""
     x = list(word)
