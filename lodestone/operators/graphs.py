@@ -13,8 +13,10 @@ from ..session import cut_lineage, drop_files
 
 #: A frontier or vector of at most this many rows is broadcast into the join with the edges; a larger one is shuffled.
 SMALL = 200_000
-#: Edges and nodes of a graph that one task ranks by itself (some 100 MB); larger graphs are ranked by joins.
-GRAPH_ROWS = 1_000_000
+#: Edges and nodes of a graph that one task ranks by itself (its process has 568 MB at most); larger graphs are ranked by joins.
+GRAPH_ROWS = 5_000_000
+#: Nodes of a diagonal of edges, at least.
+DIAGONAL = 1024
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -109,31 +111,91 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
 _UNSETTLED = "a graph's ranks are still over {} apart after {} steps"
 
 
+class _Steps:
+    """The sums over one graph's distinct edges, for vectors of its nodes in the order of their out-degrees, greatest first.
+
+    The j-th edges of all nodes that have so many are a diagonal, a gather over a prefix of the nodes; what few nodes have beyond
+    the diagonals is summed by stretches. Edges are 4 bytes each, in the order of their ends: sums don't depend on how rows come.
+    """
+
+    def __init__(self, edges: pa.Table, nodes: pa.Table) -> None:
+        ids = nodes.column("v").to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+
+        def places(column: pa.ChunkedArray) -> np.ndarray:
+            """Which node each is; -1 for what is no node."""
+            out, done = np.empty(len(column), np.int32), 0
+            for chunk in column.chunks:
+                x = chunk.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+                out[done : done + len(x)] = np.where(ids[at] == x, order[at], -1)
+                done += len(x)
+            return out
+
+        dst = places(edges.column("dst"))
+        count = np.bincount(dst[dst >= 0], minlength=len(ids))  # edges from what is no node count here, too
+        src = places(edges.column("src"))
+        known = (src >= 0) & (dst >= 0)
+        src, dst = src[known], dst[known]
+        del order, ids, known
+        degree = np.bincount(src, minlength=len(count))
+        by_degree = np.argsort(-degree, kind="stable")
+        degree = degree[by_degree]
+        self.place = np.empty(len(count), np.int32)
+        self.place[by_degree] = np.arange(len(count), dtype=np.int32)
+        del by_degree
+        pointed = np.flatnonzero(count)  # the nodes whose values are read
+        self.read, self.weight = self.place[pointed], 1.0 / count[pointed]
+        where = np.zeros(len(count), np.int32)
+        where[pointed] = np.arange(len(pointed), dtype=np.int32)
+        key = self.place[src] * np.int64(max(1, len(pointed))) + where[dst]
+        del src, dst, where, pointed, count
+        key.sort()
+        key %= max(1, len(self.read))
+        ends = key.astype(np.int32)
+        del key
+        first = np.cumsum(degree) - degree
+        self.diagonals: list[np.ndarray] = []
+        while (k := int(np.searchsorted(-degree, -len(self.diagonals)))) >= DIAGONAL:
+            self.diagonals.append(ends[first[:k] + len(self.diagonals)])
+        over = degree[:k] - len(self.diagonals)
+        self.starts = np.cumsum(over) - over
+        rest = ends[: degree[:k].sum()]
+        self.rest = rest[np.arange(len(rest)) - np.repeat(first[:k], degree[:k]) >= len(self.diagonals)]
+        self.buffer = np.empty(len(self.diagonals[0]) if self.diagonals else 0)
+
+    def add(self, e: np.ndarray, s: np.ndarray) -> None:
+        """Add each node's sum over its edges' ends in e to s."""
+        x = e[self.read] * self.weight
+        for diagonal in self.diagonals:
+            s[: len(diagonal)] += np.take(x, diagonal, out=self.buffer[: len(diagonal)], mode="clip")
+        if len(self.rest):
+            s[: len(self.starts)] += np.add.reduceat(x[self.rest], self.starts)
+
+
 def _rank_one(threshold: float | None, iterations: int | None, max_iterations: int):
     """rank_graphs() of one graph's distinct edges and nodes."""
 
     def run(edges: pa.Table, nodes: pa.Table) -> pa.Table:
-        ids = nodes.column("v").to_numpy()
-        order = np.argsort(ids)
-        src, dst = (edges.column(c).to_numpy() for c in ("src", "dst"))
-        _, which, count = np.unique(dst, return_inverse=True, return_counts=True)
-        weight = 1.0 / count[which]
-
-        def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = order[np.minimum(np.searchsorted(ids, x, sorter=order), len(ids) - 1)] if len(ids) else np.zeros(len(x), np.int64)
-            return at, (ids[at] == x) if len(ids) else np.zeros(len(x), bool)
-
-        (a, known_a), (b, known_b) = places(src), places(dst)
-        a, b, weight = (x[known_a & known_b] for x in (a, b, weight))
-        e, acc, done, error = np.ones(len(ids)), np.zeros(len(ids)), 0, np.inf
-        while len(ids) and done < (iterations or max_iterations) and not (threshold is not None and (np.isnan(error) or error <= threshold)):
-            s = acc + np.bincount(a, weight * e[b], minlength=len(ids))
+        n = nodes.num_rows
+        e, done, error = np.ones(n), 0, np.inf
+        if n:
+            steps, s = _Steps(edges, nodes), np.zeros(n)
+        while n and done < (iterations or max_iterations) and not (threshold is not None and (np.isnan(error) or error <= threshold)):
+            if done:
+                s[:] = e
+            steps.add(e, s)
             norm = np.sqrt(s @ s)
-            new = s / norm if norm else np.full(len(ids), np.nan)
-            error, e, acc, done = np.sqrt(((new - e) ** 2).sum()), new, new, done + 1
-        if threshold is not None and len(ids) and error > threshold:
+            if norm:
+                s /= norm
+            else:
+                s[:] = np.nan
+            e -= s
+            error, e, s, done = np.sqrt(e @ e), s, e, done + 1
+        if threshold is not None and n and error > threshold:
             raise RuntimeError(_UNSETTLED.format(threshold, max_iterations))
-        return nodes.select(["graph_id", "v"]).append_column("rank", pa.array(e / e.sum() if len(ids) else e))
+        return nodes.select(["graph_id", "v"]).append_column("rank", pa.array((e / e.sum())[steps.place] if n else e))
 
     return run
 

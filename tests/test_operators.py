@@ -1,8 +1,10 @@
 """Kernels against small models of their own, and edge cases."""
 
 import math
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,6 +190,36 @@ def test_ranks_that_do_not_settle_are_an_error(spark):
             graphs.rank(edges, nodes, threshold=1e-12, max_iterations=2, graph_rows=rows).collect()
 
 
+def test_over_a_million_edges_go_by_one_task(spark, monkeypatch):
+    """Some 1,500 steps of a graph of that size, each written and read, were more than any run's time."""
+    monkeypatch.setattr(graphs, "cut_lineage", None)
+    n = 600_000
+    nodes = spark.range(n).withColumnRenamed("id", "v")
+    edges = nodes.select(F.col("v").alias("src"), F.explode(F.array(*[(F.col("v") * 7 + j) % n for j in range(2)])).alias("dst"))
+    rows = graphs.rank(edges, nodes, threshold=1e-3).agg(F.count("*").alias("n"), F.sum("rank").alias("total"), F.max("rank").alias("most")).first()
+    assert rows.n == n and math.isclose(rows.total, 1) and math.isclose(rows.most, 1 / n)
+
+
+@pytest.mark.parametrize("diagonal", [1, 3, 1024])
+def test_sums_over_edges_by_diagonals_and_stretches(monkeypatch, diagonal):
+    """Hubs, nodes without edges, ends that are no nodes (they count in in-degrees), rows in any order."""
+    monkeypatch.setattr(graphs, "DIAGONAL", diagonal)
+    draw = np.random.default_rng(diagonal)
+    for n in (1, 2, 9, 60):
+        pairs = {(int(a), int(b)) for a, b in draw.integers(-1, n + 2, (3 * n, 2))} | {(0, b) for b in range(n)} | {(a, n - 1) for a in range(0, n, 2)}
+        ids = draw.permutation(n)
+        rows = draw.permutation(sorted(pairs))
+        edges = pa.table({"graph_id": [0] * len(rows), "src": rows[:, 0], "dst": rows[:, 1]})
+        x = draw.random(n)
+        steps = graphs._Steps(edges, pa.table({"graph_id": [0] * n, "v": ids}))
+        s, e = np.zeros(n), np.empty(n)
+        e[steps.place] = x[ids]
+        steps.add(e, s)
+        count = Counter(b for _, b in pairs)
+        wanted = [sum(x[b] / count[b] for a, b in pairs if a == v and 0 <= b < n) for v in ids]
+        assert np.allclose(s[steps.place], wanted)
+
+
 def test_graphs_end_on_their_own_and_zero_is_nan(spark):
     star = [(0, 1), (0, 2), (1, 0), (2, 0)]
     edges = spark.createDataFrame([(0, a, b) for a, b in star], "graph_id long, src long, dst long")
